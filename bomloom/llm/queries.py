@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomloom.llm import format_dupes
+from bomloom.llm import canonical_list, format_dupes
 from bomloom.llm.sql import SQL
 from bomloom.runtime import table
 
@@ -23,7 +23,13 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dupes.representatives(rows, "comp_id", format_dupes.component_key())
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "license_list")
+    values = canonical_list.licence_values(table(spark, sf_dir, "spdx_packages"), table(spark, sf_dir, "inventory"), entries)
+    return canonical_list.map_to_list(values, "value", entries).select("rec_id", "field_name", "pos", "license_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
