@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomloom.llm import canonical_list, format_dupes
+from bomloom.llm import canonical_list, entity_match, format_dupes
 from bomloom.llm.sql import SQL
 from bomloom.runtime import table
 
 
+def _releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, t) for t in ("inventory", "spdx_packages", "vuln_components")]
+    return entity_match.match_releases(entity_match.listings(*tables))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _releases(spark, sf_dir).where("confidence >= 0.5").select("rec_id_a", "rec_id_b")
+
+
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _releases(spark, sf_dir)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "cdx_components")
     found = format_dupes.copies(rows, "comp_id", format_dupes.component_key())
@@ -29,7 +42,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_list.map_to_list(values, "value", entries).select("rec_id", "field_name", "pos", "license_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
