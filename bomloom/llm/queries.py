@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomloom.llm import canonical_list, entity_match, format_dupes
+from bomloom.llm import canonical_list, entity_match, format_dupes, pii
 from bomloom.llm.sql import SQL
 from bomloom.runtime import table
 
@@ -42,7 +42,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_list.map_to_list(values, "value", entries).select("rec_id", "field_name", "pos", "license_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
+    "p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
