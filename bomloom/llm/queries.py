@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomloom.llm import canonical_list, entity_match, format_dupes, pii
+from bomloom.llm import canonical_list, entity_match, format_dupes, mixing, packing, pii
 from bomloom.llm.sql import SQL
 from bomloom.runtime import table
 
@@ -42,6 +42,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_list.map_to_list(values, "value", entries).select("rec_id", "field_name", "pos", "license_id")
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -51,6 +67,10 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
     "p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found}
