@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bomloom.queries import general
+from bomloom.queries import fleetwide, general, graphs, scalar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(general.QUERIES)
+    return general.QUERIES | fleetwide.QUERIES | graphs.QUERIES | scalar.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(general.SQL)
+    return general.SQL | fleetwide.SQL | graphs.SQL | scalar.SQL
