@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bomloom.queries import fleetwide, general, graphs, scalar
+from bomloom.queries import fleetwide, general, graphs, inout, scalar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return general.QUERIES | fleetwide.QUERIES | graphs.QUERIES | scalar.QUERIES
+    return general.QUERIES | fleetwide.QUERIES | graphs.QUERIES | inout.QUERIES | scalar.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return general.SQL | fleetwide.SQL | graphs.SQL | scalar.SQL
+    return general.SQL | fleetwide.SQL | graphs.SQL | inout.SQL | scalar.SQL
