@@ -384,6 +384,23 @@ def one_to_one_beliefs(pairs: DataFrame, rows: DataFrame, max_rounds: int = 12,
     return everything.select("a", "b", (1 / (1 + F.exp(-logit))).alias("confidence"))
 
 
+def with_implied(beliefs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """Add the pairs that two confident pairs with a record in common imply, as meaning one release is transitive.
+
+    Their confidence is the product.  Records of one table, and records whose
+    ecosystems differ, are never implied.
+    """
+    strong = beliefs.where(F.col("confidence") >= least)
+    ways = strong.select(F.col("a").alias("x"), F.col("b").alias("y"), "confidence").unionByName(strong.select(F.col("b").alias("x"), F.col("a").alias("y"), "confidence"))
+    first = ways.select(F.col("x").alias("a"), F.col("y").alias("mid"), F.col("confidence").alias("c1"))
+    second = ways.select(F.col("x").alias("mid"), F.col("y").alias("b"), F.col("confidence").alias("c2"))
+    info = rows.select("rec_id", "src", "eco")
+    side = lambda s: info.select(F.col("rec_id").alias(s), F.col("src").alias(f"src_{s}"), F.col("eco").alias(f"eco_{s}"))
+    made = first.join(second, "mid").where("a < b").join(side("a"), "a").join(side("b"), "b").where("src_a <> src_b and coalesce(eco_a = eco_b, true)")
+    both = beliefs.unionByName(made.select("a", "b", (F.col("c1") * F.col("c2")).alias("confidence")))
+    return both.groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
+
+
 def match_releases(listings: DataFrame, **belief_options) -> DataFrame:
     """``rec_id_a, rec_id_b, confidence`` of cross-table pairs that may mean one release, smaller id first.
 
@@ -412,7 +429,7 @@ def match_releases(listings: DataFrame, **belief_options) -> DataFrame:
     keyed = rows.select("rec_id", "src", F.explode("keys").alias("key")).unionByName(_own_word_keys(rows))
     priors = _scored(_meet(keyed, keyed), rows)
     candidates = priors.unionByName(_single_release(rows)).groupBy("a", "b").agg(F.max("prior").alias("prior"))
-    beliefs = one_to_one_beliefs(candidates, rows, **belief_options)
+    beliefs = with_implied(materialize(one_to_one_beliefs(candidates, rows, **belief_options), "beliefs"), rows)
     left = members.select(F.col("node").alias("a"), F.col("rec_id").alias("ra"))
     right = members.select(F.col("node").alias("b"), F.col("rec_id").alias("rb"))
     out = beliefs.join(left, "a").join(right, "b")

@@ -107,7 +107,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     shares = plan.join(sums, "source", "left").fillna(0, ["drawn_tokens", "docs_drawn", "most_repeats"])
     everything = F.sum("drawn_tokens").over(Window.partitionBy())
     shares = shares.select(
-        "source", "target_share", F.coalesce(F.col("drawn_tokens") / everything, F.lit(0.0)).alias("actual_share"), F.col("wanted").cast("bigint").alias("wanted_tokens"), "drawn_tokens",
+        "source", "target_share", F.coalesce(F.try_divide("drawn_tokens", everything), F.lit(0.0)).alias("actual_share"), F.col("wanted").cast("bigint").alias("wanted_tokens"), "drawn_tokens",
         (F.col("wanted") - F.col("drawn_tokens")).cast("bigint").alias("short_tokens"), "docs_drawn", "most_repeats",
     )
     return drawn, shares
