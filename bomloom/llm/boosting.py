@@ -97,10 +97,13 @@ class Boosted:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability above which the F1 score on held-out rows is highest (the middle of the best range)."""
+    """The probability above which the F1 score on held-out rows is highest: the middle of the best range.
+
+    It is at most 0.5, as for calibrated probabilities the best threshold is half the best F1 score.
+    """
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     at = np.flatnonzero(f1 >= f1.max() - 1e-12)
     low = p[order][min(at[-1] + 1, len(p) - 1)]
-    return float((p[order][at[-1]] + low) / 2)
+    return min(float((p[order][at[-1]] + low) / 2), 0.5)

@@ -30,7 +30,7 @@ FUNCTION_WORDS = {
     "tel", "send", "ship", "thanks", "status", "version", "order", "build", "ticket", "serial", "image", "module", "section", "someone", "questions", "postal", "address",
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "copyright", "according", "reported", "reviewed",
     "maintained", "merged", "escalate", "signed", "anschrift", "adresse", "dirección", "rückfragen", "ansprechpartner", "contacto", "gemeldet", "signalé", "informado", "tax",
-    "envíe", "envoyer", "écrire", "escriba", "il", "por", "par", "con", "upgrade", "changed", "workaround", "warranty", "permission", "severity", "clone", "closes", "pinned",
+    "envíe", "envoyer", "mr", "mrs", "ms", "dr", "herr", "frau", "monsieur", "madame", "señor", "señora", "écrire", "escriba", "il", "por", "par", "con", "upgrade", "changed", "workaround", "warranty", "permission", "severity", "clone", "closes", "pinned",
 }
 STREET_EN = "Street|Road|Lane|Avenue|Drive|Court|Close|Way|Terrace|Place|Square|Row|Walk|Crescent|Boulevard|Parkway|Highway|Hill|Gardens|Mews|Rise|Grove"
 STREET_EN_SHORT = "Rd|Ln|Ave|Dr|Ct|Pl|Sq|Cres|Blvd|Pkwy"
@@ -46,10 +46,10 @@ ID_LABELS = (
 NOT_ID = r"tickets?|build|order(?: number)?|serial(?: number)?|range|checksum(?: prefix)?|prüfsumme|somme|suma|digest|keyed by|commit|hash|duplicate of|sha\d*|version|release|port|invoice|batch|part(?: number)?|revision|log stamp|bestellung|commande|pedido"
 PHONE_CUES = r"phone|call|tel(?:efon|ephone|éphone|éfono|efonisch)?|tél|mobile|cell|fax|unter|under|appeler|llam(?:e|ar)|anruf(?:en)?|desk|dial|ring|reach|handy|portable|móvil"
 PERSON_CUES = (
-    r"signed-off-by|reported-by|reviewed-by|from|reported by|reviewed by|merged by|maintained by|written by|approved by|ask for|according to|escalate to|thanks to|token to|"
-    r"copyright(?: \(c\)| ©)?(?: \d{4})?|\(c\) \d{4}|© \d{4}|reviewer|assignee|author|maintainer|owner|gemeldet von|laut|geht an|ansprechpartner(?:in)?|contact|contacto|signalé par|selon|"
-    r"l'attestation à|informado por|según|declaración a|d'après|geprüft von|attention|attn|dear|mr|mrs|ms|dr|herr|frau|monsieur|madame|señor|señora"
-)
+    "signed-off-by", "reported-by", "reviewed-by", "from", "reported by", "reviewed by", "merged by", "maintained by", "written by", "approved by", "ask for", "according to", "escalate to", "thanks to",
+    "token to", "copyright", "(c)", "©", "reviewer", "assignee", "author", "maintainer", "owner", "gemeldet von", "laut", "geht an", "ansprechpartner", "ansprechpartnerin", "contact", "contacto", "signalé par",
+    "selon", "l'attestation à", "informado por", "según", "declaración a", "d'après", "geprüft von", "attention", "attn", "dear", "mr", "mrs", "ms", "dr", "herr", "frau", "monsieur", "madame", "señor", "señora",
+)
 # -----------------------------------------------------------------------------
 
 _WORD = rf"(?:[{_UP}][{_LOW}]+(?:['’][{_UP}]?[{_LOW}]+)?|[{_UP}]{{2,}})"
@@ -58,7 +58,12 @@ _INITIAL = rf"[{_UP}]\."
 _PARTICLE = "(?:" + "|".join(p.replace(" ", _B) for p in PARTICLES) + ")"
 _FAMILY = rf"(?:(?i:{_PARTICLE}){_B})?{_NAME}"
 _PERSON = re.compile(rf"(?<![\w@/.-])(?=(?P<given>{_NAME}|{_INITIAL})(?P<mid>(?:{_B}{_INITIAL})*){_B}(?P<family>{_FAMILY})(?![\w@])(?!\.\w))")
-_REVERSED = re.compile(rf"(?<![\w@/.-])(?=(?P<family>{_FAMILY}),{_B}(?P<given>{_NAME}|{_INITIAL})(?P<mid>(?:{_B}{_INITIAL})*)(?![\w@])(?!\.\w))")
+_COMMA = re.compile(rf",{_B}")
+_FAMILY_END = re.compile(rf"(?<![\w@/.-]){_FAMILY}$")
+_LAST_NAME = re.compile(rf"{_NAME}$")
+_GIVEN_START = re.compile(rf"(?P<given>{_NAME}|{_INITIAL})(?P<mid>(?:{_B}{_INITIAL})*)(?![\w@])(?!\.\w)")
+# Areas that may hold a long number
+_NUMBERS = re.compile(r"[+(]*\d[\d() ./\t\r\n>-]{3,}\d")
 
 _AT_SIGN = re.compile(r"@|\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s)", re.I)
 _LOCAL_PART = re.compile(r"(?<![\w.+%@/-])\w[\w.+-]*$")
@@ -73,25 +78,27 @@ _TOWN = rf"{_TOWN_WORD}(?:{_B}(?:{_TOWN_LINK}{_B})?{_TOWN_WORD}){{0,3}}"
 _POSTAL = r"\d{5}"
 _OUTCODE = rf"[A-Z]{{1,2}}\d[A-Z\d]?{_B}\d[A-Z]{{2}}"
 _UNIT = rf"(?:,?{_B}(?:Suite|Floor|Apt|Apartment|Unit|Room|Flat|Fl|Ste|Piso|Étage)\.?{_B}\d+[A-Za-z]?|,?{_B}?\#\d+[A-Za-z]?)"
-_STREETS = re.compile(
-    rf"(?<![\w.,:/#-])(?:"
-    rf"(?P<en>\d{{1,5}}[A-Za-z]?{_B}(?:{_TOWN_WORD}{_B}){{1,3}}(?:(?:{STREET_EN})\b|(?:St|Str)\b\.?|(?:{STREET_EN_SHORT})\b(?:\.(?=,))?))"
-    rf"|(?P<fr>\d{{1,5}}(?:{_B}?(?:bis|ter|[a-c]))?,?{_B}(?i:{STREET_FR}){_B}(?:(?:de|du|des|la|le|les|aux|au|à|sur|l'|d'){_B}?){{0,3}}[{_UP}][\w'’-]*)"
-    rf"|(?P<es>(?i:{STREET_ES}){_B}(?:(?:de|del|la|las|los|el){_B}){{0,3}}[{_UP}][\w'’-]*(?:{_B}(?:(?:de|del|la|las|los|el){_B})?[{_UP}][\w'’-]*){{0,3}},?{_B}(?:n\.?º{_B}?)?\d{{1,5}}[A-Za-z]?)"
-    rf"|(?P<de>(?:[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)*-?(?i:{STREET_DE})|(?:{STREET_DE_LEAD}){_B}(?:[{_UP}][{_LOW}]+(?:-[{_UP}]?[{_LOW}]+)*)(?:{_B}[{_UP}][{_LOW}]+)?){_B}\d{{1,4}}(?:{_B}?[a-z](?![\w]))?)"
-    rf")(?!\w)"
+_EN = rf"(?P<en>\d{{1,5}}[A-Za-z]?{_B}(?:{_TOWN_WORD}{_B}){{1,3}}(?:(?:{STREET_EN})\b|(?:St|Str)\b\.?|(?:{STREET_EN_SHORT})\b(?:\.(?=,))?))"
+_FR = rf"(?P<fr>\d{{1,5}}(?:{_B}?(?:bis|ter|[a-c]))?,?{_B}(?i:{STREET_FR}){_B}(?:(?:de|du|des|la|le|les|aux|au|à|sur|l'|d'){_B}?){{0,3}}[{_UP}][\w'’-]*)"
+_ES = rf"(?P<es>(?i:{STREET_ES}){_B}(?:(?:de|del|la|las|los|el){_B}){{0,3}}[{_UP}][\w'’-]*(?:{_B}(?:(?:de|del|la|las|los|el){_B})?[{_UP}][\w'’-]*){{0,3}},?{_B}(?:n\.?º{_B}?)?\d{{1,5}}[A-Za-z]?)"
+_DE = (
+    rf"(?P<de>(?:[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)*-?(?i:{STREET_DE})|(?:{STREET_DE_LEAD}){_B}(?:[{_UP}][{_LOW}]+(?:-[{_UP}]?[{_LOW}]+)*)(?:{_B}[{_UP}][{_LOW}]+)?){_B}\d{{1,4}}(?:{_B}?[a-z](?!\w))?)"
 )
+_NUMBER_FIRST = re.compile(rf"(?:{_EN}|{_FR})(?!\w)")
+_NUMBER_LAST = re.compile(rf"(?<![\w.,:/#-])(?:{_ES}|{_DE})$")
+_HOUSE = re.compile(r"(?<![\w.,:/#-])\d{1,5}(?=[A-Za-z]?,?[ \t\r\n])")
+_CAPITAL_WORD_END = re.compile(rf"(?<!\w)[{_UP}][\w'’.-]*(?:,|,?{_B}n\.?º)?$")
+_AFTER_NAME_NUMBER = re.compile(rf"(?<=[\w.,]){_B}\d{{1,5}}(?:{_B}?[A-Za-z])?(?!\w)")
 _UNIT_AT = re.compile(_UNIT)
 _BREAK = r"(?:[ \t]*\r?\n(?:[ \t]*>)*[ \t]*)"
 _AFTER_STREET = re.compile(rf"(?:,{_B}?|{_B})(?P<zip>{_POSTAL}){_B}(?P<town1>{_TOWN})|(?:,{_B}?|{_BREAK})(?:(?P<town2>{_TOWN})(?:(?P<uk>,?{_B}{_OUTCODE})|(?P<us>,{_B}[A-Z]{{2}}{_B}\d{{5}}))|(?P<town3>{_TOWN}))")
 _WORDS = re.compile(rf"{_TOWN_WORD}|{_TOWN_LINK}(?![\w])")
 
-_CUE_BEFORE = re.compile(rf"(?i)(?<![\w])(?:{PERSON_CUES}) ?[:=,.]? ?[\"'«(]?$")
 _LABEL_BEFORE = re.compile(rf"(?i)(?<![\w])(?:{ID_LABELS})(?![a-z])(?:\.|[^.;]{{0,28}}?)[:#]?\s*$")
 _NOT_ID_BEFORE = re.compile(rf"(?i)(?<![\w])(?:{NOT_ID})[\s:#>]*$")
 _PHONE_BEFORE = re.compile(rf"(?i)(?<![\w])(?:{PHONE_CUES})[ .:]*(?:an|at|on|le|la|al|el|unter|under|us at|the)?[\s:>.(]*$")
 _WORD_BEFORE = re.compile(r"(\w+)\W*$")
-_AFTER_NAME = re.compile(rf"^(?:{_B}(?:wrote|said|pointed|writes|reported|approved|schrieb|a écrit|escribió)\b|,{_B}(?:identity|passport|tel|tél|id\b|ssn|\d)|{_B}?[<(]\S|,{_B}t[eé]l)", re.I)
+_AFTER_NAME = re.compile(rf"^(?:{_B}(?:wrote|said|pointed|writes|reported|approved|schrieb|a écrit|escribió)\b|,{_B}(?:identity|passport|tel|tél|id\b|ssn)|{_B}?[<(]\S|,{_B}t[eé]l)", re.I)
 _INTERNATIONAL = re.compile(r"(?:\+|00)[1-9]\d{0,2}(?:[ ./-]?\(0\))?(?:[ ./-]?\d{2,5}){2,5}")
 _NATIONAL = re.compile(r"(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\d{3}[ .-]\d{4}|0\d{2,5}[ /.-]\d{4,9}|0\d(?:[ .-]?\d\d){4}|0\d{1,4}[ /.-]\d{2,5}(?:[ .-]\d{2,5}){1,3}")
 _DATE = re.compile(r"(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])[-./]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d")
@@ -121,6 +128,28 @@ KINDS = ("person", "email", "phone", "id_number", "address")
 _GAPS = re.compile(r"[ \t\u00a0]*\r?\n(?:[ \t]*>)*[ \t]*|[ \t\u00a0]+")
 
 
+def _cued(before: str) -> bool:
+    """A cue for a name ends the text before it (a year may stand between)."""
+    t = _GAPS.sub(" ", before).lower().rstrip(" \"'«").removesuffix("(").rstrip()
+    if t and t[-1] in ":=,.":
+        t = t[:-1].rstrip()
+    if t[-4:].isdigit():
+        t = t[:-4].rstrip()
+        return t.endswith(("copyright", "(c)", "©"))
+    if not t.endswith(PERSON_CUES):
+        return False
+    return any(t.endswith(c) and not t[: -len(c)][-1:].isalnum() for c in PERSON_CUES)
+
+
+_SIGNATURE = re.compile(r"--\s*\n[ \t>]*$")
+_LINE_START = re.compile(r"(?:^|\n)[ \t>]*$")
+_WORD_CHARS = re.compile(r"\w+")
+_NEXT_CAPITAL = re.compile(rf"{_B}?([{_UP}][\w-]*)")
+_CAPITAL_BEFORE = re.compile(rf"(?<!\w)([{_UP}][\w-]*){_B}$")
+_PARTICLE_BEFORE = re.compile(rf"(?i)(?<!\w){_PARTICLE}{_B}$")
+_NAME_ENDS = re.compile(r"\s*[\n<(,;.]")
+
+
 def _flat(s: str) -> str:
     """The text in one line: line breaks with quote marks are blanks."""
     return _GAPS.sub(" ", s).strip()
@@ -150,37 +179,62 @@ def _local_words(text: str) -> set[str]:
     return {w for w in words if len(w) > 3}
 
 
+def _names(text: str) -> Iterator[tuple[int, int, str, str, str, bool]]:
+    """(start, end, given, middle initials, family, written with a comma) of everything shaped like a name."""
+    for m in _PERSON.finditer(text):
+        if m["given"].split("-")[0].lower() not in FUNCTION_WORDS:
+            yield m.start(), m.end("family"), m["given"], m["mid"], m["family"], False
+    for c in _COMMA.finditer(text):
+        g = _GIVEN_START.match(text, c.end())
+        if not g:
+            continue
+        low = max(0, c.start() - 60)
+        while low > 0 and text[low - 1 : low].isalnum():
+            low -= 1
+        f = _FAMILY_END.search(text, low, c.start())
+        if not f:
+            continue
+        end = g.end("mid") if g["mid"] else g.end("given")
+        bare = _LAST_NAME.search(f[0])
+        for at in {0, bare.start()}:  # a particle may also belong to the text before
+            if f[0][at:].split("-")[0].lower() not in FUNCTION_WORDS:
+                yield f.start() + at, end, g["given"], g["mid"], f[0][at:], True
+
+
+def _last_word(family: str) -> str:
+    return _GAPS.sub(" ", family).rpartition(" ")[2]
+
+
 def person_spans(text: str, lexicon: Lexicon) -> list[Span]:
+    """Names with any sign of being one: a cue before or behind, a signature, a known word, or a mailbox like it."""
     out: list[Span] = []
     parts: set[str] | None = None
-    for pattern, comma in ((_PERSON, 0.0), (_REVERSED, 1.0)):
-        for m in pattern.finditer(text):
-            given, family = m["given"], m["family"]
-            head = (family if comma else given).split("-")[0]
-            if head.lower() in FUNCTION_WORDS:
-                continue
-            start, end = m.start(), m.end("mid") if comma and m["mid"] else m.end("given") if comma else m.end("family")
-            last = re.split(_B, family)[-1]
-            words = {w.lower() for w in re.findall(r"\w+", text[start:end])}
-            if parts is None:
-                parts = _local_words(text)
-            before, after = text[max(0, start - 44) : start], text[end : end + 30]
-            nxt = re.match(rf"{_B}?([{_UP}][\w-]*)", after)
-            shared = any(p.endswith(w) for w in map(_ascii, words) if len(w) > 3 for p in parts)
-            out.append(
-                Span(
-                    "person", start, end,
-                    [
-                        float(bool(_CUE_BEFORE.search(_lead(text, start, 44)))), float(bool(_AFTER_NAME.match(after))), comma,
-                        lexicon.given.get(given.split("-")[0].lower(), -1.0), lexicon.family.get(last.split("-")[0].lower(), -1.0),
-                        float(bool(words & ORG_WORDS)), float(last.lower() in FUNCTION_WORDS or given.lower() in FUNCTION_WORDS),
-                        float(bool(nxt) and nxt[1].lower() in ORG_WORDS), float(len(given) == 2 and given[1] == "."), float(bool(m["mid"])),
-                        float(" " in _flat(family)), float(text[start:end].isupper()), float("\n" in text[start:end]),
-                        float(bool(re.search(r"(?:^|\n)[ \t>]*$", before))), float(bool(re.search(r"--\s*\n[ \t>]*$", before))), float(shared),
-                        float(bool(re.search(rf"[{_UP}][\w-]*{_B}$", before))), float(bool(re.match(r"\s*[\n<(,;.]", after) or not after)),
-                    ],
-                )
-            )
+    for start, end, given, mid, family, comma in _names(text):
+        last = _last_word(family)
+        known_given, known_family = lexicon.given.get(given.split("-")[0].lower(), -1.0), lexicon.family.get(last.split("-")[0].lower(), -1.0)
+        before, after = text[max(0, start - 44) : start], text[end : end + 30]
+        cued, followed = float(_cued(before)), float(bool(_AFTER_NAME.match(after)))
+        signed = float(before.rstrip(" \t>").endswith("\n") and bool(_SIGNATURE.search(before)))
+        if parts is None:
+            parts = _local_words(text)
+        words = {w.lower() for w in _WORD_CHARS.findall(text[start:end])}
+        shared = bool(parts) and any(p.endswith(w) for w in map(_ascii, words) if len(w) > 3 for p in parts)
+        if not (cued or followed or signed or shared or known_given > 0 or known_family > 0):
+            continue
+        nxt, prior = _NEXT_CAPITAL.match(after), _CAPITAL_BEFORE.search(before)
+        out.append(
+            Span(
+                "person", start, end,
+                [
+                    cued, followed, float(comma), known_given, known_family,
+                    float(bool(words & ORG_WORDS)), float(last.lower() in FUNCTION_WORDS or given.lower() in FUNCTION_WORDS),
+                    float(bool(nxt) and nxt[1].lower() in ORG_WORDS), float(len(given) == 2 and given[1] == "."), float(bool(mid)),
+                    float(" " in _flat(family)), float(text[start:end].isupper()), float("\n" in text[start:end]),
+                    float(bool(_LINE_START.search(before))), signed, float(shared),
+                    float(bool(prior) and prior[1].lower() not in FUNCTION_WORDS), float(bool(_PARTICLE_BEFORE.search(before))), float(bool(_NAME_ENDS.match(after) or not after)),
+                ],
+            )
+        )
     return out
 
 
@@ -213,9 +267,17 @@ def email_spans(text: str) -> list[Span]:
     return out
 
 
-def phone_spans(text: str) -> list[Span]:
+def _number_areas(text: str, pattern: re.Pattern, before: int, behind: int, areas: list[tuple[int, int]] | None) -> Iterator[re.Match]:
+    """Matches of a number pattern that start in an area with enough digits in a row."""
+    for start, end in [m.span() for m in _NUMBERS.finditer(text)] if areas is None else areas:
+        low, high = max(0, start - before), end + behind
+        for m in pattern.finditer(text, low, high):
+            yield m
+
+
+def phone_spans(text: str, areas: list[tuple[int, int]] | None = None) -> list[Span]:
     out, seen = [], set()
-    for m in _PHONE.finditer(text):
+    for m in _number_areas(text, _PHONE, 0, 24, areas):
         start = m.start()
         for end in {m.end("number"), m.end("ext") if m["ext"] else m.end("number"), *_line_ends(text, start, m.end("number"))}:
             span = text[start:end]
@@ -248,9 +310,9 @@ def _line_ends(text: str, start: int, end: int) -> list[int]:
     return [start + m.start() for m in re.finditer(rf"[ \t]*\n", text[start:end])]
 
 
-def id_spans(text: str) -> list[Span]:
+def id_spans(text: str, areas: list[tuple[int, int]] | None = None) -> list[Span]:
     out, seen = [], set()
-    for m in _ID.finditer(text):
+    for m in _number_areas(text, _ID, 4, 3, areas):
         start = m.start()
         for end in {m.end("number"), *_line_ends(text, start, m.end("number"))}:
             number = text[start:end]
@@ -281,11 +343,22 @@ _STREET_MORE = re.compile(rf"{_B}(?:(?:de|du|des|del|la|le|les|los|las){_B})?[{_
 
 def _streets(text: str) -> Iterator[tuple[str, int, list[int]]]:
     """(language, start, possible ends) of each street with its number; only where the name comes last can it go on."""
-    for m in _STREETS.finditer(text):
-        ends = [m.end()]
-        while m.lastgroup == "fr" and len(ends) < 3 and (more := _STREET_MORE.match(text, ends[-1])):
-            ends.append(more.end())
-        yield m.lastgroup, m.start(), ends
+    for h in _HOUSE.finditer(text):
+        m = _NUMBER_FIRST.match(text, h.start())
+        if m:
+            ends = [m.end()]
+            while m.lastgroup == "fr" and len(ends) < 3 and (more := _STREET_MORE.match(text, ends[-1])):
+                ends.append(more.end())
+            yield m.lastgroup, m.start(), ends
+    for n in _AFTER_NAME_NUMBER.finditer(text):
+        low = max(0, n.start() - 70)
+        if not _CAPITAL_WORD_END.search(text, max(low, n.start() - 24), n.start()):
+            continue  # the word before the number is no name
+        for stop in sorted({n.end(), re.match(rf"{_B}\d+[A-Za-z]?(?!\w)|", text[n.start() : n.end()]).end() + n.start()} - {n.start()}, reverse=True):
+            m = _NUMBER_LAST.search(text[low:stop])
+            if m:
+                yield m.lastgroup, low + m.start(), [stop]
+                break
 
 
 def _tail(text: str, stop: int) -> tuple[int, re.Match | None, str, list[int]]:
@@ -339,24 +412,19 @@ def _street_name(text: str) -> str:
 
 
 def spans(text: str, lexicon: Lexicon) -> list[Span]:
-    return person_spans(text, lexicon) + email_spans(text) + phone_spans(text) + id_spans(text) + address_spans(text, lexicon)
+    areas = [m.span() for m in _NUMBERS.finditer(text)]
+    return person_spans(text, lexicon) + email_spans(text) + phone_spans(text, areas) + id_spans(text, areas) + address_spans(text, lexicon)
 
 
 def lexicon_counts(text: str) -> list[tuple[str, str, int, int]]:
     """(role, word, times seen, times seen where the role is plain) for the corpus counts."""
     out = []
-    for s in person_spans(text, Lexicon()):
-        f = s.features
-        plain = int(f[0] == 1.0 or f[1] == 1.0 or f[14] == 1.0)
-        words = re.findall(r"[\w'’.-]+", text[s.start : s.end])
-        if f[2]:
-            at = next((i for i, w in enumerate(re.split(r"\s+", text[s.start : s.end])) if w.endswith(",")), 0)
-            given, family = (words[at + 1] if at + 1 < len(words) else words[-1]), words[at]
-        else:
-            given, family = words[0], words[-1]
+    for start, end, given, _, family, _ in _names(text):
+        before = text[max(0, start - 44) : start]
+        plain = int(bool(_cued(before) or _AFTER_NAME.match(text[end : end + 30]) or _SIGNATURE.search(before)))
         if not given.endswith("."):
             out.append(("given", given.split("-")[0].lower(), 1, plain))
-        out.append(("family", family.rstrip(",").split("-")[0].lower(), 1, plain))
+        out.append(("family", _last_word(family).split("-")[0].lower(), 1, plain))
     for _, start, stops in _streets(text):
         for stop in stops:
             core, tail, name, ends = _tail(text, stop)
