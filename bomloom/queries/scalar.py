@@ -10,7 +10,7 @@ from bomloom.functions import licence as lic
 from bomloom.functions import purl as pu
 from bomloom.functions import text as tx
 from bomloom.functions import version as ve
-from bomloom.operators import enrichment, matching
+from bomloom.operators import enrichment, matching, rules
 from bomloom.queries.fleetwide import M
 from bomloom.runtime import table
 
@@ -149,9 +149,6 @@ def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidates(*_two_years(spark, sf_dir))
 
 
-_PHON = "a"
-
-
 @query()
 def er_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _two_years(spark, sf_dir)
@@ -259,3 +256,56 @@ def e_vex(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", enrichment.staleness(k % 17 == 0, k % 13 == 0, F.to_date("o_orderdate"), F.lit("2001-08-01").cast("date")).alias("level"))
+
+
+# --- rules ------------------------------------------------------------------------
+_RULES = [("npm-rings", "glob", "pkg:npm/*ring*"), ("one", "exact", "pkg:cargo/red-bolt@7.0.0"), ("sevens", "regex", "@7\\.")]
+
+
+@query(f"{M} SELECT sbom_id, id, CASE WHEN regexp_matches(purl, '^pkg:npm/.*ring.*$') THEN 'npm-rings' WHEN purl = 'pkg:cargo/red-bolt@7.0.0' THEN 'one' WHEN regexp_matches(purl, '@7[.]') THEN 'sevens' END AS rule_id FROM components")
+def j_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.first_rule(testdata.components(spark, sf_dir), _RULES).select("sbom_id", "id", "rule_id")
+
+
+_ALIASES = "al AS (SELECT DISTINCT 'pkg:npm/' || replace(p_name, ' ', '-') || '@7.0.1' AS alias, 'pkg:canon/' || split_part(p_name, ' ', 2) AS canonical FROM part)"
+
+
+@query(f"{M}, {_ALIASES} SELECT sbom_id, id, coalesce(canonical, purl, id) AS canonical FROM components LEFT JOIN (SELECT lower(alias) AS alias, min(canonical) AS canonical FROM al GROUP BY 1) ON lower(purl) = alias")
+def j_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    aliases = table(spark, sf_dir, "part").select(F.concat(F.lit("pkg:npm/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit("@7.0.1")).alias("alias"), F.concat(F.lit("pkg:canon/"), F.split(name, " ")[1]).alias("canonical")).distinct()
+    return rules.canonical_ids(testdata.components(spark, sf_dir), aliases).select("sbom_id", "id", "canonical")
+
+
+_FAMILIES = [("rings", "npm", "red ring", 0.95), ("rings", "pypi", "blue ring", 0.95), ("bolts", "cargo", "hot bolt", 0.85), ("bolts", "maven", "cold bolt", 0.95)]
+
+
+@query(f"{M}, f(family, eco, n, score) AS (VALUES {', '.join(map(str, _FAMILIES))}) SELECT c.sbom_id, c.id, o.family, o.eco AS ecosystem, o.n AS name, round(CAST(o.score AS DOUBLE) - 0.1, 6) AS score FROM components c JOIN f ON f.eco = c.ecosystem AND f.n = lower(c.name) JOIN f o ON o.family = f.family AND o.eco <> f.eco WHERE CAST(o.score AS DOUBLE) - 0.1 >= 0.8")
+def j_cross_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families = spark.createDataFrame(_FAMILIES, "family string, ecosystem string, name string, score double")
+    return matching.equivalents(testdata.components(spark, sf_dir), families).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"{_BLOCK_SQL}, p AS (SELECT old_id, new_id, o.version AS a, n.version AS b, [CAST(z AS INT) FOR z IN string_split(o.version, '.')] AS pa, [CAST(z AS INT) FOR z IN string_split(n.version, '.')] AS pb, o.ecosystem AS ea, n.ecosystem AS eb, o.licence AS la, n.licence AS lb, o.supplier AS sa, n.supplier AS sb, 1 - levenshtein(o.name, n.name) / greatest(strlen(o.name), strlen(n.name)) AS ns FROM cand JOIN old o ON o.id = old_id JOIN new n ON n.id = new_id) "
+    f"SELECT old_id, new_id, round(greatest(least(0.6 * ns + 0.1 * ({_DIV_SQL}) + CASE WHEN ea <> eb THEN -0.15 ELSE 0.15 END + 0.08 * CASE WHEN la IS NULL AND lb IS NULL THEN 0.5 WHEN la = lb THEN 1 ELSE 0 END + 0.04 * CASE WHEN sa IS NULL AND sb IS NULL THEN 0.5 WHEN sa = sb THEN 1 ELSE 0 END, 1), 0), 6) AS score FROM p"
+)
+def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _two_years(spark, sf_dir)
+    pairs = matching.candidates(old, new).join(old.alias("a"), F.col("old_id") == F.col("a.id")).join(new.alias("b"), F.col("new_id") == F.col("b.id"))
+    name = tx.levenshtein_similarity(F.col("a.name"), F.col("b.name"))
+    return pairs.select("old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
+
+
+@query()
+def j_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = table(spark, sf_dir, "inventory").select(F.col("rec_id").alias("id"), "name")
+    spdx = table(spark, sf_dir, "spdx_packages").select(F.col("rec_id").alias("id"), "name")
+    return rules.minhash_pairs(inv, spdx, 0.6)
+
+
+@query("WITH k AS (SELECT DISTINCT lower(name) AS n, lower(name) AS known FROM spdx_packages WHERE length(name) > 0), i AS (SELECT DISTINCT rec_id, lower(name) AS n FROM inventory WHERE length(name) > 0), c AS (SELECT rec_id, n, unnest(list_distinct(list_prepend(n, [n[1:j-1] || n[j+1:] FOR j IN range(1, length(n) + 1)]))) AS cut FROM i), d AS (SELECT known, unnest(list_distinct(list_prepend(known, [known[1:j-1] || known[j+1:] FOR j IN range(1, length(known) + 1)]))) AS cut FROM k) SELECT DISTINCT CAST(rec_id AS VARCHAR) AS id, c.n AS name, known FROM c JOIN d USING (cut) WHERE c.n <> known AND levenshtein(c.n, known) <= 2 AND NOT EXISTS (SELECT 1 FROM k WHERE k.n = c.n)")
+def er_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comps = table(spark, sf_dir, "inventory").select(F.lit(0).alias("sbom_id"), F.col("rec_id").cast("string").alias("id"), "name", F.lit("any").alias("ecosystem"))
+    known = table(spark, sf_dir, "spdx_packages").select("name", F.lit("any").alias("ecosystem")).distinct()
+    return rules.lookalikes(comps, known).select("id", "name", "known")
