@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from bomloom.llm.boosting import Boosted, best_threshold
 from bomloom.llm.pii_spans import KINDS, Lexicon, Span, lexicon_counts, spans
 from bomloom.llm.pii_train import sample
+from bomloom.runtime import materialize
 
 PLACEHOLDERS = {"person": "[PERSON]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 #: Bound on the labelled sample, in texts; a third of them is held out.
@@ -119,7 +120,7 @@ def corpus_lexicon(documents: DataFrame, share: float = 1e-5) -> Lexicon:
     that bounds what is sent to the driver and the workers.
     """
     counts = documents.where("text is not null").select("text").mapInArrow(_count, "role string, word string, seen bigint, plain bigint")
-    summed = counts.groupBy("role", "word").agg(F.sum("seen").alias("seen"), F.sum("plain").alias("plain"))
+    summed = materialize(counts.groupBy("role", "word").agg(F.sum("seen").alias("seen"), F.sum("plain").alias("plain")), "word-counts")
     total = summed.groupBy("role").agg(F.sum("plain").alias("total"))
     kept = summed.join(F.broadcast(total), "role").where((F.col("plain") >= 2) & (F.col("plain") >= share * F.col("total")))
     return _lexicon([tuple(r) for r in kept.select("role", "word", "seen", "plain").collect()])
