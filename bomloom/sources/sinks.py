@@ -53,7 +53,7 @@ def escape_html(text: Column) -> Column:
 
 
 def escape_markdown_cell(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\\\|"), r"\r?\n", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\r?\n", " ")
 
 
 def markdown_table(rows: DataFrame, columns: list[str]) -> str:

@@ -19,7 +19,7 @@ def watch(spark: SparkSession, folder: str, state_dir: str, checkpoint: str, par
     leaves the old state.  Rerunning a batch overwrites the same state, so a
     restart changes nothing.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
     def state() -> DataFrame:
         try:
