@@ -25,10 +25,16 @@ def lenient_parts(text: Column) -> Column:
     return F.when(F.get(bits, F.lit(0)).rlike(r"^\d+$"), parsed)
 
 
-def version_boost(a: Column, b: Column) -> Column:
-    """0.10 equal, 0.07 same major and minor, 0.04 same major, else 0 (null included)."""
-    bits = lambda v: (F.get(F.split(v, r"\."), F.lit(0)).try_cast("int"), F.split(F.get(F.split(v, r"\."), F.lit(1)), "-")[0].try_cast("int"))
-    (ma, na), (mb, nb) = bits(a), bits(b)
+def boost_parts(version: Column) -> Column:
+    """STRUCT<major, minor INT> as ``version_boost`` compares them."""
+    bits = F.split(version, r"\.")
+    return F.struct(F.get(bits, F.lit(0)).try_cast("int").alias("major"), F.split(F.get(bits, F.lit(1)), "-")[0].try_cast("int").alias("minor"))
+
+
+def version_boost(a: Column, b: Column, parts: tuple[Column, Column] | None = None) -> Column:
+    """0.10 equal, 0.07 same major and minor, 0.04 same major, else 0 (null included); ``parts`` if they are known."""
+    pa, pb = parts or (boost_parts(a), boost_parts(b))
+    (ma, na), (mb, nb) = ((p["major"], p["minor"]) for p in (pa, pb))
     return F.coalesce(F.when(a == b, 0.10).when((ma == mb) & (na == nb), 0.07).when(ma == mb, 0.04), F.lit(0.0))
 
 

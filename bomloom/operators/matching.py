@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from bomloom.functions import text as tx
 from bomloom.functions.purl import name_normal, purl_normal
-from bomloom.functions.version import version_boost, version_divergence
+from bomloom.functions.version import boost_parts, version_boost, version_divergence
+from bomloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -30,26 +31,45 @@ FIELD_WEIGHTS = {
 CONFIDENCE_WIDTH = {"exact": 0.0, "alias": 0.02, "ecosystem_rule": 0.03, "fuzzy": 0.08, "none": 0.10}
 
 
+def _keys(name: Column, ecosystem: Column) -> Column:
+    n = name_normal(name, ecosystem)
+    prefix = F.concat_ws("/", F.lit("p"), F.coalesce(ecosystem, F.lit("")), F.substring(n, 1, 3))
+    grams = F.transform(tx.trigrams(n), lambda g: F.concat(F.lit("t/"), F.substring(n, 1, 1), g))
+    return F.when(n != "", F.array_distinct(F.concat(F.array(prefix), grams)))
+
+
 def blocks(components: DataFrame) -> DataFrame:
     """``sbom_id, id, key``: the keys under which a component meets candidates.
 
     The ecosystem with the first three letters of its normal name, and the
     normal name's trigrams with the first letter.
     """
-    name = name_normal(F.col("name"), F.col("ecosystem"))
-    low = components.withColumn("n", name).where("n is not null and n <> ''")
-    prefix = F.concat_ws("/", F.lit("p"), F.coalesce("ecosystem", F.lit("")), F.substring("n", 1, 3))
-    grams = F.transform(tx.trigrams(F.col("n")), lambda g: F.concat(F.lit("t/"), F.substring("n", 1, 1), g))
-    return low.select("sbom_id", "id", F.explode(F.array_distinct(F.concat(F.array(prefix), grams))).alias("key"))
+    return components.select("sbom_id", "id", F.explode(_keys(F.col("name"), F.col("ecosystem"))).alias("key"))
+
+
+def _near_names(old: DataFrame, new: DataFrame, max_length_gap: int) -> DataFrame:
+    """Distinct ``na, ea, nb, eb``: names with their ecosystems that share a block and are close in length."""
+    keyed = lambda d, n, e: d.select(F.col("name").alias(n), F.col("ecosystem").alias(e)).distinct().withColumn("key", F.explode(_keys(F.col(n), F.col(e))))
+    met = keyed(old, "na", "ea").join(keyed(new, "nb", "eb"), "key").drop("key").distinct()
+    return met.where(F.abs(F.length("na") - F.length("nb")) <= max_length_gap)
 
 
-def candidates(old: DataFrame, new: DataFrame, max_length_gap: int = 10) -> DataFrame:
-    """Distinct ``old_id, new_id`` that share a block and whose names' lengths are close."""
-    a = blocks(old).select("key", F.col("id").alias("old_id"))
-    b = blocks(new).select("key", F.col("id").alias("new_id"))
-    pairs = a.join(b, "key").select("old_id", "new_id").distinct()
-    sized = pairs.join(old.select(F.col("id").alias("old_id"), F.length("name").alias("lo")), "old_id").join(new.select(F.col("id").alias("new_id"), F.length("name").alias("ln")), "new_id")
-    return sized.where(F.abs(F.col("lo") - F.col("ln")) <= max_length_gap).select("old_id", "new_id")
+def _meet(near: DataFrame, a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows of both sides (``name, ecosystem`` as na, ea and nb, eb) whose names are near, within equal ``by``."""
+    named = lambda d, x: d.withColumnsRenamed({"name": f"_n{x}", "ecosystem": f"_e{x}"})
+    left = near.join(named(a, "a"), F.expr("na <=> _na and ea <=> _ea"))
+    right = named(b, "b").withColumnsRenamed({c: f"_{c}" for c in by})
+    return left.join(right, F.expr(" and ".join(["nb <=> _nb", "eb <=> _eb", *(f"{c} = _{c}" for c in by)]))).drop("_na", "_ea", "_nb", "_eb", *(f"_{c}" for c in by))
+
+
+def candidates(old: DataFrame, new: DataFrame, max_length_gap: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct ``by, old_id, new_id`` that share a block and whose names' lengths are close.
+
+    ``by`` are columns of both sides (the two documents), within which they meet.
+    Blocks are joined for distinct names, so a pair of components comes up once.
+    """
+    side = lambda d, out: d.select(*by, "name", "ecosystem", F.col("id").alias(out)).distinct()
+    return _meet(_near_names(old, new, max_length_gap), side(old, "old_id"), side(new, "new_id"), by).select(*by, "old_id", "new_id")
 
 
 def cheap_tier(a: str, b: str) -> Column:
@@ -86,6 +106,38 @@ def score_pairs(pairs: DataFrame, old: DataFrame, new: DataFrame, preset: Preset
     return done.unionByName(fuzzy.select("old_id", "new_id", F.when(ok, F.col("s")).otherwise(0.0).alias("score"), F.when(ok, "fuzzy").otherwise("none").alias("tier")))
 
 
+def alike(components: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, rep, id, name, ecosystem, version, purl``: components that score alike share ``rep``, their smallest id."""
+    low = components.select(*by, "id", "name", "ecosystem", "version", purl_normal(F.col("purl")).alias("purl"))
+    return materialize(low.withColumn("rep", F.min("id").over(Window.partitionBy(*by, "name", "ecosystem", "version", "purl"))), "alike")
+
+
+def alike_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = (), preset: Preset = PRESETS["balanced"], max_length_gap: int = 10) -> DataFrame:
+    """``by, old_id, new_id, score, tier`` as of ``score_pairs``, for the ``rep`` of both sides of ``alike`` that are candidates.
+
+    Names are scored once for a pair of names, the rest once for a pair of ``rep``.
+    """
+    near = _near_names(old, new, max_length_gap)
+    same = (F.col("ea") == F.col("eb")) & (name_normal(F.col("na"), F.col("ea")) == name_normal(F.col("nb"), F.col("eb")))
+    near = name_scores(near.withColumnsRenamed({"na": "name_a", "nb": "name_b"}), preset).withColumnsRenamed({"name_a": "na", "name_b": "nb"}).withColumn("same_name", same)
+    near = materialize(near, "near-names")
+    side = lambda d, x, out: d.where("id = rep").select(*by, "name", "ecosystem", F.col("id").alias(out), F.col("version").alias(f"v{x}"), F.col("purl").alias(f"p{x}"), boost_parts(F.col("version")).alias(f"s{x}"))
+    met = _meet(near, side(old, "a", "old_id"), side(new, "b", "new_id"), by)
+    s = F.least(F.col("name_score") + version_boost(F.col("va"), F.col("vb"), (F.col("sa"), F.col("sb"))), F.lit(1.0))
+    exact, rule, fuzzy = F.col("pa") == F.col("pb"), F.col("same_name"), s >= preset.threshold
+    score = F.when(exact, 1.0).when(rule, 0.90).when(fuzzy, s).otherwise(0.0)
+    return met.select(*by, "old_id", "new_id", score.alias("score"), F.when(exact, "exact").when(rule, "ecosystem_rule").when(fuzzy, "fuzzy").otherwise("none").alias("tier"))
+
+
+def all_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, old_id, new_id, score, tier`` of all candidates of two sides."""
+    a, b = alike(old, by), alike(new, by)
+    scored = alike_scores(a, b, by).withColumnsRenamed({"old_id": "old_rep", "new_id": "new_rep"})
+    member = lambda d, r, out: d.select(*by, F.col("rep").alias(r), F.col("id").alias(out))
+    full = scored.join(member(a, "old_rep", "old_id"), [*by, "old_rep"]).join(member(b, "new_rep", "new_id"), [*by, "new_rep"])
+    return full.select(*by, "old_id", "new_id", "score", "tier")
+
+
 def multi_field_score(weights: dict[str, float], name_score: Column, a: str, b: str) -> Column:
     """Weighted name, version, ecosystem, licence and supplier; a field missing on both sides counts half."""
     col = lambda s, c: F.col(f"{s}.{c}")
@@ -190,21 +242,68 @@ def assign(scored: DataFrame, groups: DataFrame, exact_limit: int = 2000) -> Dat
     return scored.where("score > 0").join(groups, "old_id").groupBy("grp").applyInPandas(solve, "old_id string, new_id string, score double")
 
 
-def greedy_assign(scored: DataFrame) -> DataFrame:
-    """One-to-one matches, best score first: rounds of mutual best until nothing is left."""
-    from bomloom.runtime import materialize
-
-    left = materialize(scored.where("score > 0").select("old_id", "new_id", "score"), "greedy-0")
-    taken, n = left.limit(0), 0
-    while not left.isEmpty():
+def connected(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, old_id, grp``: the connected components of the scored pairs, named by their smallest old id."""
+    pairs = scored.select(*by, "old_id", "new_id")
+    labels = materialize(pairs.select(*by, "old_id", F.col("old_id").alias("grp")).distinct(), "groups-0")
+    n = 0
+    while True:
         n += 1
-        by_old = Window.partitionBy("old_id").orderBy(F.desc("score"), "old_id", "new_id")
-        by_new = Window.partitionBy("new_id").orderBy(F.desc("score"), "old_id", "new_id")
-        best = left.withColumn("ro", F.row_number().over(by_old)).withColumn("rn", F.row_number().over(by_new)).where("ro = 1 and rn = 1").drop("ro", "rn")
-        best = materialize(best, f"greedy-best-{n}")
-        taken = taken.unionByName(best)
-        left = materialize(left.join(best.select("old_id"), "old_id", "left_anti").join(best.select("new_id"), "new_id", "left_anti").select("old_id", "new_id", "score"), f"greedy-{n}")
-    return taken
+        there = pairs.join(labels, [*by, "old_id"]).groupBy(*by, "new_id").agg(F.min("grp").alias("grp"))
+        back = pairs.join(there, [*by, "new_id"]).groupBy(*by, "old_id").agg(F.min("grp").alias("grp"))
+        jump = back.select(*by, F.col("old_id").alias("grp"), F.col("grp").alias("further"))
+        new = back.join(jump, [*by, "grp"], "left").select(*by, "old_id", F.least("grp", F.coalesce("further", "grp")).alias("grp"))
+        new = materialize(new, f"groups-{n}")
+        if new.join(labels.withColumnRenamed("grp", "was"), [*by, "old_id"]).where("grp <> was").isEmpty():
+            return new
+        labels = new
+
+
+def _by_group(scored: DataFrame, groups: DataFrame | None, by: tuple[str, ...], alike_sides: tuple[DataFrame, DataFrame] | None, solve) -> DataFrame:
+    """``solve(pairs, ids of each old rep, ids of each new rep)`` for every connected group of candidates."""
+    edges = materialize(scored.where("score > 0").select(*by, "old_id", "new_id", "score"), "scored")
+    edges = materialize(edges.join(connected(edges, by) if groups is None else groups, [*by, "old_id"]), "grouped")
+    held = []
+    for side, c in enumerate(("old_id", "new_id")):
+        reps = edges.select(*by, "grp", F.col(c).alias("rep")).distinct()
+        ids = reps.withColumn("id", F.col("rep")) if alike_sides is None else reps.join(alike_sides[side].select(*by, "rep", "id"), [*by, "rep"])
+        held.append(ids.select(*by, "grp", "rep", "id", F.lit(side).alias("side")))
+
+    held = materialize(held[0].unionByName(held[1]), "grouped-ids")
+
+    def run(key: tuple, pairs: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
+        ids = ids.sort_values("id")
+        olds, news = ({r: list(g) for r, g in ids[ids["side"] == i].groupby("rep")["id"]} for i in (0, 1))
+        out = pd.DataFrame(solve(pairs, olds, news), columns=["old_id", "new_id", "score"])
+        for at, c in enumerate(by):
+            out.insert(at, c, key[at])
+        return out
+
+    ddl = ", ".join([*(f"{c} {scored.schema[c].dataType.simpleString()}" for c in by), "old_id string, new_id string, score double"])
+    return edges.groupBy(*by, "grp").cogroup(held.groupBy(*by, "grp")).applyInPandas(run, ddl)
+
+
+def _greedy(pairs: pd.DataFrame, olds: dict[str, list[str]], news: dict[str, list[str]]) -> list[tuple[str, str, float]]:
+    """By score, then old id, then new id: within one score every old takes its smallest new that is left."""
+    out, taken, next_new = [], set(), dict.fromkeys(news, 0)
+    for score, level in sorted(pairs.groupby("score"), key=lambda x: -x[0]):
+        near = {o: list(g) for o, g in level.groupby("old_id")["new_id"]}
+        for old, rep in sorted((x, r) for r in near for x in olds[r] if x not in taken):
+            near[rep] = [n for n in near[rep] if next_new[n] < len(news[n])]
+            if near[rep]:
+                n = min(near[rep], key=lambda n: news[n][next_new[n]])
+                out.append((old, news[n][next_new[n]], score))
+                taken.add(old)
+                next_new[n] += 1
+    return out
+
+
+def greedy_assign(scored: DataFrame, by: tuple[str, ...] = (), alike_sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One-to-one matches, best score first, ties by old and new id, within ``by``.
+
+    With ``alike_sides`` the pairs are of the ``rep`` of ``alike`` and stand for all ids that share it.
+    """
+    return _by_group(scored, None, by, alike_sides, _greedy)
 
 
 def equivalents(components: DataFrame, families: DataFrame, penalty: float = 0.10, minimum: float = 0.80) -> DataFrame:

@@ -10,9 +10,10 @@ from bomloom.functions import licence as lic
 from bomloom.functions import purl as pu
 from bomloom.functions import text as tx
 from bomloom.functions import version as ve
-from bomloom.operators import enrichment, matching, rules
+from bomloom.model import Tables
+from bomloom.operators import differ, enrichment, matching, rules
 from bomloom.queries.fleetwide import M
-from bomloom.runtime import table
+from bomloom.runtime import materialize, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,6 +98,15 @@ def fn_version_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.round(ve.version_divergence(F.col("a"), F.col("b")), 9).alias("divergence"), F.round(ve.version_boost(F.col("a"), F.col("b")), 9).alias("boost"))
 
 
+@query()
+def fn_version_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fn_version_distance`` of all consecutive documents."""
+    old, new = _all_years(spark, sf_dir)
+    side = lambda d, x: d.select(*_DOCS, "id", F.col("version").alias(x))
+    p = side(old, "a").join(side(new, "b"), [*_DOCS, "id"])
+    return p.select(*_DOCS, "id", F.round(ve.version_divergence(F.col("a"), F.col("b")), 9).alias("divergence"), F.round(ve.version_boost(F.col("a"), F.col("b")), 9).alias("boost"))
+
+
 @query(f"WITH {_NAMES}, d AS (SELECT *, list_max([CASE WHEN left(a, i) = left(b, i) THEN i ELSE 0 END FOR i IN range(0, least(length(a), length(b)) + 1)]) AS prefix FROM pairs) SELECT a, b, CAST(prefix AS INTEGER) AS prefix, CAST(list_max([CASE WHEN right(a, i) = right(b, i) THEN i ELSE 0 END FOR i IN range(0, least(length(a), length(b)) - prefix + 1)]) AS INTEGER) AS suffix FROM d")
 def ui_inline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).withColumn("d", tx.inline_difference(F.col("a"), F.col("b"))).select("a", "b", "d.prefix", "d.suffix")
@@ -135,6 +145,16 @@ def _two_years(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return c.where("sbom_id = 1997"), c.where("sbom_id = 1998")
 
 
+_DOCS = ("old_sbom", "new_sbom")
+
+
+def _all_years(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole documents of all consecutive pairs, by ``old_sbom, new_sbom``."""
+    c = materialize(testdata.components(spark, sf_dir), "components")
+    pairs = differ.consecutive_pairs(Tables(c, c, c))
+    return tuple(c.join(F.broadcast(pairs), F.col("sbom_id") == F.col(d)) for d in _DOCS)
+
+
 _NORM_NAME = "CASE WHEN {0}.ecosystem = 'pypi' THEN regexp_replace(lower({0}.name), '[_.]+', '-', 'g') WHEN {0}.ecosystem = 'cargo' THEN replace(lower({0}.name), '-', '_') WHEN {0}.ecosystem = 'npm' THEN lower({0}.name) ELSE regexp_replace(replace(lower({0}.name), '_', '-'), '-+', '-', 'g') END"
 _NORM_PURL = "CASE {0}.ecosystem WHEN 'pypi' THEN regexp_replace(lower({0}.purl), '[_.]', '-', 'g') WHEN 'npm' THEN replace(lower({0}.purl), '%40', '@') WHEN 'cargo' THEN replace(lower({0}.purl), '-', '_') WHEN 'maven' THEN {0}.purl WHEN 'golang' THEN {0}.purl ELSE lower({0}.purl) END"
 _BLOCK_SQL = f"""{M}, old AS (SELECT * FROM components WHERE sbom_id = 1997 AND part_no % 10 = 0), new AS (SELECT * FROM components WHERE sbom_id = 1998),
@@ -149,10 +169,15 @@ def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidates(*_two_years(spark, sf_dir))
 
 
+@query()
+def er_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``er_candidates`` of whole documents and all consecutive pairs; its SQL covers a tenth of one."""
+    return matching.candidates(*_all_years(spark, sf_dir), by=_DOCS)
+
+
 @query()
 def er_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _two_years(spark, sf_dir)
-    return matching.explained(matching.score_pairs(matching.candidates(old, new), old, new))
+    return matching.explained(matching.all_scores(*_all_years(spark, sf_dir), by=_DOCS))
 
 
 @query(f"{_BLOCK_SQL}, tiers AS (SELECT old_id, new_id, CASE WHEN {_NORM_PURL.format('o')} = {_NORM_PURL.format('n')} THEN 1.0 WHEN o.ecosystem = n.ecosystem AND {_NORM_NAME.format('o')} = {_NORM_NAME.format('n')} THEN 0.9 END AS score FROM cand JOIN old o ON o.id = old_id JOIN new n ON n.id = new_id) SELECT old_id, new_id, CAST(score AS DOUBLE) AS score FROM tiers WHERE score IS NOT NULL")
@@ -162,6 +187,12 @@ def er_cheap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("old_id", "new_id", matching.cheap_tier("a", "b").cast("double").alias("score")).where("score is not null")
 
 
+@query()
+def er_cheap_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``er_cheap_tiers`` of whole documents and all consecutive pairs."""
+    return matching.all_scores(*_all_years(spark, sf_dir), by=_DOCS).where("tier in ('exact', 'ecosystem_rule')").drop("tier")
+
+
 @query()
 def er_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _two_years(spark, sf_dir)
@@ -172,8 +203,8 @@ def er_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def er_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _two_years(spark, sf_dir)
-    return matching.greedy_assign(matching.score_pairs(matching.candidates(old, new), old, new))
+    sides = tuple(matching.alike(d, _DOCS) for d in _all_years(spark, sf_dir))
+    return matching.greedy_assign(matching.alike_scores(*sides, by=_DOCS), _DOCS, sides)
 
 
 _EVENT_SCORE = "least(value / 20, 1.0)"
@@ -297,6 +328,17 @@ def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
 
 
+@query()
+def er_multifield_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``er_multifield`` of whole documents and all consecutive pairs."""
+    old, new = _all_years(spark, sf_dir)
+    fields = [F.struct("name", "version", "ecosystem", "licence", "supplier").alias(x) for x in "ab"]
+    pairs = matching.candidates(old, new, by=_DOCS)
+    pairs = pairs.join(old.select(*_DOCS, F.col("id").alias("old_id"), fields[0]), [*_DOCS, "old_id"]).join(new.select(*_DOCS, F.col("id").alias("new_id"), fields[1]), [*_DOCS, "new_id"])
+    name = tx.levenshtein_similarity(F.col("a.name"), F.col("b.name"))
+    return pairs.select(*_DOCS, "old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
+
+
 @query()
 def j_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = table(spark, sf_dir, "inventory").select(F.col("rec_id").alias("id"), "name")
