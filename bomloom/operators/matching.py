@@ -183,7 +183,7 @@ def otsu_threshold(scored: DataFrame, bins: int = 100) -> DataFrame:
 
 
 def _hungarian(score: np.ndarray) -> list[tuple[int, int]]:
-    """Rows to columns with the largest sum; entries of 0 are no pairs."""
+    """Rows to columns with the largest sum; entries of 0 are no pairs.  Dense: the tests hold ``_transport`` against it."""
     n, m = score.shape
     size = max(n, m)
     cost = np.zeros((size + 1, size + 1))
@@ -214,32 +214,92 @@ def _hungarian(score: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if 0 < match[j] <= n and score[match[j] - 1, j - 1] > 0]
 
 
-def assign(scored: DataFrame, groups: DataFrame, exact_limit: int = 2000) -> DataFrame:
-    """One-to-one matches with the most pairs and, among those, the largest scores.
+def _transport(supply: list[int], free: list[int], near: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, int]]:
+    """Units of each column's rows (row -> units) with the largest sum of 1 + score: shortest augmenting paths.
 
-    ``groups`` (old_id, grp) are connected groups of candidates, solved apart: a
-    group with at most ``exact_limit`` components on a side by the Hungarian
-    method, a larger one greedily by score, so that every group is matched.
+    Row ``i`` has ``supply[i]`` units and may use the columns ``near[i][0]`` at the
+    scores ``near[i][1]``; a unit without column costs nothing.  Only the given
+    pairs are held, so memory grows with them and not with rows times columns.
     """
+    m = len(free)
+    u, v, free = np.array([min(0.0, float(np.min(-1 - w))) for _, w in near]), np.zeros(m), np.array(free)
+    flow: list[dict[int, int]] = [{} for _ in range(m)]
+    for first, left in enumerate(supply):
+        u[first] = min(0.0, float(np.min(-1 - near[first][1] - v[near[first][0]])))
+        while left:
+            dist, way, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
+            base, via, todo, none = {first: 0.0}, {}, [first], (np.inf, -1)
+            while True:
+                for r in todo:
+                    cols, w = near[r]
+                    d = np.maximum(base[r] - 1 - w - u[r] - v[cols], base[r])
+                    closer = (d < dist[cols]) & ~done[cols]
+                    dist[cols[closer]], way[cols[closer]] = d[closer], r
+                    none = min(none, (base[r] - u[r], r))
+                ahead = np.where(done, np.inf, dist)
+                least = ahead.min()
+                if none[0] <= least:
+                    end, delta = -1, none[0]
+                    break
+                at = np.flatnonzero(ahead <= least)
+                open_ = at[free[at] > 0]
+                if len(open_):
+                    end, delta = int(open_[0]), least
+                    break
+                todo = []
+                for j in at.tolist():
+                    done[j] = True
+                    for r in flow[j]:
+                        if r not in base:
+                            base[r], via[r] = least, j
+                            todo.append(r)
+            v[done] -= delta - dist[done]
+            for r, x in base.items():
+                u[r] += delta - x
+            steps, r = [], none[1] if end < 0 else int(way[end])  # from the end back to the first row
+            units = left if end < 0 else min(left, int(free[end]))
+            while r != first:
+                steps.append((r, via[r]))
+                units = min(units, flow[via[r]][r])
+                r = int(way[via[r]])
+            r = none[1] if end < 0 else int(way[end])
+            if end >= 0:
+                free[end] -= units
+                flow[end][r] = flow[end].get(r, 0) + units
+            for r, j in steps:
+                flow[j][r] -= units
+                if not flow[j][r]:
+                    del flow[j][r]
+                other = int(way[j])
+                flow[j][other] = flow[j].get(other, 0) + units
+            left -= units
+    return flow
+
+
+def _optimal(pairs: pd.DataFrame, olds: dict[str, list[str]], news: dict[str, list[str]]) -> list[tuple[str, str, float]]:
+    rows, cols = sorted(olds), sorted(news)
+    at = {x: i for i, x in enumerate(cols)}
+    by_row = {o: (g["new_id"].map(at).to_numpy(), g["score"].to_numpy()) for o, g in pairs.sort_values(["old_id", "new_id"]).groupby("old_id")}
+    near = [by_row[r] for r in rows]
+    flow = _transport([len(olds[r]) for r in rows], [len(news[c]) for c in cols], near)
+    used, out = dict.fromkeys(rows, 0), []
+    for j, c in enumerate(cols):
+        first = 0
+        for i, units in sorted(flow[j].items()):
+            score = float(near[i][1][np.flatnonzero(near[i][0] == j)[0]])
+            out += [(olds[rows[i]][used[rows[i]] + k], news[c][first + k], score) for k in range(units)]
+            used[rows[i]] += units
+            first += units
+    return out
+
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        olds, news = sorted(set(pdf["old_id"])), sorted(set(pdf["new_id"]))
-        if max(len(olds), len(news)) <= exact_limit:
-            at_o, at_n = {x: i for i, x in enumerate(olds)}, {x: i for i, x in enumerate(news)}
-            m = np.zeros((len(olds), len(news)))
-            for o, n, s in zip(pdf["old_id"], pdf["new_id"], pdf["score"], strict=True):
-                m[at_o[o], at_n[n]] = s
-            pairs = [(olds[i], news[j], m[i, j]) for i, j in _hungarian(m)]
-        else:
-            pairs, used_o, used_n = [], set(), set()
-            for o, n, s in sorted(zip(pdf["old_id"], pdf["new_id"], pdf["score"], strict=True), key=lambda x: (-x[2], x[0], x[1])):
-                if o not in used_o and n not in used_n:
-                    pairs.append((o, n, s))
-                    used_o.add(o)
-                    used_n.add(n)
-        return pd.DataFrame(pairs, columns=["old_id", "new_id", "score"])
-
-    return scored.where("score > 0").join(groups, "old_id").groupBy("grp").applyInPandas(solve, "old_id string, new_id string, score double")
+def assign(scored: DataFrame, groups: DataFrame | None = None, by: tuple[str, ...] = (), alike_sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One-to-one matches with the largest sum of 1 + score, within ``by``.
+
+    Solved exactly, at any size, for each group of ``groups`` (old_id, grp), else
+    for each connected component of the pairs.  ``alike_sides`` as in ``greedy_assign``.
+    """
+    return _by_group(scored, groups, by, alike_sides, _optimal)
 
 
 def connected(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -195,10 +195,8 @@ def er_cheap_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def er_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _two_years(spark, sf_dir)
-    scored = matching.score_pairs(matching.candidates(old, new), old, new)
-    groups = old.select(F.col("id").alias("old_id"), F.coalesce("ecosystem", F.lit("")).alias("grp"))  # equal names meet in one ecosystem
-    return matching.assign(scored.where("tier <> 'fuzzy'"), groups)
+    sides = tuple(matching.alike(d, _DOCS) for d in _all_years(spark, sf_dir))
+    return matching.assign(matching.alike_scores(*sides, by=_DOCS), None, _DOCS, sides)
 
 
 @query()
