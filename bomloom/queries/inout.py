@@ -55,6 +55,12 @@ def src_spdx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.spdx_json(plain).components.select("sbom_id", "id", "name", "version", "licence")
 
 
+@query()
+def src_spdx_packages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of all SPDX documents, wrapped ones and only packages outside an array included; the SQL above leaves these out."""
+    return documents.spdx_json(documents.plain_json(_docs(spark, sf_dir))).components.select("sbom_id", "id", "name", "version", "licence")
+
+
 @query(
     """WITH v AS (SELECT raw_id, json_extract(body, '$.statements[*]') AS ss FROM nested_docs WHERE json_valid(body) AND json_type(body::JSON, '$.statements') = 'ARRAY'),
 s AS (SELECT raw_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS seq FROM v),
@@ -69,6 +75,12 @@ def src_openvex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.openvex(plain)
 
 
+@query()
+def src_openvex_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of all OpenVEX documents, wrapped ones and only statements outside an array included."""
+    return documents.openvex(documents.plain_json(_docs(spark, sf_dir)))
+
+
 @query(f"{M} SELECT sbom_id, coalesce(lower(purl), name || coalesce('@' || version, '')) AS id, any_value(name) AS name, count(*) > 0 AS parsed FROM components GROUP BY 1, 2")
 def src_cyclonedx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components written as CycloneDX documents and read back."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -9,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bomloom.functions.jsontext import parse
 from bomloom.model import Tables, severity_of
+from bomloom.operators.shredding import unwrap
 
 _LICENCE = "array<struct<license: struct<id: string, name: string>, expression: string>>"
 CYCLONEDX = f"""bomFormat string, specVersion string, serialNumber string,
@@ -117,6 +120,44 @@ def _spdx_tables(packages: DataFrame, relations: DataFrame) -> Tables:
     return Tables(_last(comps), edges.select("sbom_id", "from_id", "to_id", F.col("rel").alias("relationship"), F.lit(None).cast("string").alias("scope")), none)
 
 
+#: Fields that mark a document, and the arrays that ``spdx_json`` and ``openvex`` read, outer ones first.
+MARKERS = ("packages", "statements", "spdxVersion", "@context")
+ARRAYS = (("packages",), ("packages", "externalRefs"), ("packages", "checksums"), ("relationships",), ("statements",), ("statements", "products"), ("statements", "vulnerability", "aliases"))
+
+
+def _listed(obj: dict, path: tuple[str, ...]) -> bool:
+    """Puts the value at ``path`` into a list if it isn't in one; whether anything changed."""
+    key, rest = path[0], path[1:]
+    value = obj.get(key)
+    if value is None:
+        return False
+    if not rest:
+        if not isinstance(value, list):
+            obj[key] = [value]
+        return not isinstance(value, list)
+    return any([_listed(x, rest) for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)])
+
+
+def _plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        texts = []
+        for text in pdf["text"]:
+            doc = parse(text)
+            bare = unwrap(doc, MARKERS)
+            if bare is not None and any([bare is not doc, *[_listed(bare, p) for p in ARRAYS]]):
+                text = json.dumps(bare)
+            texts.append(text)
+        yield pdf.assign(text=texts)
+
+
+def plain_json(docs: DataFrame) -> DataFrame:
+    """``docs`` as the published schemas have them: taken out of a wrapping object, an only element inside its array.
+
+    Texts that need neither, and those that are no JSON, stay as they are.
+    """
+    return docs.select("sbom_id", "text").mapInPandas(_plain, docs.select("sbom_id", "text").schema)
+
+
 def spdx_json(docs: DataFrame) -> Tables:
     """Packages and relationships of SPDX JSON texts; unknown relationships are dropped."""
     d = docs.select("sbom_id", F.from_json("text", SPDX).alias("d"))
