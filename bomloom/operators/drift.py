@@ -164,7 +164,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, schema=_ROUTE)
 
 
-_UNIFIED = pa.schema([("rec_no", pa.int64()), ("feed", pa.string()), ("file_no", pa.int64()), ("line_no", pa.int32()), ("record_id", pa.string()), ("fields", pa.map_(pa.string(), pa.list_(pa.string())))])
+_UNIFIED = pa.schema([("rec_no", pa.int64()), ("feed", pa.string()), ("file_no", pa.int64()), ("line_no", pa.int32()), ("record_id", pa.string()), ("id_path", pa.string()), ("fields", pa.map_(pa.string(), pa.list_(pa.string())))])
 
 
 def _route(batches: Iterator[pa.RecordBatch], id_keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +178,9 @@ def _route(batches: Iterator[pa.RecordBatch], id_keys: tuple[str, ...]) -> Itera
             fields: dict[str, list[str]] = {}
             for path, _, text in leaves(doc):
                 fields.setdefault(names.get(path, path), []).append(text)
-            ident = next((doc[k] for k in id_keys if doc.get(k) is not None), None)
-            out.append({"rec_no": row["rec_no"], "feed": row["feed"], "file_no": row["file_no"], "line_no": row["line_no"], "record_id": None if ident is None else storable(str(ident)), "fields": list(fields.items())})
+            key = next((k for k in id_keys if doc.get(k) is not None), None)
+            ident = None if key is None else doc[key]
+            out.append({"rec_no": row["rec_no"], "feed": row["feed"], "file_no": row["file_no"], "line_no": row["line_no"], "record_id": None if ident is None else storable(str(ident)), "id_path": names.get(key, key), "fields": list(fields.items())})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_UNIFIED)
 
@@ -194,11 +195,13 @@ def unified_records(
     """All valid records in one typed table, each routed through its feed's rename chain.
 
     ``columns`` maps an output column to (paths, type): the first of the paths
-    that the record holds under the feed's last names is cast to the type
-    (``try_cast``: a value that can't be cast becomes null), an ``array<string>``
-    column keeps all values of the path.  ``defaults`` fills absent fields.
-    Fields that no column names stay in ``other``, so nothing is lost.  Lines
-    that aren't JSON objects have no record.  A rec_no delivered twice stays twice.
+    that the record holds under the feed's last names with a value that can be
+    cast to the type fills it, an ``array<string>`` column keeps all values of
+    the path.  ``defaults`` fills columns that no path does.  All that is in no
+    column stays in ``other``, so nothing is lost: fields that no column names,
+    further paths of a column, further values of a path, values that can't be
+    cast, and a second identifier.  Lines that aren't JSON objects have no
+    record.  A rec_no delivered twice stays twice.
     """
     changes = schema_changes(records, id_keys) if changes is None else changes
     steps = changes.where("change_kind = 'renamed'").groupBy("feed", "file_no").agg(F.collect_list(F.struct("field_path", "new_path")).alias("steps"))
@@ -208,16 +211,20 @@ def unified_records(
     routes = ordered.mapInArrow(_chains, "feed string, file_no bigint, names map<string,string>")
     rows = records.select("rec_no", "feed", F.col("file_no").cast("bigint"), "line_no", "body").join(routes, ["feed", "file_no"])
     routed = rows.select("rec_no", "feed", "file_no", "line_no", "body", "names").mapInArrow(
-        partial(_route, id_keys=id_keys), "rec_no bigint, feed string, file_no bigint, line_no int, record_id string, fields map<string,array<string>>"
+        partial(_route, id_keys=id_keys), "rec_no bigint, feed string, file_no bigint, line_no int, record_id string, id_path string, fields map<string,array<string>>"
     )
     defaults = defaults or {}
-    out, used = [], list(id_keys)
+    out, whole, first = [], [], [F.col("id_path")]  # paths whose values, or whose first value, are in a column
     for name, (paths, kind) in columns.items():
-        used += paths
-        held = F.coalesce(*[F.col("fields")[p] for p in paths])
-        value = held if kind.startswith("array") else F.element_at(held, 1).try_cast(kind)
+        many = kind.startswith("array")
+        values = [F.col("fields")[p] if many else F.get(F.col("fields")[p], F.lit(0)).try_cast(kind) for p in paths]
+        (whole if many else first).append(F.coalesce(*[F.when(v.isNotNull(), F.lit(p)) for v, p in zip(values, paths, strict=True)]))
+        value = F.coalesce(*values)
         out.append((F.coalesce(value, F.lit(defaults[name]).cast(kind)) if name in defaults else value).alias(name))
-    other = F.map_filter("fields", lambda k, _: ~k.isin(used)).alias("other")
+    taken = lambda paths, k: F.array_contains(F.array_compact(F.array(*paths, F.lit(None).cast("string"))), k)
+    rest = F.map_filter("fields", lambda k, _: ~taken(whole, k))
+    rest = F.transform_values(rest, lambda k, v: F.when(taken(first, k), F.slice(v, 2, F.size(v))).otherwise(v))
+    other = F.map_filter(rest, lambda _, v: F.size(v) > 0).alias("other")
     return routed.select("rec_no", "feed", "file_no", "line_no", "record_id", *out, other)
 
 

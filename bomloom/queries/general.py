@@ -19,6 +19,7 @@ DRIFT_COLUMNS = {
     "licenses": (["licenseDeclared", "declaredLicense", "license_declared", "licenseId", "licenses.license.id", "licenses.license.spdxId", "licenses.declared", "licenses", "license.id"], "array<string>"),
     "purl": (["purl", "identifiers.purl", "packageUrl"], "string"),
     "supplier": (["supplier", "originator"], "string"),
+    "originator": (["originator"], "string"),
     "group_name": (["group"], "string"),
     "size_bytes": (["packageSize"], "bigint"),
     "weight": (["weight"], "bigint"),
