@@ -58,3 +58,20 @@ def test_equal_rows_and_empty_table(spark):
     rows = [inv(i, "por-batch", "1.0.0", "Nade Labs", "npm") for i in range(30)] + [spdx(99, "por-batch", "1.0.0", "Nade Labs", "npm", "nade")]
     assert matches(spark, rows) == {(i, 99) for i in range(30)}
     assert matches(spark, []) == set()
+
+
+def test_rivals_overrule_the_prior(spark):
+    """A planted namesake whose own evidence is for a match: only the one-to-one factor tells that it is none."""
+    rows = [inv(1, "tus-archve", "1.7.0", "Vobu Networks", None, 10), spdx(3, "tus-archive", "1.7.0", "Vobu Networks", "maven", None, 11), spdx(4, "tus-archive", "1.7.0", None, "golang", None, 12)]
+    edges, _ = em.release_graph(spark.createDataFrame([(*r, "clash") for r in rows], DDL))
+    beliefs = {(r.a, r.b): (r.prior, r.confidence) for r in em.one_to_one_beliefs(edges).collect()}
+    assert beliefs[1, 3][1] > 0.8 and beliefs[1, 4][0] > 0 and beliefs[1, 4][1] < 0.5
+
+
+def test_estimated_weights():
+    """Evidence that agrees among most pairs and differs among the others is found without labels, and stays bounded."""
+    patterns = [(0, 0, 0, 0, -1, 900), (1, 0, -1, 0, -1, 200), (0, 1, 1, 1, -1, 150), (0, -1, -1, 1, 1, 30)]
+    base, weights = em.estimate(patterns)
+    assert 1 < base < 3 and all(abs(x) <= em.BOUND for w in weights.values() for x in w)
+    assert all(weights[f][0] > 1 > -1 > weights[f][1] for f in ("supplier", "eco", "day"))
+    assert em.estimate([])[0] == 0.0
