@@ -1,10 +1,14 @@
 """Personal data in free text: candidate gradient boosting.
 
 Generators with high recall propose overlapping spans (``pii_spans``).  Boosted
-trees, one forest for each kind, judge them by format, context and what the
-whole corpus says about their words; Platt-calibrated probabilities and
-thresholds from held-out texts select the redactions, the likeliest first.
+trees, one forest for each kind, judge them by format, context and what all
+other texts of the corpus say about their words; Platt-calibrated probabilities
+and thresholds from held-out texts select the redactions, the likeliest first.
 The trees are fitted on invented labelled texts of a fixed size (``pii_train``).
+
+Every text is read once: its spans and the words they refer to are written to
+the shared folder, the words' sightings are summed over the corpus and joined
+back, and the spans are judged in numpy.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomloom.llm.boosting import Boosted, best_threshold
-from bomloom.llm.pii_spans import KINDS, Lexicon, Span, lexicon_counts, spans
+from bomloom.llm.pii_spans import KINDS, OWN_FEATURES, WORD_FEATURES, spans
 from bomloom.llm.pii_train import sample
 from bomloom.runtime import materialize
 
@@ -27,135 +32,175 @@ PLACEHOLDERS = {"person": "[PERSON]", "email": "[EMAIL]", "phone": "[PHONE]", "i
 #: Bound on the labelled sample, in texts; a third of them is held out.
 TRAINING_TEXTS = 4500
 
+#: Features of a name that are a sign by themselves: cues before and behind, signatures, mailboxes, "by", labels.
+SIGNS = [0, 1, 3, 4, 18, 19]
+
+_WORD = pa.struct([("h", pa.int64()), ("seen", pa.int32()), ("plain", pa.int32())])
+_SPANS = [("kinds", pa.int8()), ("starts", pa.int32()), ("ends", pa.int32()), ("groups", pa.int32()), ("refs", pa.int32()), ("feats", pa.float32())]
+_CANDIDATES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *((n, pa.list_(t)) for n, t in _SPANS), ("words", pa.list_(_WORD))])
+_CANDIDATES_DDL = (
+    "doc_id bigint, mark bigint, kinds array<tinyint>, starts array<int>, ends array<int>, groups array<int>, refs array<int>, feats array<float>, words array<struct<h: bigint, seen: int, plain: int>>"
+)
+
+
+def encode(text: str) -> tuple[dict[str, list], list[dict]]:
+    """A text's spans as flat lists, and its words; a span's two references count the words from 0, -1 is none."""
+    found, words = spans(text)
+    at = {w: i for i, w in enumerate(words)}
+    out: dict[str, list] = {n: [] for n, _ in _SPANS}
+    for s in found:
+        out["kinds"].append(s.kind)
+        out["starts"].append(s.start)
+        out["ends"].append(s.end)
+        out["groups"].append(s.group)
+        out["refs"] += [at[w] if w is not None and w in at else -1 for w in s.words]
+        out["feats"] += map(float, s.features)
+    return out, [{"h": xxhash.xxh3_64_intdigest("\x1f".join(w)) - 2**63, "seen": n, "plain": k} for w, (n, k) in words.items()]
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, words = encode(text)
+            if found["kinds"]:
+                rows.append({"doc_id": doc_id, "mark": mark, **found, "words": words})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATES)
+
 
-def _level(plain: int, seen: int) -> float:
-    """0 to 3 by the smoothed share of plain sightings: coarse, so that no tree learns single words."""
+def level(seen, plain):
+    """-1 if a word isn't seen elsewhere, else 0 to 3 by the smoothed share of plain sightings: coarse, so that no tree learns single words."""
     share = (plain + 0.2) / (seen + 2.0)
-    return float((share > 0.05) + (share > 0.2) + (share > 0.5))
+    return np.where(seen > 0, (share > 0.05).astype(float) + (share > 0.2) + (share > 0.5), -1.0)
 
 
-def _lexicon(counts: list[tuple[str, str, int, int]]) -> Lexicon:
-    shares = {"given": {}, "family": {}, "town": {}, "street": {}}
-    for role, word, seen, plain in counts:
-        shares[role][word] = _level(plain, seen)
-    return Lexicon(shares["given"], shares["family"], shares["town"], shares["street"])
+def _level_column(seen: Column, plain: Column) -> Column:
+    share = (plain + 0.2) / (seen + 2.0)
+    return F.when(seen <= 0, -1.0).otherwise((share > 0.05).cast("double") + (share > 0.2).cast("double") + (share > 0.5).cast("double")).cast("float")
+
+
+class Spans:
+    """The spans of many texts as arrays, with one feature matrix for each kind."""
+
+    def __init__(self, kinds, starts, ends, groups, refs, feats, row, levels, first_level):
+        self.kinds, self.starts, self.ends, self.row = kinds, starts, ends, row
+        refs = refs.reshape(-1, 2)
+        padded = np.append(levels, -1.0)  # the last place is for words that there are none of
+        base = first_level[row][:, None]
+        word = padded[np.where(refs >= 0, refs + base, len(levels))] if len(refs) else np.zeros((0, 2))
+        size = np.array(OWN_FEATURES)[kinds] if len(kinds) else np.zeros(0, dtype=int)
+        offset = np.concatenate([[0], np.cumsum(size)])[:-1].astype(int) if len(kinds) else np.zeros(0, dtype=int)
+        self.at, self.x = [], []
+        for k in range(len(KINDS)):
+            at = np.flatnonzero(kinds == k)
+            x = feats[offset[at][:, None] + np.arange(OWN_FEATURES[k])] if len(at) else np.zeros((0, OWN_FEATURES[k]))
+            if k == 0:
+                # a name without any sign is one only if its words are names elsewhere
+                sign = (x[:, SIGNS] > 0).any(axis=1) if len(at) else np.zeros(0, dtype=bool)
+                keep = sign | (word[at] > 0).any(axis=1)
+                at, x = at[keep], x[keep]
+                x = np.hstack([x, word[at]])
+            elif WORD_FEATURES[k]:
+                _, where = np.unique(np.stack([row[at], groups[at]]), axis=1, return_inverse=True) if len(at) else (None, np.zeros(0, dtype=int))
+                where = np.asarray(where).reshape(-1)
+                best = np.full((where.max() + 1 if len(at) else 0, 2), -1.0)
+                np.maximum.at(best, where, word[at])
+                x = np.hstack([x, word[at][:, :1], best[where][:, :1] - word[at][:, :1], word[at][:, 1:], best[where][:, 1:] - word[at][:, 1:]])
+            self.at.append(at)
+            self.x.append(x)
+
+
+def _arrays(encoded: list[tuple[dict[str, list], list[float]]]) -> Spans:
+    lists = {n: np.array([v for e, _ in encoded for v in e[n]], dtype=t.to_pandas_dtype()) for n, t in _SPANS}
+    row = np.repeat(np.arange(len(encoded)), [len(e["kinds"]) for e, _ in encoded])
+    levels = np.array([v for _, w in encoded for v in w], dtype=float)
+    first = np.concatenate([[0], np.cumsum([len(w) for _, w in encoded])])[:-1].astype(int) if encoded else np.zeros(0, dtype=int)
+    return Spans(*(lists[n] for n, _ in _SPANS), row, levels, first)
+
+
+def prepared(texts: list[str]) -> Spans:
+    """The spans of texts that are each other's corpus."""
+    encoded = [encode(t) for t in texts]
+    seen: Counter = Counter()
+    plain: Counter = Counter()
+    for _, words in encoded:
+        for w in words:
+            seen[w["h"]] += w["seen"]
+            plain[w["h"]] += w["plain"]
+    return _arrays([(e, [float(level(np.array(seen[w["h"]] - w["seen"]), np.array(plain[w["h"]] - w["plain"]))) for w in words]) for e, words in encoded])
 
 
-def fit(texts: int = TRAINING_TEXTS, seed: int = 7) -> dict[str, tuple[Boosted, float]]:
+def fit(texts: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple[Boosted, float]]:
     """A forest and a threshold for each kind, from ``texts`` invented labelled texts."""
     docs = sample(texts, seed)
-    counts: Counter = Counter()
-    plain: Counter = Counter()
-    for text, _ in docs:
-        for role, word, n, k in lexicon_counts(text):
-            counts[role, word] += n
-            plain[role, word] += k
-    lexicon = _lexicon([(role, word, n, plain[role, word]) for (role, word), n in counts.items() if plain[role, word] > 1])
-    rows: dict[str, list[tuple[bool, list[float], int]]] = {k: [] for k in KINDS}
-    for i, (text, found) in enumerate(docs):
-        true = set(found)
-        for s in spans(text, lexicon):
-            rows[s.kind].append((i % 3 == 0, s.features, int((s.kind, s.start, s.end) in true)))
-    out = {}
-    for kind, r in rows.items():
-        held = np.array([x[0] for x in r])
-        x, y = np.array([x[1] for x in r]), np.array([x[2] for x in r], dtype=float)
+    found = prepared([t for t, _ in docs])
+    true = {(i, k, a, b) for i, (_, marked) in enumerate(docs) for k, a, b in marked}
+    out = []
+    for k, kind in enumerate(KINDS):
+        at, x = found.at[k], found.x[k]
+        y = np.array([(int(found.row[i]), kind, int(found.starts[i]), int(found.ends[i])) in true for i in at], dtype=float)
+        held = found.row[at] % 3 == 0
         model = Boosted().fit(x[~held], y[~held], x[held], y[held])
-        out[kind] = (model, best_threshold(model.probability(x[held]), y[held]))
+        out.append((model, best_threshold(model.probability(x[held]), y[held])))
     return out
 
 
 @lru_cache(maxsize=2)
-def fitted(texts: int = TRAINING_TEXTS, seed: int = 7) -> dict[str, tuple[Boosted, float]]:
+def fitted(texts: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple[Boosted, float]]:
     return fit(texts, seed)
 
 
-def select(found: list[Span], p: np.ndarray, thresholds: dict[str, float]) -> list[Span]:
-    """Spans over their threshold that don't overlap: the likeliest first, then the longer."""
-    ranked = sorted((i for i, s in enumerate(found) if p[i] >= thresholds[s.kind]), key=lambda i: (-round(float(p[i]), 3), found[i].start - found[i].end, found[i].start))
-    taken: list[Span] = []
-    for i in ranked:
-        s = found[i]
-        if all(s.end <= t.start or s.start >= t.end for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s.start)
-
-
-def judge(texts: list[str | None], models: dict[str, tuple[Boosted, float]], lexicon: Lexicon) -> list[list[Span]]:
-    found = [spans(t, lexicon) if t else [] for t in texts]
-    thresholds = {k: m[1] for k, m in models.items()}
-    by_kind: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for i, f in enumerate(found):
-        for j, s in enumerate(f):
-            by_kind[s.kind].append((i, j))
-    scores = [np.zeros(len(f)) for f in found]
-    for kind, at in by_kind.items():
-        if at:
-            p = models[kind][0].probability(np.array([found[i][j].features for i, j in at]))
-            for (i, j), v in zip(at, p, strict=True):
-                scores[i][j] = v
-    return [select(f, s, thresholds) for f, s in zip(found, scores, strict=True)]
-
-
-_COUNTS = pa.schema([("role", pa.string()), ("word", pa.string()), ("seen", pa.int64()), ("plain", pa.int64())])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: Counter = Counter()
-        plain: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            for role, word, n, k in lexicon_counts(text):
-                seen[role, word] += n
-                plain[role, word] += k
-        if seen:
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64()), pa.array([plain[k] for k in keys], pa.int64())], schema=_COUNTS)
-
-
-def corpus_lexicon(documents: DataFrame, share: float = 1e-5) -> Lexicon:
-    """Counts over all documents, kept for words that make up ``share`` of their role's plain sightings (twice at least).
-
-    At most 1/share words a role can reach that, whatever the size of the corpus:
-    that bounds what is sent to the driver and the workers.
-    """
-    counts = documents.where("text is not null").select("text").mapInArrow(_count, "role string, word string, seen bigint, plain bigint")
-    summed = materialize(counts.groupBy("role", "word").agg(F.sum("seen").alias("seen"), F.sum("plain").alias("plain")), "word-counts")
-    total = summed.groupBy("role").agg(F.sum("plain").alias("total"))
-    kept = summed.join(F.broadcast(total), "role").where((F.col("plain") >= 2) & (F.col("plain") >= share * F.col("total")))
-    return _lexicon([tuple(r) for r in kept.select("role", "word", "seen", "plain").collect()])
-
+def judge(found: Spans, models: list[tuple[Boosted, float]]) -> list[tuple[int, int, int, int]]:
+    """(text, start, end, kind) of spans over their threshold that don't overlap: the likeliest first, then the longer."""
+    picked: dict[int, list[tuple]] = {}
+    for k, (model, threshold) in enumerate(models):
+        if len(found.at[k]):
+            p = model.probability(found.x[k])
+            for i, v in zip(found.at[k][p >= threshold].tolist(), p[p >= threshold].tolist(), strict=True):
+                start, end = int(found.starts[i]), int(found.ends[i])
+                picked.setdefault(int(found.row[i]), []).append((-round(v, 3), start - end, start, end, k))
+    out = []
+    for row, options in sorted(picked.items()):
+        taken: list[tuple[int, int, int]] = []
+        for _, _, start, end, k in sorted(options):
+            if all(end <= a or start >= b for a, b, _ in taken):
+                taken.append((start, end, k))
+        out += [(row, a, b, k) for a, b, k in sorted(taken)]
+    return out
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("pii_kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
 
+_FOUND = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("pii_kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
+_FOUND_DDL = "doc_id bigint, mark bigint, pii_kind string, start_pos int, end_pos int"
 
-def _find(batches: Iterator[pa.RecordBatch], models, lexicon, chunk: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, chunk):
-            part = batch.slice(at, chunk)
-            ids = part.column(0).to_pylist()
-            out = [(i, s) for i, found in zip(ids, judge(part.column(1).to_pylist(), models, lexicon), strict=True) for s in found]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([s.kind for _, s in out]), pa.array([s.start for _, s in out], pa.int32()), pa.array([s.end for _, s in out], pa.int32())], schema=_FOUND)
 
-
-_REDACTED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("redactions", pa.int32())])
+def _select(batches: Iterator[pa.RecordBatch], models: list[tuple[Boosted, float]], chunk: int = 2000) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for begin in range(0, whole.num_rows, chunk):
+            batch = whole.slice(begin, chunk)
+            column = lambda n: batch.column(batch.schema.names.index(n))  # noqa: B023, E731
+            flat = lambda n: column(n).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            row = np.repeat(np.arange(batch.num_rows), column("kinds").value_lengths().to_numpy(zero_copy_only=False))
+            sizes = column("levels").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(int)
+            found = judge(Spans(*(flat(n) for n, _ in _SPANS), row, flat("levels").astype(float), first), models)
+            if found:
+                rows, starts, ends, kinds = (np.array(c) for c in zip(*found, strict=True))
+                ids = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([column("doc_id").take(ids), column("mark").take(ids), pa.array([KINDS[k] for k in kinds]), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=_FOUND)
 
 
-def _redact(batches: Iterator[pa.RecordBatch], models, lexicon, chunk: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, chunk):
-            part = batch.slice(at, chunk)
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            clean = []
-            found = judge(texts, models, lexicon)
-            for text, places in zip(texts, found, strict=True):
-                done, pieces = 0, []
-                for s in places:
-                    pieces += [text[done : s.start], PLACEHOLDERS[s.kind]]
-                    done = s.end
-                clean.append(None if text is None else "".join(pieces) + text[done:])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clean, pa.string()), pa.array([len(f) for f in found], pa.int32())], schema=_REDACTED)
+def _places(documents: DataFrame, texts: int) -> DataFrame:
+    """``doc_id, mark, pii_kind, start_pos, end_pos``; ``mark`` is a hash of the text."""
+    read = documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    made = materialize(read.mapInArrow(_propose, _CANDIDATES_DDL).withColumn("place", F.monotonically_increasing_id()), "spans")
+    words = made.select("place", F.posexplode("words").alias("i", "w")).select("place", "i", "w.*")
+    total = words.groupBy("h").agg(F.sum("seen").alias("all_seen"), F.sum("plain").alias("all_plain"))
+    known = words.join(total, "h").select("place", F.struct("i", _level_column(F.col("all_seen") - F.col("seen"), F.col("all_plain") - F.col("plain")).alias("v")).alias("x"))
+    # a text's own words only
+    levels = known.groupBy("place").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("levels"))
+    full = made.drop("words").join(levels, "place", "left").withColumn("levels", F.coalesce("levels", F.expr("cast(array() as array<float>)")))
+    return full.drop("place").mapInArrow(partial(_select, models=fitted(texts)), _FOUND_DDL)
 
 
 def find_pii(documents: DataFrame, texts: int = TRAINING_TEXTS) -> DataFrame:
@@ -165,11 +210,30 @@ def find_pii(documents: DataFrame, texts: int = TRAINING_TEXTS) -> DataFrame:
     repeated places; other columns are ignored; an empty table gives an empty
     result.
     """
-    work = partial(_find, models=fitted(texts), lexicon=corpus_lexicon(documents))
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "doc_id bigint, pii_kind string, start_pos int, end_pos int")
+    return _places(documents, texts).drop("mark")
+
+
+_REDACTED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("redactions", pa.int32())])
+
+
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            done, pieces = 0, []
+            for s in found or []:
+                pieces += [text[done : s["start_pos"]], PLACEHOLDERS[s["pii_kind"]]]
+                done = s["end_pos"]
+            out.append({"doc_id": doc_id, "text": None if text is None else "".join(pieces) + text[done:], "redactions": len(found or [])})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_REDACTED)
 
 
 def redact(documents: DataFrame, texts: int = TRAINING_TEXTS) -> DataFrame:
-    """``doc_id, text, redactions``: the texts with typed placeholders; a null text stays null."""
-    work = partial(_redact, models=fitted(texts), lexicon=corpus_lexicon(documents))
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "doc_id bigint, text string, redactions int")
+    """``doc_id, text, redactions``: the texts with typed placeholders; a null text stays null, repeated rows stay repeated."""
+    places = _places(documents, texts)
+    # equal texts of one id show the same places, each of them once
+    found = places.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start_pos", "end_pos", "pii_kind"))).alias("found"))
+    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    joined = own.join(found.withColumnsRenamed({"doc_id": "id", "mark": "m"}), F.expr("doc_id <=> id and mark = m"), "left")
+    return joined.select("doc_id", "text", "found").mapInArrow(_replace, "doc_id bigint, text string, redactions int")
