@@ -2,8 +2,8 @@
 
 Operators that need an intermediate result twice write it as a Parquet table
 below ``spark.checkpoint.dir`` (a folder that every executor shares), so that a
-lost executor never loses it.  Only where that setting is absent, as in local
-tests, a private folder is made.
+lost executor never loses it.  Only on a local master, where driver and
+executors are one process, may that setting be absent: a private folder is made.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: the session's, or our own if it has none."""
+    """The folder for cut lineage: the session's, or on a local master our own if it has none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="bomloom-"))
     return _OWN_DIR[0]
