@@ -1,11 +1,12 @@
-"""Schemas that drift between files: change log, schema versions, one table.
-
-Each file of a feed has a schema fingerprint: its leaf paths with their type
-sets.  Neighbouring files are compared path by path; where paths go and others
-come, the values of the records that both files hold decide which of them are
-renames.  Runs of equal fingerprints form versions, the changes between two
-versions are explicit migration steps (rename, cast, default), and every record
-is routed through the chain of steps from its own version to the feed's last.
+"""Schemas that drift between files: schema versions, migration steps, change log, one table.
+
+Every record is parsed once.  Each file of a feed has a schema fingerprint: its
+leaf paths with their type sets; runs of files with one fingerprint are a
+version.  Between two versions stand explicit migration steps: rename, default
+(for a new field), cast (for other types) and drop; where paths go and others
+come, the values of the records that both neighbouring files hold decide which
+are renames.  The change log is the list of steps, and every record is routed
+through the chain of steps from its own version on.
 """
 
 from __future__ import annotations
@@ -14,84 +15,98 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomloom.functions.jsontext import TYPE_BITS, leaves, parse, storable
 from bomloom.runtime import materialize
 
-_SCHEMAS = pa.schema([("feed", pa.string()), ("file_no", pa.int64()), ("path", pa.string()), ("types", pa.int32())])
-_VALUES = pa.schema(
-    [("feed", pa.string()), ("target", pa.int64()), ("side", pa.string()), ("rec", pa.int64()), ("path", pa.string()), ("digest", pa.int64())]
-)
+_PARSED = pa.schema(
+    [
+        ("rec_no", pa.int64()), ("feed", pa.string()), ("file_no", pa.int64()), ("line_no", pa.int32()), ("valid", pa.bool_()), ("record_id", pa.string()), ("id_path", pa.string()),
+        ("paths", pa.list_(pa.string())), ("bits", pa.list_(pa.int32())), ("texts", pa.list_(pa.string())),
+    ]
+)
+_PARSED_DDL = "rec_no bigint, feed string, file_no bigint, line_no int, valid boolean, record_id string, id_path string, paths array<string>, bits array<int>, texts array<string>"
 
 
-def _file_schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], id_keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[tuple[str, int, str], int] = {}
-        for feed, no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen.setdefault((feed, no, ""), 0)  # the file is there even if no line is valid
-            for path, bit, _ in leaves(parse(body)):
-                key = (feed, no, path)
-                seen[key] = seen.get(key, 0) | bit
-        if seen:
-            yield pa.RecordBatch.from_pylist([{"feed": f, "file_no": n, "path": p, "types": t} for (f, n, p), t in seen.items()], schema=_SCHEMAS)
+        out: list[list] = [[] for _ in _PARSED]
+        for rec_no, feed, file_no, line_no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            doc = parse(body)
+            found = list(leaves(doc))
+            key = next((k for k in id_keys if doc.get(k) is not None), None) if isinstance(doc, dict) else None
+            ident = None if key is None or isinstance(doc[key], (dict, list)) else storable(str(doc[key]))
+            row = (rec_no, feed, file_no, line_no, isinstance(doc, dict), ident, key, [x[0] for x in found], [x[1] for x in found], [x[2] for x in found])
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARSED, strict=True)], schema=_PARSED)
+
+
+def parsed_records(records: DataFrame, id_keys: tuple[str, ...] = ("SPDXID", "bom-ref")) -> DataFrame:
+    """Every record with a feed and a file, its leaves as parallel arrays ``paths, bits, texts``: the one pass over the bodies.
+
+    ``rec_no`` and ``line_no`` may be missing from the table; they are null then.
+    """
+    have = set(records.columns)
+    column = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
+    raw = records.where("feed is not null and file_no is not null").select(column("rec_no", "bigint"), "feed", column("file_no", "bigint"), column("line_no", "int"), "body")
+    return materialize(raw.mapInArrow(partial(_parse, id_keys=id_keys), _PARSED_DDL), "parsed")
 
 
-def file_schemas(records: DataFrame) -> DataFrame:
-    """``feed, file_no, path, types`` (bits); each file also has a row with an empty path."""
-    raw = records.where("feed is not null and file_no is not null").select("feed", F.col("file_no").cast("bigint"), "body")
-    found = raw.mapInArrow(_file_schemas, "feed string, file_no bigint, path string, types int")
-    return found.groupBy("feed", "file_no", "path").agg(F.bit_or("types").alias("types"))
+def file_schemas(parsed: DataFrame) -> DataFrame:
+    """``feed, file_no, path, types`` (bits); each file also has a row with an empty path, even if no line of it is valid."""
+    entries = F.arrays_zip(F.concat(F.array(F.lit("")), "paths").alias("path"), F.concat(F.array(F.lit(0)), "bits").alias("types"))
+    return parsed.select("feed", "file_no", F.explode(entries).alias("e")).groupBy("feed", "file_no", F.col("e.path").alias("path")).agg(F.bit_or("e.types").alias("types"))
 
 
-def _wanted_values(batches: Iterator[pa.RecordBatch], id_keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[dict] = []
-        for row in batch.to_pylist():
-            doc = parse(row["body"])
-            ident = next((doc[k] for k in id_keys if doc.get(k) is not None), None) if isinstance(doc, dict) else None
-            if ident is None or isinstance(ident, (dict, list)):
-                continue
-            rec = xxhash.xxh3_64_intdigest(str(ident).encode("utf-8", "surrogatepass")) - 2**63
-            wanted = set(row["paths"])
-            held: dict[str, list[str]] = {}
-            for path, _, text in leaves(doc):
-                if path in wanted:
-                    held.setdefault(path, []).append(text)
-            for path, texts in held.items():
-                digest = xxhash.xxh3_64_intdigest("\x1f".join(texts).encode()) - 2**63
-                out.append({"feed": row["feed"], "target": row["target"], "side": row["side"], "rec": rec, "path": path, "digest": digest})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_VALUES)
+def schema_versions(schemas: DataFrame) -> DataFrame:
+    """``feed, file_no, before, fingerprint, version``: runs of files with one fingerprint share a version, from 1.
+
+    ``before`` is the file_no before it in its feed.
+    """
+    w = Window.partitionBy("feed").orderBy("file_no")
+    entries = F.array_sort(F.collect_list(F.when(F.col("path") != "", F.concat_ws("\x1f", "path", F.col("types").cast("string")))))
+    prints = schemas.groupBy("feed", "file_no").agg(F.sha2(F.array_join(entries, "\x1e"), 256).alias("fingerprint"))
+    step = F.when(F.lag("fingerprint").over(w) == F.col("fingerprint"), 0).otherwise(1)
+    seen = prints.withColumn("step", step).withColumn("before", F.lag("file_no").over(w))
+    return seen.select("feed", "file_no", "before", "fingerprint", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("version"))
 
 
-def _neighbours(schemas: DataFrame) -> DataFrame:
-    """One row for each path of a file or of the file before it, with both type sets."""
+def _borders(versions: DataFrame) -> DataFrame:
+    """The first file of every version but a feed's first, with the file before it."""
     w = Window.partitionBy("feed").orderBy("file_no")
-    files = schemas.where("path = ''").select("feed", "file_no", F.lag("file_no").over(w).alias("before"), F.lead("file_no").over(w).alias("after"))
-    both = schemas.join(files, ["feed", "file_no"])
-    own = both.where("before is not null").select("feed", "file_no", F.col("before"), "path", F.lit(0).alias("old"), F.col("types").alias("new"))
-    past = both.where("after is not null").select("feed", F.col("after").alias("file_no"), F.col("file_no").alias("before"), "path", F.col("types").alias("old"), F.lit(0).alias("new"))
-    merged = own.unionByName(past).groupBy("feed", "file_no", "before", "path")
-    return merged.agg(F.max("old").alias("old"), F.max("new").alias("new")).where("path <> ''")
+    return versions.withColumn("old_version", F.lag("version").over(w)).where("old_version <> version").select("feed", "file_no", "before", "version")
+
+
+def _differences(schemas: DataFrame, borders: DataFrame) -> DataFrame:
+    """``feed, file_no, before, version, path, old, new``: paths whose type sets differ between the two files at a border."""
+    key = ["feed", "file_no", "before", "version"]
+    own = schemas.join(borders, ["feed", "file_no"]).select(*key, "path", F.lit(0).alias("old"), F.col("types").alias("new"))
+    past = schemas.join(borders.withColumnsRenamed({"file_no": "target", "before": "file_no"}), ["feed", "file_no"])
+    past = past.select("feed", F.col("target").alias("file_no"), F.col("file_no").alias("before"), "version", "path", F.col("types").alias("old"), F.lit(0).alias("new"))
+    return own.unionByName(past).groupBy(*key, "path").agg(F.max("old").alias("old"), F.max("new").alias("new")).where("old <> new")
 
 
-def _renames(records: DataFrame, moved: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
+def _renames(parsed: DataFrame, moved: DataFrame) -> DataFrame:
     """``feed, file_no, field_path, new_path`` decided by the values of common records."""
     sides = moved.groupBy("feed", "file_no", "before").agg(
         F.collect_list(F.when(F.col("new") == 0, F.col("path"))).alias("gone"), F.collect_list(F.when(F.col("old") == 0, F.col("path"))).alias("come")
     )
     sides = sides.where((F.size("gone") > 0) & (F.size("come") > 0))
-    wanted = sides.select(
-        "feed", F.explode(F.array(F.struct(F.col("before").alias("file_no"), F.col("file_no").alias("target"), F.lit("old").alias("side"), F.col("gone").alias("paths")),
-                                  F.struct(F.col("file_no"), F.col("file_no").alias("target"), F.lit("new").alias("side"), F.col("come").alias("paths")))).alias("w")
-    ).select("feed", "w.*")
-    rows = records.select("feed", F.col("file_no").cast("bigint"), "body").join(wanted, ["feed", "file_no"])
-    values = rows.mapInArrow(partial(_wanted_values, id_keys=id_keys), "feed string, target bigint, side string, rec bigint, path string, digest bigint").distinct()
-    old = values.where("side = 'old'").select("feed", "target", "rec", F.col("path").alias("field_path"), F.col("digest").alias("was"))
-    new = values.where("side = 'new'").select("feed", "target", "rec", F.col("path").alias("new_path"), F.col("digest").alias("now"))
+    both = F.array(
+        F.struct(F.col("before").alias("file_no"), F.col("file_no").alias("target"), F.lit(False).alias("fresh"), F.col("gone").alias("wanted")),
+        F.struct(F.col("file_no"), F.col("file_no").alias("target"), F.lit(True).alias("fresh"), F.col("come").alias("wanted")),
+    )
+    wanted = sides.select("feed", F.explode(both).alias("w")).select("feed", "w.*")
+    rows = parsed.where("record_id is not null").select("feed", "file_no", F.xxhash64("record_id").alias("rec"), F.arrays_zip("paths", "texts").alias("all")).join(wanted, ["feed", "file_no"])
+    held = F.transform("wanted", lambda p: F.struct(p.alias("path"), F.transform(F.filter("all", lambda x: x["paths"] == p), lambda x: x["texts"]).alias("texts")))
+    values = rows.select("feed", "target", "fresh", "rec", F.explode(F.filter(held, lambda h: F.size(h["texts"]) > 0)).alias("h"))
+    values = materialize(values.select("feed", "target", "fresh", "rec", "h.path", F.xxhash64("h.texts").alias("digest")).distinct(), "moved-values")
+    old = values.where("not fresh").select("feed", "target", "rec", F.col("path").alias("field_path"), F.col("digest").alias("was"))
+    new = values.where("fresh").select("feed", "target", "rec", F.col("path").alias("new_path"), F.col("digest").alias("now"))
     per_record = old.join(new, ["feed", "target", "rec"]).groupBy("feed", "target", "field_path", "new_path", "rec").agg(F.max((F.col("was") == F.col("now")).cast("int")).alias("same"))
     scored = per_record.groupBy("feed", "target", "field_path", "new_path").agg(F.sum("same").alias("same"), F.count("*").alias("both"))
     # one file's candidates are bounded by its number of fields
@@ -107,47 +122,73 @@ def _renames(records: DataFrame, moved: DataFrame, id_keys: tuple[str, ...]) ->
     return best.select("feed", F.col("target").alias("file_no"), F.explode(chosen).alias("p")).select("feed", "file_no", "p.field_path", "p.new_path")
 
 
-def schema_changes(records: DataFrame, id_keys: tuple[str, ...] = ("SPDXID", "bom-ref")) -> DataFrame:
-    """``feed, file_no, change_kind, field_path, new_path`` of every file against the one before it.
-
-    ``records`` needs ``feed, file_no, body``; further columns are ignored.
+def migration_steps(parsed: DataFrame, schemas: DataFrame, versions: DataFrame) -> DataFrame:
+    """``feed, version, file_no, step, field_path, new_path, old_types, new_types``: what leads from the version before to ``version``.
 
-    * Nulls, absent fields and lines that aren't valid JSON don't count; a file
-      of only such lines has no paths.  Rows without feed or file_no are left out.
-    * ``renamed``: a gone and a new path agree, as text, in more than half of
-      the records (by the first of ``id_keys`` they have) that hold both; a file
-      delivered twice counts once.  Pairs are one to one, most agreeing records
-      first, ties by share and then by name.
-    * ``retyped``: the path's set of string, number and boolean differs.
-    * Empty input gives an empty result.
+    ``file_no`` is the version's first file.  ``rename``: a gone and a new path
+    agree, as text, in more than half of the records (by their identifier) that
+    hold both; a file delivered twice counts once; pairs are one to one, most
+    agreeing records first, ties by share and then by name.  ``default``: a new
+    path, absent from older records.  ``cast``: its set of string, number and
+    boolean differs (a rename may need one too).  ``drop``: a gone path.
     """
-    schemas = materialize(file_schemas(records), "file-schemas")
-    diff = materialize(_neighbours(schemas).where("old <> new"), "schema-diff")
+    diff = materialize(_differences(schemas, _borders(versions)), "schema-diff")
     moved = diff.where("old = 0 or new = 0")
-    renamed = materialize(_renames(records, moved, id_keys), "renames")
+    renamed = materialize(_renames(parsed, moved), "renames")
+    columns = ["feed", "version", "file_no", "step", "field_path", "new_path", "old_types", "new_types"]
+    types = moved.select("feed", "file_no", "version", "path", "old", "new")
+    gone = types.where("new = 0").select("feed", "file_no", "version", F.col("path").alias("field_path"), F.col("old").alias("old_types"))
+    come = types.where("old = 0").select("feed", "file_no", F.col("path").alias("new_path"), F.col("new").alias("new_types"))
+    named = renamed.join(gone, ["feed", "file_no", "field_path"]).join(come, ["feed", "file_no", "new_path"]).withColumn("step", F.lit("rename")).select(columns)
     taken = renamed.select("feed", "file_no", F.explode(F.array("field_path", "new_path")).alias("path"))
-    rest = moved.join(taken, ["feed", "file_no", "path"], "left_anti").select(
-        "feed", "file_no", F.when(F.col("new") == 0, "removed").otherwise("added").alias("change_kind"), F.col("path").alias("field_path"), F.lit("").alias("new_path")
-    )
-    retyped = diff.where("old <> 0 and new <> 0").select("feed", "file_no", F.lit("retyped").alias("change_kind"), F.col("path").alias("field_path"), F.lit("").alias("new_path"))
-    named = renamed.select("feed", "file_no", F.lit("renamed").alias("change_kind"), "field_path", "new_path")
-    return named.unionByName(rest).unionByName(retyped)
+    rest = moved.join(taken, ["feed", "file_no", "path"], "left_anti").withColumn("step", F.when(F.col("new") == 0, "drop").otherwise("default"))
+    own = rest.unionByName(diff.where("old <> 0 and new <> 0").withColumn("step", F.lit("cast")))
+    own = own.select("feed", "version", "file_no", "step", F.col("path").alias("field_path"), F.lit("").alias("new_path"), F.col("old").alias("old_types"), F.col("new").alias("new_types"))
+    return materialize(own.unionByName(named), "steps")
 
 
-def schema_versions(records: DataFrame) -> DataFrame:
-    """``feed, file_no, fingerprint, version``: runs of files with one fingerprint share a version, from 1."""
-    w = Window.partitionBy("feed").orderBy("file_no")
-    entries = F.sort_array(F.collect_list(F.concat_ws(":", "path", F.col("types").cast("string"))))
-    prints = file_schemas(records).groupBy("feed", "file_no").agg(F.xxhash64(F.concat_ws("\x1f", entries)).alias("fingerprint"))
-    step = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
-    return prints.withColumn("step", step).select("feed", "file_no", "fingerprint", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("version"))
+CHANGE_KINDS = {"rename": "renamed", "default": "added", "cast": "retyped", "drop": "removed"}
+
+
+def schema_changes(records: DataFrame, id_keys: tuple[str, ...] = ("SPDXID", "bom-ref")) -> DataFrame:
+    """``feed, file_no, change_kind, field_path, new_path`` of every file against the one before it: the migration steps by file.
+
+    ``records`` needs ``feed, file_no, body``; further columns are ignored.
+    Files of one version don't differ, so every change stands at a version's
+    first file.  Nulls, absent fields and lines that aren't valid JSON don't
+    count; a file of only such lines has no paths.  Rows without feed or file_no
+    are left out.  Empty input gives an empty result.
+    """
+    parsed, _, steps = _migrated(records, id_keys)
+    kind = F.create_map(*[F.lit(x) for kv in CHANGE_KINDS.items() for x in kv])[F.col("step")]
+    return steps.select("feed", "file_no", kind.alias("change_kind"), "field_path", "new_path")
+
 
+def _migrated(records: DataFrame, id_keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parsed records, the versions of the files and the steps between versions."""
+    parsed = parsed_records(records, id_keys)
+    schemas = materialize(file_schemas(parsed), "file-schemas")
+    versions = materialize(schema_versions(schemas), "versions")
+    return parsed, versions, migration_steps(parsed, schemas, versions)
+
+
+def version_steps(records: DataFrame, id_keys: tuple[str, ...] = ("SPDXID", "bom-ref")) -> DataFrame:
+    """``feed, version, file_no, fingerprint, step, field_path, new_path, old_types, new_types``: every step with the version it leads to.
+
+    A feed's first version has no steps and one row with the step ``first``.
+    """
+    _, versions, steps = _migrated(records, id_keys)
+    first = versions.groupBy("feed", "version").agg(F.min("file_no").alias("file_no"), F.min("fingerprint").alias("fingerprint"))
+    named = steps.withColumns({"old_types": type_names(F.col("old_types")), "new_types": type_names(F.col("new_types"))})
+    out = first.join(named.drop("file_no"), ["feed", "version"], "left").withColumn("step", F.coalesce("step", F.lit("first")))
+    return out.select("feed", "version", "file_no", "fingerprint", "step", *[F.coalesce(c, F.lit("")).alias(c) for c in ("field_path", "new_path", "old_types", "new_types")])
 
-_ROUTE = pa.schema([("feed", pa.string()), ("file_no", pa.int64()), ("names", pa.map_(pa.string(), pa.string()))])
+
+_ROUTE = pa.schema([("feed", pa.string()), ("version", pa.int32()), ("names", pa.map_(pa.string(), pa.string()))])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files of a feed arrive last to first; ``names`` maps a file's old paths to the last names.
+    """Versions of a feed arrive last to first; ``names`` maps a version's paths to the last names of their chains.
 
     Held at a time: the mapping of one feed, which has as many entries as the feed had renames in force.
     """
@@ -157,32 +198,31 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             if row["feed"] != feed:
                 feed, names = row["feed"], {}
-            out.append({"feed": feed, "file_no": row["file_no"], "names": list(names.items())})
-            fresh = {p["new_path"]: p["field_path"] for p in row["steps"]}
+            out.append({"feed": feed, "version": row["version"], "names": list(names.items())})
+            fresh = {p["new_path"]: p["field_path"] for p in row["renames"]}
             names = {**{k: v for k, v in names.items() if k not in fresh}, **{old: names.get(new, new) for new, old in fresh.items()}}
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_ROUTE)
 
 
-_UNIFIED = pa.schema([("rec_no", pa.int64()), ("feed", pa.string()), ("file_no", pa.int64()), ("line_no", pa.int32()), ("record_id", pa.string()), ("id_path", pa.string()), ("fields", pa.map_(pa.string(), pa.list_(pa.string())))])
-
+def routes(versions: DataFrame, steps: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """``feed, version, names, homes``: a version's paths to the last names of their chains, and those to output columns.
 
-def _route(batches: Iterator[pa.RecordBatch], id_keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            doc = parse(row["body"])
-            if not isinstance(doc, dict):
-                continue
-            names = dict(row["names"])
-            fields: dict[str, list[str]] = {}
-            for path, _, text in leaves(doc):
-                fields.setdefault(names.get(path, path), []).append(text)
-            key = next((k for k in id_keys if doc.get(k) is not None), None)
-            ident = None if key is None else doc[key]
-            out.append({"rec_no": row["rec_no"], "feed": row["feed"], "file_no": row["file_no"], "line_no": row["line_no"], "record_id": None if ident is None else storable(str(ident)), "id_path": names.get(key, key), "fields": list(fields.items())})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_UNIFIED)
+    A chain belongs to the column that has one of its names, at whatever version
+    the feed used it, among its standard names; so a field stays in its column
+    under names that no list foresees.
+    """
+    none = "cast(array() as array<struct<field_path: string, new_path: string>>)"
+    renames = steps.where("step = 'rename'").groupBy("feed", "version").agg(F.collect_list(F.struct("field_path", "new_path")).alias("renames"))
+    ordered = versions.select("feed", "version").distinct().join(renames, ["feed", "version"], "left").withColumn("renames", F.coalesce("renames", F.expr(none)))
+    ordered = ordered.repartition("feed").sortWithinPartitions("feed", F.desc("version"))
+    made = materialize(ordered.mapInArrow(_chains, "feed string, version int, names map<string,string>"), "routes")
+    standard = F.create_map(*[F.lit(x) for column, names in columns.items() for n in names for x in (n, column)])
+    links = made.select("feed", F.explode("names").alias("was", "last"))
+    links = links.unionByName(links.select("feed", F.col("last").alias("was"), "last"))
+    homes = links.withColumn("home", standard[F.col("was")]).where("home is not null").groupBy("feed", "last").agg(F.min("home").alias("home"))
+    homes = homes.groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("last", "home"))).alias("homes"))
+    return made.join(homes, "feed", "left").withColumn("homes", F.coalesce("homes", F.expr("cast(map() as map<string,string>)")))
 
 
 def unified_records(
@@ -190,42 +230,46 @@ def unified_records(
     columns: dict[str, tuple[list[str], str]],
     defaults: dict[str, str] | None = None,
     id_keys: tuple[str, ...] = ("SPDXID", "bom-ref"),
-    changes: DataFrame | None = None,
 ) -> DataFrame:
-    """All valid records in one typed table, each routed through its feed's rename chain.
-
-    ``columns`` maps an output column to (paths, type): the first of the paths
-    that the record holds under the feed's last names with a value that can be
-    cast to the type fills it, an ``array<string>`` column keeps all values of
-    the path.  ``defaults`` fills columns that no path does.  All that is in no
-    column stays in ``other``, so nothing is lost: fields that no column names,
-    further paths of a column, further values of a path, values that can't be
-    cast, and a second identifier.  Lines that aren't JSON objects have no
-    record.  A rec_no delivered twice stays twice.
+    """All valid records in one typed table, each routed through its feed's chain of steps.
+
+    ``columns`` maps an output column to (standard names of the field, type); a
+    record's value goes where its chain of renames belongs (see ``routes``).
+    The first value, in the order of the standard names, that can be cast fills
+    the column; an ``array<string>`` column keeps all values of the path.
+    ``defaults`` fills columns that no value does.  ``cast_failed`` names the
+    columns for which a value could not be cast.  All that is in no column stays
+    in ``other``, so nothing is lost: fields of no column, further paths of a
+    column, further values of a path, values that can't be cast, and a second
+    identifier.  Lines that aren't JSON objects have no record.  A rec_no
+    delivered twice stays twice.
     """
-    changes = schema_changes(records, id_keys) if changes is None else changes
-    steps = changes.where("change_kind = 'renamed'").groupBy("feed", "file_no").agg(F.collect_list(F.struct("field_path", "new_path")).alias("steps"))
-    files = records.where("feed is not null and file_no is not null").select("feed", F.col("file_no").cast("bigint")).distinct()
-    ordered = files.join(steps, ["feed", "file_no"], "left").withColumn("steps", F.coalesce("steps", F.expr("cast(array() as array<struct<field_path: string, new_path: string>>)")))
-    ordered = ordered.repartition("feed").sortWithinPartitions("feed", F.desc("file_no"))
-    routes = ordered.mapInArrow(_chains, "feed string, file_no bigint, names map<string,string>")
-    rows = records.select("rec_no", "feed", F.col("file_no").cast("bigint"), "line_no", "body").join(routes, ["feed", "file_no"])
-    routed = rows.select("rec_no", "feed", "file_no", "line_no", "body", "names").mapInArrow(
-        partial(_route, id_keys=id_keys), "rec_no bigint, feed string, file_no bigint, line_no int, record_id string, id_path string, fields map<string,array<string>>"
-    )
+    parsed, versions, steps = _migrated(records, id_keys)
+    route = routes(versions, steps, {c: names for c, (names, _) in columns.items()})
+    at = versions.select("feed", "file_no", "version").join(route, ["feed", "version"])
+    rows = parsed.where("valid").join(at, ["feed", "file_no"])
+    last = F.transform("paths", lambda p: F.coalesce(F.col("names")[p], p))
+    pairs = F.arrays_zip(last.alias("path"), F.col("texts").alias("text"))
+    fields = F.map_from_entries(F.transform(F.array_distinct(last), lambda p: F.struct(p, F.transform(F.filter(pairs, lambda x: x["path"] == p), lambda x: x["text"]))))
+    rows = rows.select("rec_no", "feed", "file_no", "line_no", "record_id", F.coalesce(F.col("names")[F.col("id_path")], "id_path").alias("id_path"), "homes", fields.alias("fields"))
     defaults = defaults or {}
-    out, whole, first = [], [], [F.col("id_path")]  # paths whose values, or whose first value, are in a column
-    for name, (paths, kind) in columns.items():
+    out, whole, first, failed = [], [], [F.col("id_path")], []  # paths whose values, or whose first value, are in a column
+    for name, (standard, kind) in columns.items():
+        rank = F.array(*[F.lit(n) for n in standard])
+        home = F.array_sort(F.transform(F.map_keys(F.map_filter("fields", lambda k, _: F.coalesce(F.col("homes")[k], F.when(F.array_contains(rank, k), name)) == name)), lambda k: F.struct(F.array_position(rank, k).alias("rank"), k.alias("path"))))
         many = kind.startswith("array")
-        values = [F.col("fields")[p] if many else F.get(F.col("fields")[p], F.lit(0)).try_cast(kind) for p in paths]
-        (whole if many else first).append(F.coalesce(*[F.when(v.isNotNull(), F.lit(p)) for v, p in zip(values, paths, strict=True)]))
-        value = F.coalesce(*values)
-        out.append((F.coalesce(value, F.lit(defaults[name]).cast(kind)) if name in defaults else value).alias(name))
+        value = lambda p: F.col("fields")[p] if many else F.get(F.col("fields")[p], F.lit(0)).try_cast(kind)  # noqa: B023, E731
+        usable = F.filter(home, lambda h: value(h["path"]).isNotNull())  # noqa: B023
+        path = F.get(usable, F.lit(0))["path"]
+        (whole if many else first).append(path)
+        failed.append(F.when((F.size(home) > 0) & path.isNull(), F.lit(name)))
+        filled = value(path)
+        out.append((F.coalesce(filled, F.lit(defaults[name]).cast(kind)) if name in defaults else filled).alias(name))
     taken = lambda paths, k: F.array_contains(F.array_compact(F.array(*paths, F.lit(None).cast("string"))), k)
     rest = F.map_filter("fields", lambda k, _: ~taken(whole, k))
     rest = F.transform_values(rest, lambda k, v: F.when(taken(first, k), F.slice(v, 2, F.size(v))).otherwise(v))
     other = F.map_filter(rest, lambda _, v: F.size(v) > 0).alias("other")
-    return routed.select("rec_no", "feed", "file_no", "line_no", "record_id", *out, other)
+    return rows.select("rec_no", "feed", "file_no", "line_no", "record_id", *out, F.array_compact(F.array(*failed)).alias("cast_failed"), other)
 
 
 def type_names(bits: Column) -> Column:

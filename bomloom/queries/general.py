@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomloom.operators.drift import schema_changes, unified_records
+from bomloom.operators.drift import schema_changes, unified_records, version_steps
 from bomloom.operators.shredding import leaf_values
 from bomloom.operators.snapshots import snapshot_changes, with_values
 from bomloom.runtime import table
 
 DOC_MARKERS = ("packages", "statements", "spdxVersion", "@context")
 
-#: Where each unified column is found: the names that feeds start or end with.
+#: The columns of the one table with the standard names of their fields (SPDX 2.3 and CycloneDX 1.5) and types.
 DRIFT_COLUMNS = {
     "name": (["name"], "string"),
-    "version": (["versionInfo", "version", "pkgVersion", "packageVersion", "version_info", "component_version", "ver", "versionInfo.value", "version.value", "release.version", "release.number"], "string"),
-    "licenses": (["licenseDeclared", "declaredLicense", "license_declared", "licenseId", "licenses.license.id", "licenses.license.spdxId", "licenses.declared", "licenses", "license.id"], "array<string>"),
-    "purl": (["purl", "identifiers.purl", "packageUrl"], "string"),
-    "supplier": (["supplier", "originator"], "string"),
-    "originator": (["originator"], "string"),
+    "version": (["versionInfo", "version"], "string"),
+    "licenses": (["licenseDeclared", "licenses.license.id", "licenses.expression"], "array<string>"),
+    "license_concluded": (["licenseConcluded"], "string"),
+    "purl": (["purl", "externalRefs.referenceLocator"], "string"),
+    "supplier": (["supplier", "supplier.name", "publisher"], "string"),
+    "originator": (["originator", "author"], "string"),
     "group_name": (["group"], "string"),
+    "description": (["description"], "string"),
     "size_bytes": (["packageSize"], "bigint"),
     "weight": (["weight"], "bigint"),
     "files_analyzed": (["filesAnalyzed"], "boolean"),
-    "scope": (["scope", "componentScope", "usage"], "string"),
-    "download_location": (["downloadLocation", "download_url", "source.location"], "string"),
+    "scope": (["scope"], "string"),
+    "download_location": (["downloadLocation"], "string"),
+    "copyright_text": (["copyrightText", "copyright"], "string"),
 }
 
 
@@ -33,6 +36,40 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "drift_records")).select("feed", "file_no", "change_kind", "field_path", "new_path")
 
 
+#: Every leaf by ``json_tree``; a rename is the pair that is best for both of its paths.
+P3_SQL = r"""
+WITH docs AS (SELECT rec_no, feed, file_no, body::JSON AS j, coalesce(json_extract_string(body::JSON, '$.SPDXID'), json_extract_string(body::JSON, '$."bom-ref"')) AS ident FROM drift_records WHERE json_valid(body)),
+leaves AS (
+  SELECT rec_no, feed, file_no, ident, replace(regexp_replace(regexp_replace(t.fullkey, '\[[0-9]+\]', '', 'g'), '^\$\.?', ''), '"', '') AS path,
+    CASE WHEN t.type = 'VARCHAR' THEN 1 WHEN t.type = 'BOOLEAN' THEN 4 ELSE 2 END AS bit, regexp_replace(t.atom ->> '$', '^(-?[0-9]+)\.0$', '\1') AS v, t.id AS place
+  FROM docs, json_tree(docs.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+files AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS prev FROM (SELECT DISTINCT feed, file_no FROM drift_records)),
+schemas AS (SELECT feed, file_no, path, bit_or(bit) AS types FROM leaves GROUP BY ALL),
+diff AS (
+  SELECT feed, file_no, prev, path, max(old) AS old, max(new) AS new FROM (
+    SELECT s.feed, s.file_no, f.prev, path, 0 AS old, types AS new FROM schemas s JOIN files f USING (feed, file_no) WHERE f.prev IS NOT NULL
+    UNION ALL SELECT f.feed, f.file_no, f.prev, path, types, 0 FROM schemas s JOIN files f ON f.feed = s.feed AND f.prev = s.file_no)
+  GROUP BY ALL HAVING max(old) <> max(new)),
+vals AS (SELECT DISTINCT feed, file_no, ident, path, vs FROM (SELECT feed, file_no, rec_no, ident, path, list(v ORDER BY place) AS vs FROM leaves WHERE ident IS NOT NULL GROUP BY ALL)),
+per AS (
+  SELECT g.feed, g.file_no, g.path AS o, c.path AS n, a.ident, max(CAST(a.vs = b.vs AS INT)) AS same
+  FROM diff g JOIN diff c ON g.feed = c.feed AND g.file_no = c.file_no AND g.new = 0 AND c.old = 0
+  JOIN vals a ON a.feed = g.feed AND a.file_no = g.prev AND a.path = g.path JOIN vals b ON b.feed = c.feed AND b.file_no = c.file_no AND b.path = c.path AND b.ident = a.ident
+  GROUP BY ALL),
+scored AS (SELECT feed, file_no, o, n, sum(same) AS s, sum(same) / count(*) AS share FROM per GROUP BY ALL HAVING sum(same) * 2 > count(*)),
+renamed AS (
+  SELECT feed, file_no, o, n FROM scored
+  QUALIFY row_number() OVER (PARTITION BY feed, file_no, o ORDER BY s DESC, share DESC, o, n) = 1 AND row_number() OVER (PARTITION BY feed, file_no, n ORDER BY s DESC, share DESC, o, n) = 1)
+SELECT feed, file_no, 'renamed' AS change_kind, o AS field_path, n AS new_path FROM renamed
+UNION ALL SELECT d.feed, d.file_no, CASE WHEN new = 0 THEN 'removed' WHEN old = 0 THEN 'added' ELSE 'retyped' END, path, '' FROM diff d
+WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = d.feed AND r.file_no = d.file_no AND ((new = 0 AND r.o = d.path) OR (old = 0 AND r.n = d.path)))
+"""
+
+
+def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_steps(table(spark, sf_dir, "drift_records"))
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = unified_records(table(spark, sf_dir, "drift_records"), DRIFT_COLUMNS, defaults={"scope": "required"})
     return records.withColumn("other", F.to_json("other"))
@@ -98,5 +135,5 @@ FROM (SELECT *, CASE kind WHEN 'external_ref' THEN json_extract_string(c, '$.ref
 WHERE leaf IS NOT NULL AND leaf <> ''
 """
 
-QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p5_found": p5_found}
-SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL}
+QUERIES = {"p3_found": p3_found, "p3_steps": p3_steps, "p3_unified": p3_unified, "p4_found": p4_found, "p5_found": p5_found}
+SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}

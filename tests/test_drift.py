@@ -1,6 +1,6 @@
 import json
 
-from bomloom.operators.drift import schema_changes, schema_versions, unified_records
+from bomloom.operators.drift import file_schemas, parsed_records, schema_changes, schema_versions, unified_records, version_steps
 
 DDL = "rec_no bigint, feed string, file_no bigint, line_no int, body string, feed_extra string"
 
@@ -66,4 +66,23 @@ def test_unified_routes_through_chained_renames(spark):
     assert len(out) == 12
     assert {(r.file_no, r.record_id, r.version) for r in out} == {(n, f"s{i}", f"1.{i}") for n in (1, 2, 3) for i in range(4)}
     assert all(r.scope == "required" and r.licences == [f"L{r.size}"] for r in out)
-    assert [r.version for r in schema_versions(df).orderBy("file_no").collect()] == [1, 2, 3]
+    versions = schema_versions(file_schemas(parsed_records(df)))
+    assert [(r.before, r.version) for r in versions.orderBy("file_no").collect()] == [(None, 1), (1, 2), (2, 3)]
+
+
+def test_a_column_follows_its_chain(spark):
+    """No list names the later names of a field: its chain leads to the column, also for another feed's own names."""
+    b = [renamed(d, "version", "never_listed") for d in A]
+    c = [renamed(renamed(d, "never_listed", "nor_this"), "size", "bytes", str) for d in b]
+    c[0]["bytes"] = "many"
+    df = frame(spark, [("f", 1, A), ("f", 2, b), ("f", 5, c), ("g", 1, A)])
+    out = unified_records(df, {"version": (["version"], "string"), "size": (["size"], "bigint")}).collect()
+    assert {(r.feed, r.file_no, r.record_id, r.version) for r in out} == {(f, n, f"s{i}", f"1.{i}") for f, n in (("f", 1), ("f", 2), ("f", 5), ("g", 1)) for i in range(4)}
+    assert [(r.record_id, r.size, r.cast_failed, r.other["bytes"]) for r in out if r.cast_failed] == [("s0", None, ["size"], ["many"])]
+    assert sorted(r.size for r in out if r.size is not None) == sorted([0, 1, 2, 3] * 3 + [1, 2, 3])
+
+
+def test_steps_by_version(spark):
+    b = [renamed(d, "size", "bytes", str) for d in A]
+    steps = {(r.feed, r.version, r.file_no, r.step, r.field_path, r.new_path, r.old_types, r.new_types) for r in version_steps(frame(spark, [("f", 1, A), ("f", 2, A), ("f", 3, b), ("f", 4, [{**d, "x": True} for d in b])])).collect()}
+    assert steps == {("f", 1, 1, "first", "", "", "", ""), ("f", 2, 3, "rename", "size", "bytes", "number", "string"), ("f", 3, 4, "default", "x", "", "", "boolean")}
