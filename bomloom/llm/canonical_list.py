@@ -2,8 +2,8 @@
 
 Values and entries are split into a stem, a version and a suffix.  Distinct
 stems meet the entries' written forms in a prefix-filter set-similarity join;
-the best form is kept, checked by edit distance, and version and suffix then
-have to single out one entry.
+the group with the highest exact Jaccard similarity is kept, its form is checked
+by edit distance, and version and suffix then have to single out one entry.
 """
 
 from __future__ import annotations
@@ -69,17 +69,18 @@ def _list_forms(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     title, head = F.array_join("n.words", ""), F.element_at("n.words", 1)
     tail = F.array_join(F.slice("n.words", 2, 99), "")
     forms = F.array(group, F.array_join("raw.words", ""), title, F.concat(title, code), F.concat(tail, head), F.concat(tail, head, code))
-    written = split.select(group.alias("grp"), F.length(F.element_at("i.words", 1)).alias("head_len"), F.explode(forms).alias("form"))
-    return known, written.where("form is not null and form <> ''").groupBy("grp", "form").agg(F.min("head_len").alias("head_len"))
+    written = split.select(group.alias("grp"), F.explode(forms).alias("form"))
+    return known, written.where("form is not null and form <> ''").distinct()
 
 
-def map_to_list(values: DataFrame, value: str, entries: DataFrame, threshold: float = 0.4, max_edits: int = 4) -> DataFrame:
+def map_to_list(values: DataFrame, value: str, entries: DataFrame, threshold: float = 0.4, most_edits: float = 0.4) -> DataFrame:
     """``values`` with a column ``license_id``: the entry meant, or ``UNMATCHED``.
 
-    ``entries`` needs ``license_id`` and ``name``.  A stem is taken for the form
-    with the fewest edits among those with Jaccard similarity >= ``threshold``
-    (ties: higher similarity); it must be within ``max_edits`` edits and half
-    the length of the entry's first word (rounded up), and no other group may be as near.
+    ``entries`` needs ``license_id`` and ``name``.  A stem is taken for the group
+    of entries with the highest Jaccard similarity of a form to it, at least
+    ``threshold`` (ties: fewer edits); no other group may be as near.  The form
+    must then be within ``most_edits`` edits for each letter of the longer text,
+    as sets of letter pairs alone don't tell an anagram from a slip.
     Without a version the group must have one entry; without a suffix the
     version must have one entry or one without suffix.  Null and empty values
     and values of other things are ``UNMATCHED``; repeated rows stay repeated;
@@ -90,15 +91,16 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, threshold: fl
     stems = split.where("_stem <> ''").select(F.col("_stem").alias("id")).distinct().withColumn("tokens", letter_tokens(F.col("id")))
     stems = materialize(stems, "stems")
     shapes = forms.select(F.col("form").alias("id")).distinct().withColumn("tokens", letter_tokens(F.col("id")))
-    near = similarity_join(stems, shapes, threshold).join(F.broadcast(forms.withColumnRenamed("form", "right_id")), "right_id")
-    near = near.withColumn("edits", F.levenshtein("left_id", "right_id")).where((F.col("edits") <= max_edits) & (F.col("edits") * 2 <= F.col("head_len") + 1))
-    per_group = near.groupBy("left_id", "grp").agg(F.min(F.struct("edits", (-F.col("jaccard")).alias("far"))).alias("how"))
-    w = Window.partitionBy("left_id").orderBy("how")
-    best = per_group.withColumn("place", F.rank().over(w)).where("place = 1").groupBy(F.col("left_id").alias("_stem")).agg(F.count("*").alias("groups"), F.first("grp").alias("grp"))
-    best = best.where("groups = 1").select("_stem", "grp")
-    # the list's size bounds both: entries by group, and (group, version, suffix) -> entry
+    near = similarity_join(stems, shapes, threshold).join(forms.withColumnRenamed("form", "right_id"), "right_id")
+    near = near.withColumn("edits", F.levenshtein("left_id", "right_id")).withColumn("far", F.round(-F.col("jaccard"), 12))
+    near = near.withColumn("allowed", most_edits * F.greatest(F.length("left_id"), F.length("right_id")))
+    per_group = near.groupBy("left_id", "grp").agg(F.min(F.struct("far", "edits", "allowed")).alias("how"))
+    w = Window.partitionBy("left_id").orderBy("how.far", "how.edits")
+    best = per_group.withColumn("place", F.rank().over(w)).where("place = 1").groupBy(F.col("left_id").alias("_stem")).agg(F.count("*").alias("groups"), F.first("grp").alias("grp"), F.first("how").alias("how"))
+    best = best.where("groups = 1 and how.edits <= how.allowed").select("_stem", "grp")
+    # a group's options are the entries that differ in version and suffix alone
     options = known.groupBy("grp").agg(F.collect_list(F.struct("license_id", "e_version", "e_suffix")).alias("options"))
-    matched = best.join(F.broadcast(options), "grp").select("_stem", "options")
+    matched = best.join(options, "grp").select("_stem", "options")
     found = split.join(matched, "_stem", "left")
     at_version = F.filter("options", lambda e: F.col("_p.version").isNull() | (e["e_version"] == F.col("_p.version")))
     exact = F.filter(at_version, lambda e: e["e_suffix"].eqNullSafe(F.col("_p.suffix")))
@@ -115,4 +117,4 @@ def licence_values(spdx_packages: DataFrame, inventory: DataFrame, license_list:
     packages = spdx_packages.select("rec_id", F.explode(two).alias("v")).select("rec_id", "v.field_name", F.lit(0).alias("pos"), "v.value")
     listed = inventory.select("rec_id", F.posexplode("licenses").alias("pos", "l")).select("rec_id", F.lit("license").alias("field_name"), "pos", F.col("l.license.id").alias("value"))
     entered = packages.unionByName(listed).where("value is not null and value not in ('NOASSERTION', 'NONE')")
-    return entered.join(F.broadcast(license_list.select(F.col("license_id").alias("value"))), "value", "left_anti")
+    return entered.join(license_list.select(F.col("license_id").alias("value")), "value", "left_anti")
