@@ -21,8 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomloom.functions.jsontext import leaf_text, parse, storable
+from bomloom.runtime import materialize
 
 ROOT = ""
+#: An object with more different keys than this is a map whose keys are data.
+MOST_FIELDS = 1000
+#: Most edges of the element graph that are sent to the driver; beyond it maps are folded in Spark first.
+MOST_EDGES = 100_000
+KEY = "*key"
 _EDGE = pa.schema([("parent", pa.string()), ("child", pa.string()), ("kind", pa.string()), ("repeated", pa.bool_())])
 _ROW = pa.schema(
     [
@@ -82,11 +88,12 @@ def _edges(batches: Iterator[pa.RecordBatch], markers: tuple[str, ...]) -> Itera
 
 @dataclass(frozen=True)
 class TablePlan:
-    """Which elements have tables, and the element graph they come from."""
+    """Which elements have tables, which are maps keyed by data, and the element graph they come from."""
 
     tables: frozenset[str]
     parents: dict[str, frozenset[str]] = field(hash=False)
     children: dict[str, frozenset[str]] = field(hash=False)
+    maps: frozenset[str] = frozenset()
 
     def leading_to(self, wanted: frozenset[str]) -> frozenset[str]:
         """The elements on any way from the root to ``wanted``: all others need no visit."""
@@ -106,31 +113,72 @@ class TablePlan:
         return ROOT, 0, ".".join(path)
 
 
-def analyse(docs: DataFrame, body: str, markers: tuple[str, ...] = ()) -> TablePlan:
+_Edge = tuple[str, str, str, bool]
+
+
+def _wide(edges: DataFrame, most_fields: int) -> DataFrame:
+    own = edges.where(~F.col("child").endswith(".*"))
+    return own.groupBy("parent").agg(F.count_distinct("child").alias("n")).where(F.col("n") > most_fields).select("parent")
+
+
+def _fold(edges: DataFrame, most_fields: int) -> tuple[DataFrame, DataFrame]:
+    """The edges with the entries of every map folded into ``name.*``, and the maps; maps inside maps need another round."""
+    wide = materialize(_wide(edges, most_fields), "maps")
+    inside = edges.join(wide, "parent").select("parent", "child").distinct()
+    elsewhere = edges.join(wide, "parent", "left_anti").select("child").distinct()
+    # what lies below an entry belongs to name.*, unless the key also names an element of its own
+    below = inside.join(elsewhere, "child", "left_anti").groupBy("child").agg(F.min("parent").alias("owner"))
+    folded = edges.join(wide.withColumn("map", F.lit(True)), "parent", "left").join(below.withColumnRenamed("child", "parent"), "parent", "left")
+    child = F.when(F.col("map"), F.concat("parent", F.lit(".*"))).otherwise(F.col("child"))
+    parent = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit(".*"))).otherwise(F.col("parent"))
+    out = folded.select(parent.alias("parent"), child.alias("child"), "kind", (F.col("repeated") | F.col("map").isNotNull()).alias("repeated")).distinct()
+    return materialize(out, "folded"), wide
+
+
+def element_graph(docs: DataFrame, body: str, markers: tuple[str, ...] = (), most_fields: int = MOST_FIELDS, most_edges: int = MOST_EDGES) -> tuple[list[_Edge], frozenset[str]]:
+    """(parent, child, kind, repeated) of all documents with maps folded, and the names of the maps.
+
+    Raises if a schema without maps has more than ``most_edges`` edges: such
+    documents have no schema to build tables from.
+    """
+    raw = docs.where(F.col(body).isNotNull()).select(F.col(body))
+    edges = materialize(raw.mapInArrow(partial(_edges, markers=markers), "parent string, child string, kind string, repeated boolean").distinct(), "elements")
+    maps: set[str] = set()
+    while True:
+        wide = _wide(edges, most_fields).limit(most_edges + 1).collect()
+        if not wide:
+            break
+        if len(wide) > most_edges:
+            raise ValueError(f"more than {most_edges} elements are maps")
+        maps |= {r.parent for r in wide}
+        edges, _ = _fold(edges, most_fields)
+    found = edges.limit(most_edges + 1).collect()
+    if len(found) > most_edges:
+        raise ValueError(f"the element graph has more than {most_edges} edges")
+    return [tuple(e) for e in found], frozenset(maps)
+
+
+def analyse(docs: DataFrame, body: str, markers: tuple[str, ...] = (), most_fields: int = MOST_FIELDS) -> TablePlan:
     """Build the element graph from every document and decide on the tables.
 
     What reaches the driver is the graph: one row for each kind of edge, whatever
-    the number of documents.
+    the number of documents and of keys in maps (see ``element_graph``).
     """
-    raw = docs.where(F.col(body).isNotNull()).select(F.col(body))
-    found = raw.mapInArrow(partial(_edges, markers=markers), "parent string, child string, kind string, repeated boolean").distinct().collect()
+    found, maps = element_graph(docs, body, markers, most_fields)
     parents: dict[str, set[str]] = {}
     children: dict[str, set[str]] = {}
     objects, repeated = set(), set()
-    for e in found:
-        children.setdefault(e.parent, set()).add(e.child)
-        if e.kind == "object":
-            parents.setdefault(e.child, set()).add(e.parent)
-            objects.add(e.child)
-        else:
-            parents.setdefault(e.child, set())
-            parents[e.child].add(e.parent)
-        if e.repeated:
-            repeated.add(e.child)
+    for parent, child, kind, many in found:
+        children.setdefault(parent, set()).add(child)
+        parents.setdefault(child, set()).add(parent)
+        if kind == "object":
+            objects.add(child)
+        if many:
+            repeated.add(child)
     shared = {c for c in objects if len(parents[c]) > 1}
     recursive = {c for c in objects if _reaches(c, c, children)}
     tables = frozenset({ROOT} | repeated | shared | recursive)
-    return TablePlan(tables, {k: frozenset(v) for k, v in parents.items()}, {k: frozenset(v) for k, v in children.items()})
+    return TablePlan(tables, {k: frozenset(v) for k, v in parents.items()}, {k: frozenset(v) for k, v in children.items()}, maps)
 
 
 def _reaches(start: str, goal: str, children: dict[str, set[str]]) -> bool:
@@ -145,7 +193,7 @@ def _reaches(start: str, goal: str, children: dict[str, set[str]]) -> bool:
     return False
 
 
-def _shred(batches: Iterator[pa.RecordBatch], tables: frozenset[str], emit: frozenset[str], visit: frozenset[str], columns: frozenset[str] | None, markers: tuple[str, ...], chunk: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _shred(batches: Iterator[pa.RecordBatch], tables: frozenset[str], maps: frozenset[str], emit: frozenset[str], visit: frozenset[str], columns: frozenset[str] | None, markers: tuple[str, ...], chunk: int = 20_000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[dict] = []
         for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -153,26 +201,33 @@ def _shred(batches: Iterator[pa.RecordBatch], tables: frozenset[str], emit: froz
             if doc is None:
                 continue
             number = 0
-            # (element, value, parent table, parent number, position, path, positions)
-            stack: list[tuple] = [(ROOT, doc, None, None, 0, "", ())]
+            # (element, value, parent table, parent number, position, path, positions, key in a map)
+            stack: list[tuple] = [(ROOT, doc, None, None, 0, "", (), None)]
             while stack:
-                name, value, ptable, pno, pos, path, positions = stack.pop()
+                name, value, ptable, pno, pos, path, positions, entry = stack.pop()
                 number += 1
-                me, cols, below = number, {}, []
-                inner = [("", path, value)]
+                me, cols, below = number, {} if entry is None else {KEY: storable(entry)}, []
+                inner = [(name, "", path, value)]
                 while inner:
-                    prefix, at, obj = inner.pop()
+                    element, prefix, at, obj = inner.pop()
                     if not isinstance(obj, dict):
                         if obj is not None and (columns is None or prefix in columns):
                             cols[prefix] = leaf_text(obj)
                         continue
+                    if element in maps:
+                        star = f"{element}.*"
+                        here = f"{at}.*" if at else "*"
+                        entries = [(k, item) for k, v in obj.items() for item in _items(v)]
+                        if star in visit:
+                            below += [(star, item, name, me, i, here, (*positions, i), k) for i, (k, item) in enumerate(entries) if item is not None]
+                        continue
                     for key, v in obj.items():
                         if key in tables:
                             if key in visit:
                                 here = f"{at}.{key}" if at else key
-                                below += [(key, item, name, me, i, here, (*positions, i)) for i, item in enumerate(_items(v)) if item is not None]
+                                below += [(key, item, name, me, i, here, (*positions, i), None) for i, item in enumerate(_items(v)) if item is not None]
                         else:
-                            inner.append((f"{prefix}.{key}" if prefix else key, f"{at}.{key}" if at else key, v))
+                            inner.append((key, f"{prefix}.{key}" if prefix else key, f"{at}.{key}" if at else key, v))
                 stack.extend(reversed(below))
                 if name in emit:
                     out.append({"doc_id": doc_id, "table_name": name, "node_no": me, "parent_table": ptable, "parent_no": pno, "pos": pos, "path": storable(path), "positions": list(positions), "cols": [(storable(k), x) for k, x in cols.items()]})
@@ -192,7 +247,8 @@ def shred(docs: DataFrame, doc_id: str, body: str, plan: TablePlan, markers: tup
     held the element, an object in place of an array is at 0; ``path`` and
     ``positions`` name the elements with tables on the way from the root, so that
     a parent's position needs no join.  ``cols`` holds the inlined leaves as
-    text (a repeated scalar's own text under the empty name).
+    text (a repeated scalar's own text under the empty name, a map entry's key
+    under ``*key``).
 
     ``only`` maps wanted tables to wanted columns; elements that lead to none of
     them aren't visited.  Null elements have no row but keep their place in the
@@ -200,7 +256,7 @@ def shred(docs: DataFrame, doc_id: str, body: str, plan: TablePlan, markers: tup
     """
     emit = frozenset(only) if only is not None else plan.tables
     columns = frozenset().union(*only.values()) if only is not None else None
-    work = partial(_shred, tables=plan.tables, emit=emit, visit=plan.leading_to(emit), columns=columns, markers=markers)
+    work = partial(_shred, tables=plan.tables, maps=plan.maps, emit=emit, visit=plan.leading_to(emit), columns=columns, markers=markers)
     raw = docs.where(F.col(body).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).alias("body"))
     return raw.mapInArrow(work, _ROW_DDL)
 

@@ -3,8 +3,9 @@
 Only a 128-bit key hash, a 128-bit row hash and a row id travel through the
 shuffle.  Each hash bucket is sorted once in numpy; additions and removals are
 set differences found with ``searchsorted`` between a snapshot and its
-successor, changes are equal keys with unequal row hashes.  Full values are
-fetched afterwards, for the differing keys alone.
+successor, changes are equal keys with unequal row hashes.  The number of
+buckets follows the number of rows, so a bucket's arrays stay small at any size.
+Full values are fetched afterwards, for the differing keys alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomloom.functions.hashing import hash_pair
+from bomloom.runtime import materialize
 
 _COMPACT = "k1 bigint, k2 bigint, snap int, prev int, next int, loaded bigint, row_id bigint, r1 bigint, r2 bigint"
 _EVENT = pa.schema([("row_id", pa.int64()), ("snap", pa.int32()), ("kind", pa.string()), ("old_row_id", pa.int64())])
@@ -81,6 +83,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _NONE = -(2**31)
 
+#: Rows of a hash bucket on average: some 60 MB of arrays and their sorted copy.
+ROWS_PER_BUCKET = 500_000
+#: Changes whose ids are sent to every executor (16 MB); more are joined by shuffling.
+BROADCAST_CHANGES = 1_000_000
+
 
 def snapshot_changes(
     rows: DataFrame,
@@ -90,6 +97,7 @@ def snapshot_changes(
     loaded: str,
     row_id: str,
     values: list[str],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Changes of every group between its consecutive snapshots.
 
@@ -127,8 +135,11 @@ def snapshot_changes(
     compact = base.join(present, ["g1", "g2", "snap"]).select(
         "k1", "k2", "snap", F.coalesce("prev", F.lit(_NONE)).alias("prev"), F.coalesce("next", F.lit(_NONE)).alias("next"), "loaded", "row_id", "r1", "r2"
     )
-    buckets = compact.mapInArrow(_combine, _COMPACT).repartition("k1", "k2")
-    return buckets.mapInArrow(_compare, "row_id bigint, snap int, kind string, old_row_id bigint")
+    spark = rows.sparkSession
+    # Parquet answers the count from its footers
+    buckets = max(spark.sparkContext.defaultParallelism, -(-rows.count() // rows_per_bucket))
+    parted = compact.mapInArrow(_combine, _COMPACT).repartition(buckets, "k1", "k2")
+    return parted.mapInArrow(_compare, "row_id bigint, snap int, kind string, old_row_id bigint")
 
 
 def _micros(rows: DataFrame, name: str) -> Column:
@@ -141,7 +152,13 @@ def _micros(rows: DataFrame, name: str) -> Column:
     return F.col(name).cast("bigint")
 
 
-def with_values(changes: DataFrame, rows: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
-    """Fetch full values of the changed rows only (``old_``/``new_`` columns are left to the caller)."""
+def with_values(changes: DataFrame, rows: DataFrame, row_id: str, columns: list[str], most_broadcast: int = BROADCAST_CHANGES) -> DataFrame:
+    """Fetch full values of the changed rows only (``old_``/``new_`` columns are left to the caller).
+
+    The changes are written and counted: up to ``most_broadcast`` of them go to the
+    table's scan, so that no unchanged row is shuffled; more are joined by shuffling.
+    """
     wanted = rows.select(F.col(row_id).alias("row_id"), *columns)
-    return changes.join(wanted, "row_id")
+    changes = materialize(changes, "changes")
+    few = changes.count() <= most_broadcast
+    return wanted.join(F.broadcast(changes) if few else changes, "row_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomloom.operators.drift import schema_changes, unified_records, version_steps
-from bomloom.operators.shredding import leaf_values
+from bomloom.operators.shredding import analyse, leaf_values, shred
 from bomloom.operators.snapshots import snapshot_changes, with_values
 from bomloom.runtime import table
 
@@ -114,6 +114,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("raw_id"), F.col("kind").alias("child_kind"), "parent_pos", "child_pos", "leaf_value")
 
 
+def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All related tables: their rows with keys, foreign keys and inlined leaves (as JSON)."""
+    docs = table(spark, sf_dir, "nested_docs")
+    rows = shred(docs, "raw_id", "body", analyse(docs, "body", DOC_MARKERS), DOC_MARKERS)
+    return rows.select(F.col("doc_id").alias("raw_id"), "table_name", "node_no", "parent_table", "parent_no", "pos", "path", F.to_json("cols").alias("columns"))
+
+
 P5_SQL = """
 WITH docs AS (
   SELECT raw_id, CASE WHEN json_extract(j, '$.packages') IS NOT NULL OR json_extract(j, '$.statements') IS NOT NULL OR json_extract(j, '$.spdxVersion') IS NOT NULL THEN j
@@ -135,5 +142,5 @@ FROM (SELECT *, CASE kind WHEN 'external_ref' THEN json_extract_string(c, '$.ref
 WHERE leaf IS NOT NULL AND leaf <> ''
 """
 
-QUERIES = {"p3_found": p3_found, "p3_steps": p3_steps, "p3_unified": p3_unified, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_steps": p3_steps, "p3_unified": p3_unified, "p4_found": p4_found, "p5_found": p5_found, "p5_tables": p5_tables}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}

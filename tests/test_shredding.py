@@ -48,3 +48,22 @@ def test_tables_link_children_to_parents(spark):
     assert [(t.value, t.pos, t.parent_no) for t in tags] == [("t", 0, packages[0].node_no), ("u", 1, packages[0].node_no)]
     kids = {r.name: r for r in flat_table(rows, "children", ["name"]).collect()}
     assert kids["z"].parent_no == kids["k"].node_no and kids["k"].parent_table == "packages"
+
+
+def test_maps_keyed_by_data_are_folded(spark):
+    """Keys that are data make one repeated element, at the root's children and inside one another."""
+    import json
+
+    from bomloom.operators.shredding import analyse, shred
+
+    docs = [{"packages": [{"name": "p"}], "files": {f"sha{i}-{j}": {"size": j, "tags": {f"t{i}{j}{k}": k for k in range(3)}} for j in range(4)}} for i in range(6)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "raw_id bigint, body string")
+    plan = analyse(df, "body", most_fields=10)
+    assert plan.maps == {"files", "tags"} and {"files.*", "tags.*", "packages"} <= plan.tables
+    assert sum(len(c) for c in plan.children.values()) < 10
+    rows = shred(df, "raw_id", "body", plan).collect()
+    files = [r for r in rows if r.table_name == "files.*"]
+    assert {(r.doc_id, r.cols["*key"], r.cols["size"]) for r in files} == {(i, f"sha{i}-{j}", str(j)) for i in range(6) for j in range(4)}
+    at = {(r.doc_id, r.node_no): r for r in rows}
+    tags = [r for r in rows if r.table_name == "tags.*"]
+    assert {(at[r.doc_id, r.parent_no].cols["*key"], r.cols["*key"], r.cols[""]) for r in tags} == {(f"sha{i}-{j}", f"t{i}{j}{k}", str(k)) for i in range(6) for j in range(4) for k in range(3)}

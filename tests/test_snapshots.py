@@ -49,3 +49,14 @@ def test_empty(spark):
 def test_one_key_may_hold_most_rows(spark):
     rows = [(i, 1 + i % 2, i, "a", "hot", "n", str(i), None) for i in range(3000)]
     assert changes(spark, rows) == brute(rows) == [("a", 2, "hot", "changed")]
+
+
+def test_values_and_buckets_at_any_size(spark):
+    """Few and many changes, one and many buckets give the same rows."""
+    rows = [(i, 1 + i % 3, i, f"b{i % 5}", f"r{i % 41}", "n", str(i % 7), None) for i in range(900)]
+    df = spark.createDataFrame(rows, DDL)
+    found = []
+    for size, most in ((10_000, 10_000), (50, 3)):
+        c = snapshot_changes(df, "bom", "ref", "snap_no", "loaded_at", "row_id", ["name", "version"], rows_per_bucket=size)
+        found.append(sorted((r.bom, r.snap, r.ref, r.kind) for r in with_values(c, df, "row_id", ["bom", "ref"], most).collect()))
+    assert found[0] == found[1] == brute(rows) and found[0]
