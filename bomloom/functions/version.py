@@ -62,6 +62,28 @@ def change_class(previous: Column, current: Column) -> Column:
     return F.when(p.isNotNull() & c.isNotNull(), by_parts).otherwise(by_text)
 
 
+def number_parts(text: Column) -> Column:
+    """ARRAY<BIGINT>: the numbers of the first dotted run of digits; empty if there is none."""
+    run = F.filter(F.split(F.regexp_extract(text, r"[0-9][0-9.]*", 0), r"\."), lambda x: x != "")
+    return F.transform(run, lambda x: x.try_cast("bigint"))
+
+
+def direction(was: Column, now: Column) -> Column:
+    """upgrade, downgrade or none, number by number (more numbers are newer); by text if a side has no number."""
+    a, b = number_parts(was), number_parts(now)
+    by_text = F.when(now == was, "none").when(now < was, "downgrade").otherwise("upgrade")
+    by_number = F.when(now == was, "none").when(b > a, "upgrade").when(b < a, "downgrade").otherwise("none")
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), by_number).otherwise(by_text)
+
+
+def downgrade_severity(was: Column, now: Column) -> Column:
+    """major if the first number falls, suspicious if a word for a repair goes, else minor; null if it is no downgrade of numbers."""
+    a, b = number_parts(was), number_parts(now)
+    repaired = lambda c: F.lower(c).rlike("security|patch|fix")
+    level = F.when(F.get(b, F.lit(0)) < F.get(a, F.lit(0)), "major").when(repaired(was) & ~repaired(now), "suspicious").otherwise("minor")
+    return F.when((direction(was, now) == "downgrade") & (F.size(a) > 0) & (F.size(b) > 0), level)
+
+
 def matches_requirement(version: Column, requirement: str) -> Column:
     """Whether a version meets a list of comparators (``>=1.2, <2``, ``~1.4``, ``^0.3``, ``1.*``).
 

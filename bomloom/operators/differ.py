@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from bomloom.functions.version import semver
 from bomloom.model import Tables, content_hash, severity_rank
+from bomloom.operators.matching import PRESETS, Preset, alike, alike_scores, assign
+from bomloom.runtime import ranked
 
 # What a change costs.
 COSTS = {"added": 10, "removed": 10, "patch": 2, "minor": 4, "major": 7, "licence": 6, "supplier": 4, "introduced": 15, "resolved": -3, "edge_added": 5, "edge_removed": 5, "hash": 8}
@@ -15,8 +17,21 @@ PAIR = ["old_sbom", "new_sbom"]
 
 def consecutive_pairs(t: Tables) -> DataFrame:
     """Each document with the next one by id; only the ids of documents are ordered."""
-    ids = t.components.select("sbom_id").distinct()
-    return ids.select(F.col("sbom_id").alias("old_sbom"), F.lead("sbom_id").over(Window.orderBy("sbom_id")).alias("new_sbom")).where("new_sbom is not null")
+    ids = ranked(t.components.select("sbom_id").distinct(), "sbom_id", "place")
+    after = ids.select(F.col("sbom_id").alias("new_sbom"), (F.col("place") - 1).alias("place"))
+    return ids.withColumnRenamed("sbom_id", "old_sbom").join(after, "place").select("old_sbom", "new_sbom")
+
+
+def baseline_pairs(t: Tables, baseline: int) -> DataFrame:
+    """One document against every other."""
+    others = t.components.where(F.col("sbom_id") != baseline).select(F.col("sbom_id").alias("new_sbom")).distinct()
+    return others.select(F.lit(baseline).cast(dict(t.components.dtypes)["sbom_id"]).alias("old_sbom"), "new_sbom")
+
+
+def cumulative_pairs(t: Tables) -> DataFrame:
+    """The first document against every later one."""
+    first = t.components.agg(F.min("sbom_id").alias("old_sbom"))
+    return t.components.select(F.col("sbom_id").alias("new_sbom")).distinct().join(first, F.col("new_sbom") > F.col("old_sbom")).select("old_sbom", "new_sbom")
 
 
 def _side(frame: DataFrame, pairs: DataFrame, which: str) -> DataFrame:
@@ -31,6 +46,20 @@ def identity_matches(t: Tables, pairs: DataFrame) -> DataFrame:
     return old.join(new, [*PAIR, "id"]).select(*PAIR, F.col("id").alias("old_id"), F.col("id").alias("new_id"), F.lit(1.0).alias("score"))
 
 
+def unmatched(t: Tables, pairs: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of both sides of every pair that no match holds, by ``old_sbom, new_sbom``."""
+    old = _side(t.components, pairs, "old_sbom").join(matches.select(*PAIR, F.col("old_id").alias("id")), [*PAIR, "id"], "left_anti")
+    return old, _side(t.components, pairs, "new_sbom").join(matches.select(*PAIR, F.col("new_id").alias("id")), [*PAIR, "id"], "left_anti")
+
+
+def full_matches(t: Tables, pairs: DataFrame, preset: Preset = PRESETS["balanced"]) -> DataFrame:
+    """Identity matches, and the best assignment of what they leave by tiered scores: one to one in every pair."""
+    same = identity_matches(t, pairs)
+    sides = tuple(alike(d, tuple(PAIR)) for d in unmatched(t, pairs, same))
+    scored = alike_scores(*sides, by=tuple(PAIR), preset=preset)
+    return same.unionByName(assign(scored, None, tuple(PAIR), sides))
+
+
 def component_changes(t: Tables, pairs: DataFrame, matches: DataFrame) -> DataFrame:
     """Added, removed and modified components with the changed fields and their cost.
 
@@ -88,19 +117,31 @@ def vulnerability_changes(t: Tables, pairs: DataFrame) -> DataFrame:
 
 
 def summary(components: DataFrame, edges: DataFrame, vulns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Counts of every kind of change and the weighted score of each pair (0: nothing changed)."""
+    """Counts of every kind of change and the summed cost of all changes of each pair (0: nothing changed)."""
+    none = F.lit(0).alias("cost")
     tagged = (
-        components.select(*PAIR, F.concat(F.lit("components_"), "kind").alias("what"))
-        .unionByName(edges.select(*PAIR, F.concat(F.lit("edges_"), "kind").alias("what")))
-        .unionByName(vulns.select(*PAIR, F.concat(F.lit("vulns_"), "kind").alias("what")))
+        components.select(*PAIR, F.concat(F.lit("components_"), "kind").alias("what"), "cost")
+        .unionByName(edges.select(*PAIR, F.concat(F.lit("edges_"), "kind").alias("what"), none))
+        .unionByName(vulns.select(*PAIR, F.concat(F.lit("vulns_"), "kind").alias("what"), none))
     )
     kinds = ["components_added", "components_removed", "components_modified", "edges_added", "edges_removed", "vulns_introduced", "vulns_resolved", "vulns_persistent"]
-    counts = tagged.groupBy(*PAIR).agg(*[F.count_if(F.col("what") == k).alias(k) for k in kinds])
-    full = pairs.join(counts, PAIR, "left").fillna(0, kinds)
+    counts = tagged.groupBy(*PAIR).agg(*[F.count_if(F.col("what") == k).alias(k) for k in kinds], F.sum("cost").alias("component_cost"))
+    full = pairs.join(counts, PAIR, "left").fillna(0, [*kinds, "component_cost"])
     c = F.col
-    score = c("components_added") * COSTS["added"] + c("components_removed") * COSTS["removed"] + c("components_modified") * COSTS["minor"] + c("edges_added") * COSTS["edge_added"] + c("edges_removed") * COSTS["edge_removed"] + c("vulns_introduced") * COSTS["introduced"] + c("vulns_resolved") * COSTS["resolved"]
+    score = c("component_cost") + c("edges_added") * COSTS["edge_added"] + c("edges_removed") * COSTS["edge_removed"] + c("vulns_introduced") * COSTS["introduced"] + c("vulns_resolved") * COSTS["resolved"]
     total = c("components_added") + c("components_removed") + c("components_modified") + c("edges_added") + c("edges_removed")
-    return full.withColumn("total_changes", total).withColumn("score", score.cast("double"))
+    return full.withColumn("total_changes", total).withColumn("score", score.cast("double")).drop("component_cost")
+
+
+def deviations(summary: DataFrame) -> DataFrame:
+    """How far each document is from the baseline (100 less the score), and the largest such value, 0 at least."""
+    far = summary.select(*PAIR, (100.0 - F.col("score")).alias("deviation"))
+    return far.withColumn("max_deviation", F.greatest(F.max("deviation").over(Window.partitionBy("old_sbom")), F.lit(0.0)))
+
+
+def introduced_severities(vulns: DataFrame) -> DataFrame:
+    """Introduced vulnerabilities of each pair by severity."""
+    return vulns.where("kind = 'introduced'").groupBy(*PAIR, "severity").agg(F.count("*").alias("n"))
 
 
 def vulnerability_groups(vulns: DataFrame) -> DataFrame:
@@ -115,8 +156,16 @@ def severity_counts(t: Tables) -> DataFrame:
 
 
 def section_hashes(t: Tables) -> DataFrame:
-    """One order-free hash for each section of a document: equal sections need no diff."""
-    section = lambda d, cols, name: d.groupBy("sbom_id").agg(F.xxhash64(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]))), "\x1e")).alias(name))
+    """One order-free hash for each section of a document: equal sections need no diff.
+
+    Row hashes are summed, so a document's rows are never held together; the sums
+    of two independent hashes and the number of rows make the section's hash.
+    """
+    def section(d: DataFrame, cols: list[str], name: str) -> DataFrame:
+        row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
+        sums = [F.sum(F.xxhash64(F.lit(k), row).cast("decimal(20,0)")).cast("string") for k in (1, 2)]
+        return d.groupBy("sbom_id").agg(F.concat_ws("/", F.count("*").cast("string"), *sums).alias(name))
+
     comps = t.components.select("sbom_id", "id", content_hash().alias("content"))
     return (
         section(comps, ["id", "content"], "components_hash").join(section(t.edges, ["from_id", "to_id", "relationship", "scope"], "edges_hash"), "sbom_id", "full_outer")

@@ -67,3 +67,17 @@ def advisory_rows(advisories: DataFrame, body: str) -> DataFrame:
     events = F.flatten(F.flatten(F.transform("affected", lambda a: F.transform(a["ranges"], lambda r: r["events"]))))
     fixed = F.filter(F.transform(events, lambda e: e["fixed"]), lambda x: x.isNotNull())
     return j.select(F.col("id").alias("vuln_id"), F.coalesce("summary", "details").alias("summary"), F.get(scores, F.lit(0)).alias("cvss"), F.coalesce(fixed, F.array()).alias("fixed"), F.flatten(F.transform("affected", lambda a: F.coalesce(a["versions"], F.array()))).alias("versions"))
+
+
+def with_advisories(components: DataFrame, advisories: DataFrame) -> DataFrame:
+    """``sbom_id, id, vuln_id, cvss``: advisories by package URL, else by name, ecosystem and version.
+
+    ``advisories``: ``vuln_id, purl, name, ecosystem, version, cvss``; a row with a
+    purl is met by it alone.  Of repeated rows the highest score stands.
+    """
+    by_purl = advisories.where("purl is not null").groupBy(F.lower("purl").alias("p"), "vuln_id").agg(F.max("cvss").alias("cvss"))
+    met = components.select("sbom_id", "id", F.lower("purl").alias("p")).join(by_purl, "p").drop("p")
+    named = advisories.where("purl is null").groupBy(F.lower("name").alias("n"), F.lower("ecosystem").alias("e"), F.col("version").alias("v"), "vuln_id").agg(F.max("cvss").alias("cvss"))
+    known = by_purl.select("p").distinct()
+    rest = components.select("sbom_id", "id", F.lower("purl").alias("p"), F.lower("name").alias("n"), F.lower("ecosystem").alias("e"), F.col("version").alias("v")).join(known, "p", "left_anti")
+    return met.unionByName(rest.join(named, ["n", "e", "v"]).select("sbom_id", "id", "vuln_id", "cvss")).select("sbom_id", "id", "vuln_id", "cvss")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from bomloom.functions.version import change_class, semver
 from bomloom.model import Tables
-from bomloom.runtime import materialize
+from bomloom.operators.set_join import similar_sets
+from bomloom.runtime import materialize, ranked
 
 
 def _documents(t: Tables) -> DataFrame:
@@ -46,7 +47,7 @@ def divergent(t: Tables, baseline: int) -> DataFrame:
     others = t.components.where(F.col("sbom_id") != baseline).select("sbom_id", "id", F.coalesce("version", F.lit("")).alias("target_version"))
     kind = F.when(F.col("baseline_version").isNull(), "added").when(F.col("baseline_version") != F.col("target_version"), "version_mismatch")
     here = others.join(base, "id", "left").withColumn("kind", kind).where("kind is not null")
-    grid = base.join(F.broadcast(others.select("sbom_id").distinct()))  # documents x baseline components
+    grid = others.select("sbom_id").distinct().join(base)  # every other document against the one baseline
     gone = grid.join(others.select("sbom_id", "id"), ["sbom_id", "id"], "left_anti")
     columns = ["sbom_id", "id", "kind", "baseline_version", "target_version"]
     return here.select(columns).unionByName(gone.select("sbom_id", "id", F.lit("removed").alias("kind"), "baseline_version", F.lit("").alias("target_version")))
@@ -60,33 +61,21 @@ def vulnerability_matrix(t: Tables) -> DataFrame:
     return per.join(F.broadcast(n)).select("vuln_id", "documents", scope.alias("scope"), F.when(F.col("documents") == 1, F.col("first_in")).alias("only_in"))
 
 
-def _grid(t: Tables) -> DataFrame:
-    """Every id in every document between its first and the last one, present or not.
-
-    The grid is ids x documents by definition of a history.
-    """
-    docs = _documents(t).select("sbom_id", F.row_number().over(Window.orderBy("sbom_id")).alias("snapshot"))
-    ids = t.components.select("id").distinct()
-    return ids.join(F.broadcast(docs)).join(t.components.select("sbom_id", "id", "version", F.lit(True).alias("present")), ["sbom_id", "id"], "left")
-
-
 def history(t: Tables) -> DataFrame:
-    """The class of change of each id in each document against the last one that has it.
+    """The class of change of each id in each document that has it, against the last one before, and where it goes.
 
-    initial, removed, absent, unchanged, major/minor/patch upgrade or downgrade;
-    a missing version is ''.
+    initial, unchanged, major/minor/patch upgrade or downgrade, and removed in the
+    document after one that has the id; a missing version is ''.  Documents that
+    go on lacking an id have no row, so the result grows with the components.
     """
+    docs = ranked(_documents(t), "sbom_id", "snapshot")
     w = Window.partitionBy("id").orderBy("snapshot")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    here = F.coalesce("present", F.lit(False))
-    version = F.when(here, F.coalesce("version", F.lit("")))
-    g = _grid(t).withColumn("v", version)
-    g = g.withColumn("previous", F.last("v", ignorenulls=True).over(past)).withColumn("was_here", F.coalesce(F.lag("v").over(w).isNotNull(), F.lit(False)))
-    kind = (
-        F.when(F.col("v").isNull() & F.col("previous").isNull(), "absent").when(F.col("v").isNull() & F.col("was_here"), "removed").when(F.col("v").isNull(), "absent")
-        .when(F.col("previous").isNull(), "initial").when(F.col("v") == F.col("previous"), "unchanged").otherwise(change_class(F.col("previous"), F.col("v")))
-    )
-    return g.select("sbom_id", "id", F.col("v").alias("version"), kind.alias("change"))
+    here = t.components.select("sbom_id", "id", F.coalesce("version", F.lit("")).alias("version")).join(docs, "sbom_id")
+    here = here.withColumn("previous", F.lag("version").over(w)).withColumn("next", F.lead("snapshot").over(w))
+    kind = F.when(F.col("previous").isNull(), "initial").when(F.col("version") == F.col("previous"), "unchanged").otherwise(change_class(F.col("previous"), F.col("version")))
+    own = here.select("sbom_id", "id", "version", kind.alias("change"))
+    gone = here.where("next is null or next > snapshot + 1").select("id", (F.col("snapshot") + 1).alias("snapshot")).join(docs, "snapshot")
+    return own.unionByName(gone.select("sbom_id", "id", F.lit(None).cast("string").alias("version"), F.lit("removed").alias("change")))
 
 
 def evolution(t: Tables) -> DataFrame:
@@ -122,15 +111,24 @@ def similarity_matrix(t: Tables) -> DataFrame:
     return full.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
-def leader_clusters(matrix: DataFrame, threshold: float) -> DataFrame:
-    """``sbom_id, leader, members``: greedy clusters in id order, as in a single pass over the matrix.
+def similar_documents(t: Tables, threshold: float) -> DataFrame:
+    """``a, b, shared, jaccard`` of the documents whose ids have Jaccard similarity >= ``threshold``, without a matrix."""
+    return similar_sets(t.components.select(F.col("sbom_id").alias("set_id"), F.col("id").alias("token")), threshold)
 
-    The pass is sequential by definition; it gets the pairs over the threshold
-    only, and runs on their connected groups one by one.
+
+def leader_clusters(documents: DataFrame, near: DataFrame) -> DataFrame:
+    """``sbom_id, leader, members, similarity, outlier``: greedy clusters in id order, as in a single pass over the matrix.
+
+    ``documents`` has all ``sbom_id``, ``near`` the pairs ``a < b, jaccard`` over
+    the threshold.  A document goes to the first leader near it; the pass is
+    sequential by definition and runs on the connected groups of near documents
+    one by one, in time linear in their pairs.  ``similarity`` is the members'
+    mean similarity to their leader (1 for the leader itself); a document alone
+    is an outlier.
     """
-    near = matrix.where(F.col("jaccard") >= threshold).select("a", "b")
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = matrix.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("grp", F.col("id"))
+    near = materialize(near.select("a", "b", "jaccard"), "near-documents")
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = documents.select(F.col("sbom_id").alias("id"), F.col("sbom_id").alias("grp")).distinct()
     while True:
         offer = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("grp").alias("offer"))
         closer = labels.join(offer, "id", "left").select("id", F.least("grp", F.coalesce("offer", "grp")).alias("grp"), F.col("grp").alias("old"))
@@ -139,20 +137,21 @@ def leader_clusters(matrix: DataFrame, threshold: float) -> DataFrame:
         if new.where("grp <> old").isEmpty():
             break
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = sorted(set(pdf["id"]))
-        edges = {(int(x), int(y)) for x, y in zip(pdf["id"], pdf["near"], strict=True) if y == y and y is not None}
-        leader: dict[int, int] = {}
-        for i in members:
-            if i in leader:
-                continue
-            leader[i] = i
-            for j in members:
-                if j > i and j not in leader and ((i, j) in edges or (j, i) in edges):
-                    leader[j] = i
-        return pd.DataFrame({"sbom_id": list(leader), "leader": list(leader.values())})
-
-    rows = labels.join(near.select(F.col("a").alias("id"), F.col("b").alias("near")), "id", "left")
-    led = rows.groupBy("grp").applyInPandas(assign, "sbom_id int, leader int")
-    return led.join(led.groupBy("leader").agg(F.count("*").alias("members")), "leader")
-
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        after: dict[int, list[tuple[int, float]]] = {}
+        for i, j, x in zip(pdf["id"], pdf["near"], pdf["jaccard"], strict=True):
+            after.setdefault(int(i), [])
+            if j == j and j is not None:
+                after[int(i)].append((int(j), float(x)))
+        leader: dict[int, tuple[int, float]] = {}
+        for i in sorted(after):
+            if i not in leader:
+                leader[i] = (i, 1.0)
+                for j, x in after[i]:
+                    leader.setdefault(j, (i, x))
+        return pd.DataFrame({"sbom_id": list(leader), "leader": [v[0] for v in leader.values()], "own": [v[1] for v in leader.values()]})
+
+    rows = labels.join(near.select(F.col("a").alias("id"), F.col("b").alias("near"), "jaccard"), "id", "left")
+    led = rows.groupBy("grp").applyInPandas(lead, f"sbom_id {dict(documents.dtypes)['sbom_id']}, leader {dict(documents.dtypes)['sbom_id']}, own double")
+    sizes = led.groupBy("leader").agg(F.count("*").alias("members"), F.avg("own").alias("similarity"))
+    return led.join(sizes, "leader").select("sbom_id", "leader", "members", "similarity", (F.col("members") == 1).alias("outlier"))

@@ -103,9 +103,24 @@ def degrees(t: Tables) -> DataFrame:
     return full.groupBy("sbom_id").agg(F.sum("fan_out").alias("edges"), F.count_if(o & ~i).alias("roots"), F.count_if(~o & i).alias("leaves"), F.count_if(~o & ~i).alias("orphans"), F.max("fan_out").alias("max_fan_out"))
 
 
-def cyclic_nodes(t: Tables, reach: DataFrame | None = None) -> DataFrame:
-    """Components that reach themselves."""
-    reach = closure(t) if reach is None else reach
+def cyclic_nodes(t: Tables) -> DataFrame:
+    """Components that reach themselves.
+
+    Components without incoming or without outgoing edges are on no cycle and are
+    peeled off round by round.  What is left are cycles and the ways between
+    them; only there is it followed what reaches what.
+    """
+    arcs, n = materialize(_arcs(t.edges), "core-0"), 0
+    while True:
+        n += 1
+        heads = arcs.select("sbom_id", F.col("from_id").alias("id")).distinct()
+        both = heads.join(arcs.select("sbom_id", F.col("to_id").alias("id")).distinct(), ["sbom_id", "id"])
+        inner = arcs.join(both.withColumnRenamed("id", "from_id"), ["sbom_id", "from_id"], "left_semi").join(both.withColumnRenamed("id", "to_id"), ["sbom_id", "to_id"], "left_semi")
+        inner = materialize(inner, f"core-{n}")
+        if inner.count() == arcs.count():
+            break
+        arcs = inner
+    reach = closure(Tables(t.components, arcs, t.vulns))
     return reach.where("id = reached").select("sbom_id", "id")
 
 
@@ -196,3 +211,16 @@ def adjacency(t: Tables, ids: list[str]) -> DataFrame:
     """Edges that touch the chosen ids, told apart as their dependencies and their dependents."""
     out = t.edges.where(F.col("from_id").isin(ids)).withColumn("role", F.lit("dependency"))
     return out.unionByName(t.edges.where(F.col("to_id").isin(ids)).withColumn("role", F.lit("dependent")))
+
+
+IMPACTS = ["low", "medium", "high", "critical"]
+
+
+def at_least(changes: DataFrame, impact: str) -> DataFrame:
+    """Changes of an impact or a higher one."""
+    return changes.where(F.col("impact").isin(IMPACTS[IMPACTS.index(impact) :]))
+
+
+def related(edges: DataFrame, relationships: list[str]) -> DataFrame:
+    """Edges of the given relationships, whatever their letter case."""
+    return edges.where(F.lower("relationship").isin([r.lower() for r in relationships]))

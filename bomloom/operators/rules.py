@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomloom.functions import text as tx
+from bomloom.operators.set_join import similarity_join
+from bomloom.runtime import materialize
 
 
 def glob_pattern(glob: str) -> str:
@@ -67,23 +69,28 @@ def lookalikes(components: DataFrame, well_known: DataFrame, most_edits: int = 1
 
 
 def minhash_pairs(left: DataFrame, right: DataFrame, threshold: float, bands: int = 20, rows: int = 3) -> DataFrame:
-    """``left_id, right_id, jaccard`` of trigram sets that share a MinHash band, checked exactly.
+    """``left_id, right_id, jaccard, estimate, same_band`` of all names whose trigram sets have Jaccard similarity >= ``threshold``.
 
-    Both sides need ``id, name``.  The hash functions are fixed, so runs agree; a
-    pair at the threshold is found with probability 1 - (1 - t^rows)^bands.
-    Names are made distinct first, so equal names meet once.
+    Both sides need ``id, name``.  MinHash bands alone miss a pair at the
+    threshold with probability (1 - t^rows)^bands, so the pairs come from the
+    exact prefix-filter join, and the signatures tell what bands and estimate
+    (share of equal minima) would have said.  The hash functions are fixed, so
+    runs agree.  Names are made distinct first, so equal names meet once.
     """
-    def signed(d: DataFrame, s: str) -> DataFrame:
-        grams = d.where(F.length("name") > 0).select(F.lower("name").alias(s)).distinct().withColumn("g", tx.trigrams(F.col(s)))
-        values = [F.array_min(F.transform("g", _seeded(k))) for k in range(bands * rows)]
-        keys = F.array(*[F.xxhash64(F.lit(b), *values[b * rows : (b + 1) * rows]) for b in range(bands)])
-        return grams.select(s, "g", F.explode(keys).alias("band"))
-
-    x, y = signed(left, "x").withColumnRenamed("g", "gx"), signed(right, "y").withColumnRenamed("g", "gy")
-    pairs = x.join(y, "band").select("x", "y", "gx", "gy").dropDuplicates(["x", "y"])
-    close = pairs.select("x", "y", tx.jaccard(F.col("gx"), F.col("gy")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    def signed(d: DataFrame) -> DataFrame:
+        grams = d.where(F.length("name") > 0).select(F.lower("name").alias("id")).distinct().withColumn("tokens", tx.trigrams(F.col("id")))
+        return materialize(grams.withColumn("signature", F.array(*[F.array_min(F.transform("tokens", _seeded(k))) for k in range(bands * rows)])), "signatures")
+
+    x, y = signed(left), signed(right)
+    close = similarity_join(x.select("id", "tokens"), y.select("id", "tokens"), threshold)
+    side = lambda d, s: d.select(F.col("id").alias(f"{s}_id"), F.col("signature").alias(s))
+    both = close.join(side(x, "left"), "left_id").join(side(y, "right"), "right_id")
+    equal = F.zip_with("left", "right", lambda p, q: (p == q).cast("int"))
+    band = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.forall(F.slice(equal, b * rows + 1, rows), lambda e: e == 1))
+    told = both.select("left_id", "right_id", "jaccard", (F.aggregate(equal, F.lit(0), lambda s, e: s + e) / (bands * rows)).alias("estimate"), band.alias("same_band"))
     ids = lambda d, c, out: d.select(F.lower("name").alias(c), F.col("id").alias(out))
-    return close.join(ids(left, "x", "left_id"), "x").join(ids(right, "y", "right_id"), "y").select("left_id", "right_id", "jaccard")
+    named = told.withColumnsRenamed({"left_id": "x", "right_id": "y"}).join(ids(left, "x", "left_id"), "x").join(ids(right, "y", "right_id"), "y")
+    return named.select("left_id", "right_id", "jaccard", "estimate", "same_band")
 
 
 def _seeded(k: int):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bomloom import testdata
 from bomloom.model import Tables
 from bomloom.operators import differ, fleet, search
+from bomloom.operators.set_join import similar_sets
+from bomloom.runtime import materialize, table
 
 M = f"WITH RECURSIVE {testdata.MODEL_SQL}"
 PAIRS = """,
@@ -94,8 +96,8 @@ def ui_tree_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- diff -------------------------------------------------------------------
-def _diff(spark: SparkSession, sf_dir: str):
-    t = testdata.tables(spark, sf_dir)
+def _diff(spark: SparkSession, sf_dir: str, cut: bool = False):
+    t = testdata.tables(spark, sf_dir, cut)
     pairs = differ.consecutive_pairs(t)
     return t, pairs, differ.identity_matches(t, pairs)
 
@@ -109,8 +111,8 @@ both_sides AS (SELECT n.old_sbom, n.new_sbom, n.id, n.name, o.version IS DISTINC
     WHEN split_part(o.version, '.', 2) <> split_part(n.version, '.', 2) THEN 4 WHEN split_part(o.version, '.', 3) <> split_part(n.version, '.', 3) THEN 2 ELSE 0 END AS step
   FROM n JOIN o ON o.old_sbom = n.old_sbom AND o.new_sbom = n.new_sbom AND o.id = n.id),
 changes AS (
-  SELECT old_sbom, new_sbom, 'removed' AS kind, id, name, '' AS fields, 10 AS cost FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.old_sbom = o.old_sbom AND n.id = o.id)
-  UNION ALL SELECT old_sbom, new_sbom, 'added', id, name, '', 10 FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.old_sbom = n.old_sbom AND o.id = n.id)
+  SELECT old_sbom, new_sbom, 'removed' AS kind, id, name, '' AS fields, 10 AS cost FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.old_sbom = o.old_sbom AND n.new_sbom = o.new_sbom AND n.id = o.id)
+  UNION ALL SELECT old_sbom, new_sbom, 'added', id, name, '', 10 FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.old_sbom = n.old_sbom AND o.new_sbom = n.new_sbom AND o.id = n.id)
   UNION ALL SELECT old_sbom, new_sbom, 'modified', id, name, concat_ws(',', CASE WHEN v THEN 'version' END, CASE WHEN l THEN 'licences' END, CASE WHEN s THEN 'supplier' END, CASE WHEN h THEN 'hashes' END),
     CASE WHEN v THEN step ELSE 0 END + CASE WHEN l THEN 6 ELSE 0 END + CASE WHEN s THEN 4 ELSE 0 END + CASE WHEN h THEN 8 ELSE 0 END FROM both_sides WHERE v OR l OR s OR h)"""
 EDGE_CHANGES = """,
@@ -120,8 +122,8 @@ edge_changes AS (SELECT *, 'added' AS kind FROM (SELECT * FROM ne EXCEPT ALL SEL
 VULN_CHANGES = """,
 ov AS (SELECT DISTINCT p.old_sbom, p.new_sbom, v.vuln_id, v.component_id, v.severity FROM pairs p JOIN vulns v ON v.sbom_id = p.old_sbom),
 nv AS (SELECT DISTINCT p.old_sbom, p.new_sbom, v.vuln_id, v.component_id, v.severity FROM pairs p JOIN vulns v ON v.sbom_id = p.new_sbom),
-vuln_changes AS (SELECT nv.*, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.old_sbom = nv.old_sbom AND ov.vuln_id = nv.vuln_id) THEN 'persistent' ELSE 'introduced' END AS kind FROM nv
-  UNION ALL SELECT ov.*, 'resolved' FROM ov WHERE NOT EXISTS (SELECT 1 FROM nv WHERE nv.old_sbom = ov.old_sbom AND nv.vuln_id = ov.vuln_id))"""
+vuln_changes AS (SELECT nv.*, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.old_sbom = nv.old_sbom AND ov.new_sbom = nv.new_sbom AND ov.vuln_id = nv.vuln_id) THEN 'persistent' ELSE 'introduced' END AS kind FROM nv
+  UNION ALL SELECT ov.*, 'resolved' FROM ov WHERE NOT EXISTS (SELECT 1 FROM nv WHERE nv.old_sbom = ov.old_sbom AND nv.new_sbom = ov.new_sbom AND nv.vuln_id = ov.vuln_id))"""
 
 
 @query(f"{M}{PAIRS}{CHANGES} SELECT old_sbom, new_sbom, kind, id, name, fields, CAST(cost AS INTEGER) AS cost FROM changes")
@@ -147,18 +149,69 @@ def diff_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differ.vulnerability_changes(t, pairs)
 
 
-@query(f"""{M}{PAIRS}{CHANGES}{EDGE_CHANGES}{VULN_CHANGES},
-c AS (SELECT old_sbom, new_sbom, count(*) FILTER (kind = 'added') AS components_added, count(*) FILTER (kind = 'removed') AS components_removed, count(*) FILTER (kind = 'modified') AS components_modified FROM changes GROUP BY 1, 2),
+_SUMMARY = f"""{CHANGES}{EDGE_CHANGES}{VULN_CHANGES},
+c AS (SELECT old_sbom, new_sbom, count(*) FILTER (kind = 'added') AS components_added, count(*) FILTER (kind = 'removed') AS components_removed, count(*) FILTER (kind = 'modified') AS components_modified, sum(cost) AS component_cost FROM changes GROUP BY 1, 2),
 e AS (SELECT old_sbom, new_sbom, count(*) FILTER (kind = 'added') AS edges_added, count(*) FILTER (kind = 'removed') AS edges_removed FROM edge_changes GROUP BY 1, 2),
 v AS (SELECT old_sbom, new_sbom, count(*) FILTER (kind = 'introduced') AS vulns_introduced, count(*) FILTER (kind = 'resolved') AS vulns_resolved, count(*) FILTER (kind = 'persistent') AS vulns_persistent FROM vuln_changes GROUP BY 1, 2)
-SELECT *, components_added + components_removed + components_modified + edges_added + edges_removed AS total_changes,
-  CAST(10 * components_added + 10 * components_removed + 4 * components_modified + 5 * edges_added + 5 * edges_removed + 15 * vulns_introduced - 3 * vulns_resolved AS DOUBLE) AS score
-FROM pairs JOIN c USING (old_sbom, new_sbom) JOIN e USING (old_sbom, new_sbom) JOIN v USING (old_sbom, new_sbom)""")
-def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, pairs, matches = _diff(spark, sf_dir)
+SELECT * EXCLUDE (component_cost), components_added + components_removed + components_modified + edges_added + edges_removed AS total_changes,
+  CAST(component_cost + 5 * edges_added + 5 * edges_removed + 15 * vulns_introduced - 3 * vulns_resolved AS DOUBLE) AS score
+FROM pairs JOIN c USING (old_sbom, new_sbom) JOIN e USING (old_sbom, new_sbom) JOIN v USING (old_sbom, new_sbom)"""
+_BASELINE = ", ids AS (SELECT DISTINCT sbom_id FROM components), pairs AS (SELECT 1996 AS old_sbom, sbom_id AS new_sbom FROM ids WHERE sbom_id <> 1996)"
+_CUMULATIVE = ", ids AS (SELECT DISTINCT sbom_id FROM components), pairs AS (SELECT (SELECT min(sbom_id) FROM ids) AS old_sbom, sbom_id AS new_sbom FROM ids WHERE sbom_id > (SELECT min(sbom_id) FROM ids))"
+
+
+def _summary(t: Tables, pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return differ.summary(differ.component_changes(t, pairs, matches), differ.edge_changes(t, pairs, matches), differ.vulnerability_changes(t, pairs), pairs)
 
 
+@query(f"{M}{PAIRS}{_SUMMARY}")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(*_diff(spark, sf_dir, cut=True))
+
+
+@query(f"{M}{_BASELINE}{_SUMMARY}")
+def multi_baseline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = testdata.tables(spark, sf_dir, cut=True)
+    pairs = differ.baseline_pairs(t, 1996)
+    return _summary(t, pairs, differ.identity_matches(t, pairs))
+
+
+@query(f"{M}{_CUMULATIVE}{_SUMMARY}")
+def timeline_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = testdata.tables(spark, sf_dir, cut=True)
+    pairs = differ.cumulative_pairs(t)
+    return _summary(t, pairs, differ.identity_matches(t, pairs))
+
+
+_SCORES = _SUMMARY.replace("GROUP BY 1, 2)\nSELECT * EXCLUDE", "GROUP BY 1, 2),\nscores AS (SELECT * EXCLUDE") + ")"
+
+
+@query(f"{M}{_BASELINE}{_SCORES} SELECT old_sbom, new_sbom, 100 - score AS deviation, greatest(max(100 - score) OVER (PARTITION BY old_sbom), 0) AS max_deviation FROM scores")
+def multi_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differ.deviations(multi_baseline_summary(spark, sf_dir))
+
+
+@query(f"{M}{PAIRS}{VULN_CHANGES} SELECT old_sbom, new_sbom, severity, count(*) AS n FROM vuln_changes WHERE kind = 'introduced' GROUP BY 1, 2, 3")
+def diff_introduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, pairs, _ = _diff(spark, sf_dir)
+    return differ.introduced_severities(differ.vulnerability_changes(t, pairs))
+
+
+@query()
+def diff_matched_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diff on identity matches and the assignment of what they leave."""
+    t = testdata.tables(spark, sf_dir, cut=True)
+    pairs = differ.consecutive_pairs(t)
+    return differ.component_changes(t, pairs, differ.full_matches(t, pairs))
+
+
+@query()
+def diff_matched_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = testdata.tables(spark, sf_dir, cut=True)
+    pairs = differ.consecutive_pairs(t)
+    return _summary(t, pairs, materialize(differ.full_matches(t, pairs), "matches"))
+
+
 @query(f"{M} SELECT sbom_id, component_id, count(*) AS n_vulns, arg_max(severity, {RANK}) AS worst, max(cvss) AS max_cvss, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high FROM vulns GROUP BY 1, 2")
 def vulnerability_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differ.vulnerability_groups(testdata.tables(spark, sf_dir).vulns)
@@ -213,7 +266,7 @@ history AS (SELECT sbom_id, id, v AS version, CASE WHEN v IS NULL AND previous I
   WHEN c IS NULL OR p IS NULL THEN CASE WHEN v > previous THEN 'patch_upgrade' ELSE 'downgrade' END WHEN c <= p THEN 'downgrade' WHEN c[1] > p[1] THEN 'major_upgrade' WHEN c[2] > p[2] THEN 'minor_upgrade' ELSE 'patch_upgrade' END AS change FROM nums)"""
 
 
-@query(f"{M}{_HISTORY} SELECT * FROM history")
+@query(f"{M}{_HISTORY} SELECT * FROM history WHERE change <> 'absent'")
 def timeline_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.history(testdata.tables(spark, sf_dir))
 
@@ -238,4 +291,20 @@ def matrix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def matrix_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.leader_clusters(fleet.similarity_matrix(testdata.tables(spark, sf_dir)), 0.9)
+    t = testdata.tables(spark, sf_dir)
+    return fleet.leader_clusters(t.components.select("sbom_id"), fleet.similar_documents(t, 0.9))
+
+
+@query(f"{M}{_MATRIX} SELECT a, b, shared, round(shared / (x.n + y.n - shared), 9) AS jaccard FROM h JOIN s x ON x.sbom_id = a JOIN s y ON y.sbom_id = b WHERE shared / (x.n + y.n - shared) >= 0.9")
+def matrix_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.similar_documents(testdata.tables(spark, sf_dir), 0.9).withColumn("jaccard", F.round("jaccard", 9))
+
+
+_BOMS = "boms AS (SELECT DISTINCT snap_no || '/' || bom_serial AS doc, bom_ref AS id FROM cdx_snapshots)"
+
+
+@query(f"WITH {_BOMS}, s AS (SELECT doc, count(*) AS n FROM boms GROUP BY 1), h AS (SELECT a.doc AS a, b.doc AS b, count(*) AS shared FROM boms a JOIN boms b ON a.id = b.id AND a.doc < b.doc GROUP BY 1, 2) SELECT a, b, shared, round(shared / (x.n + y.n - shared), 9) AS jaccard FROM h JOIN s x ON x.doc = a JOIN s y ON y.doc = b WHERE shared / (x.n + y.n - shared) >= 0.8")
+def matrix_similar_boms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot of every bom as a document."""
+    rows = table(spark, sf_dir, "cdx_snapshots").select(F.concat_ws("/", F.col("snap_no").cast("string"), "bom_serial").alias("set_id"), F.col("bom_ref").alias("token"))
+    return similar_sets(rows, 0.8).withColumn("jaccard", F.round("jaccard", 9))

@@ -85,8 +85,7 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = testdata.tables(spark, sf_dir, cut=True)
-    reach = graph.closure(t)
-    return graph.complexity(t, graph.islands(t), graph.depths(t), graph.cyclic_nodes(t, reach))
+    return graph.complexity(t, graph.islands(t), graph.depths(t), graph.cyclic_nodes(t))
 
 
 def _paired(spark: SparkSession, sf_dir: str):
@@ -154,3 +153,13 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ui_urgency(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = testdata.tables(spark, sf_dir, cut=True)
     return search.urgency(t, graph.blast_radius(t)).where(F.col("rank_in_component") == 1)
+
+
+@query(f"{M}{PAIRS}{_DEPTH}{_CHILD} SELECT * FROM dep WHERE impact IN ('medium', 'high', 'critical')")
+def graph_impact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.at_least(graph_child_diff(spark, sf_dir), "medium")
+
+
+@query(f"{M} SELECT * FROM edges WHERE relationship IN ('depends-on', 'dev-depends-on')")
+def graph_relation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.related(testdata.tables(spark, sf_dir).edges, ["Depends-On", "DEV-depends-on"])

@@ -41,46 +41,102 @@ def src_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("sbom_id", documents.detect(F.col("text")).alias("d")).select("sbom_id", "d.*")
 
 
+#: Every valid document, taken out of its wrapping object as P5_SQL does; a single object in place of an array is its only element.
+_BARE = """docs AS (SELECT raw_id, CASE WHEN json_extract(j, '$.packages') IS NOT NULL OR json_extract(j, '$.statements') IS NOT NULL OR json_extract(j, '$.spdxVersion') IS NOT NULL THEN j
+  ELSE coalesce(json_extract(j, '$.document'), json_extract(j, '$.payload'), json_extract(j, '$.sbom'), j) END AS d FROM (SELECT raw_id, body::JSON AS j FROM nested_docs WHERE json_valid(body)))"""
+
+
+def _listed_sql(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') WHEN json_type({x}) = 'OBJECT' THEN [{x}] ELSE [] END"
+
+
 @query(
-    """WITH v AS (SELECT raw_id, json_extract(body, '$.packages[*]') AS ps FROM nested_docs WHERE json_valid(body) AND json_type(body::JSON, '$.packages') = 'ARRAY'),
+    f"""WITH {_BARE}, v AS (SELECT raw_id, {_listed_sql("json_extract(d, '$.packages')")} AS ps FROM docs),
 p AS (SELECT raw_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM v),
-q AS (SELECT raw_id, pos, p->>'$.name' AS name, p->>'$.versionInfo' AS version, p->>'$.licenseDeclared' AS lic,
-  CASE WHEN json_type(p, '$.externalRefs') = 'ARRAY' THEN list_filter(json_extract(p, '$.externalRefs[*]'), lambda r: (r->>'$.referenceType') = 'purl')[1]->>'$.referenceLocator' END AS purl FROM p),
+q AS (SELECT raw_id, pos, p->>'$.name' AS name, p->>'$.versionInfo' AS version, p->>'$.licenseDeclared' AS lic, p->>'$.licenseConcluded' AS con,
+  list_filter({_listed_sql("json_extract(p, '$.externalRefs')")}, lambda r: (r->>'$.referenceType') = 'purl')[1]->>'$.referenceLocator' AS purl FROM p),
 i AS (SELECT *, coalesce(lower(purl), name || coalesce('@' || version, '')) AS id FROM q)
-SELECT raw_id AS sbom_id, id, arg_max_null(name, pos) AS name, arg_max_null(version, pos) AS version, arg_max_null(CASE WHEN lic NOT IN ('NOASSERTION', 'NONE', '') THEN lic END, pos) AS licence FROM i WHERE id IS NOT NULL GROUP BY 1, 2"""
+SELECT raw_id AS sbom_id, id, arg_max_null(name, pos) AS name, arg_max_null(version, pos) AS version, arg_max_null(coalesce(CASE WHEN lic NOT IN ('NOASSERTION', 'NONE', '') THEN lic END, CASE WHEN con NOT IN ('NOASSERTION', 'NONE', '') THEN con END), pos) AS licence FROM i WHERE id IS NOT NULL GROUP BY 1, 2"""
 )
 def src_spdx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages of unwrapped SPDX documents whose packages are an array, as the published schema has it."""
-    plain = _docs(spark, sf_dir).where(F.try_variant_get(F.try_parse_json("text"), "$.packages", "string").startswith("["))
-    return documents.spdx_json(plain).components.select("sbom_id", "id", "name", "version", "licence")
-
-
-@query()
-def src_spdx_packages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages of all SPDX documents, wrapped ones and only packages outside an array included; the SQL above leaves these out."""
+    """Packages of all SPDX documents, wrapped ones and only packages outside an array included."""
     return documents.spdx_json(documents.plain_json(_docs(spark, sf_dir))).components.select("sbom_id", "id", "name", "version", "licence")
 
 
 @query(
-    """WITH v AS (SELECT raw_id, json_extract(body, '$.statements[*]') AS ss FROM nested_docs WHERE json_valid(body) AND json_type(body::JSON, '$.statements') = 'ARRAY'),
+    f"""WITH {_BARE}, v AS (SELECT raw_id, {_listed_sql("json_extract(d, '$.statements')")} AS ss FROM docs),
 s AS (SELECT raw_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS seq FROM v),
-n AS (SELECT raw_id, seq, s, unnest(list_distinct(list_filter(list_prepend(s->>'$.vulnerability.name', CASE WHEN json_type(s, '$.vulnerability.aliases') = 'ARRAY' THEN json_extract_string(s, '$.vulnerability.aliases[*]') ELSE [] END), lambda x: x IS NOT NULL))) AS vuln_id FROM s),
-p AS (SELECT *, CASE json_type(s, '$.products') WHEN 'ARRAY' THEN json_extract(s, '$.products[*]') WHEN 'OBJECT' THEN [json_extract(s, '$.products')] ELSE [] END AS ps FROM n)
+n AS (SELECT raw_id, seq, s, unnest(list_distinct(list_filter(list_prepend(s->>'$.vulnerability.name', CASE WHEN json_type(s, '$.vulnerability.aliases') = 'ARRAY' THEN json_extract_string(s, '$.vulnerability.aliases[*]') WHEN json_type(s, '$.vulnerability.aliases') = 'VARCHAR' THEN [s->>'$.vulnerability.aliases'] ELSE [] END), lambda x: x IS NOT NULL))) AS vuln_id FROM s),
+p AS (SELECT *, {_listed_sql("json_extract(s, '$.products')")} AS ps FROM n)
 SELECT raw_id AS sbom_id, CAST(seq AS INTEGER) AS seq, vuln_id, CASE WHEN (s->>'$.status') IN ('not_affected', 'affected', 'fixed') THEN s->>'$.status' ELSE 'under_investigation' END AS status, CASE WHEN len(ps) > 0 THEN coalesce(p->>'$.identifiers.purl', p->>'$."@id"') END AS purl
 FROM (SELECT *, unnest(CASE WHEN len(ps) > 0 THEN ps ELSE [NULL] END) AS p FROM p)"""
 )
 def src_openvex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of unwrapped OpenVEX documents; a single product object counts as one."""
-    plain = _docs(spark, sf_dir).where(F.try_variant_get(F.try_parse_json("text"), "$.statements", "string").startswith("["))
-    return documents.openvex(plain)
-
-
-@query()
-def src_openvex_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of all OpenVEX documents, wrapped ones and only statements outside an array included."""
     return documents.openvex(documents.plain_json(_docs(spark, sf_dir)))
 
 
+_WRITTEN = """written AS (SELECT sbom_id || '/' || (part_no // 500) AS doc, coalesce(lower(purl), name || coalesce('@' || version, '')) AS id, name, version, supplier, licence, description, part_no FROM components)"""
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fleet's components in texts of 500 at most."""
+    c = testdata.components(spark, sf_dir)
+    return c.withColumn("doc", F.concat_ws("/", F.col("sbom_id").cast("string"), F.floor(F.col("part_no") / 500).cast("string")))
+
+
+def _texts(rows: DataFrame, line: F.Column, head: str = "", tail: str = "") -> DataFrame:
+    parts = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("part_no", line.alias("line")))).alias("lines"))
+    return parts.select(F.col("doc").alias("sbom_id"), F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(tail)).alias("text"))
+
+
+@query(f"{M}, {_WRITTEN} SELECT doc AS sbom_id, id, arg_max_null(name, part_no) AS name, arg_max_null(version, part_no) AS version, arg_max_null(supplier, part_no) AS supplier, arg_max_null(licence, part_no) AS licence FROM written GROUP BY 1, 2")
+def src_spdx_tag_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components written as SPDX tag-value texts and read back."""
+    field = lambda tag, c, lead="": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{tag}: {lead}"), F.col(c)))
+    line = F.concat_ws("\n", field("PackageName", "name"), field("SPDXID", "id", "SPDXRef-"), field("PackageVersion", "version"), field("PackageSupplier", "supplier", "Organization: "), field("PackageLicenseDeclared", "licence"), field("ExternalRef", "purl", "PACKAGE-MANAGER purl "))
+    back = documents.spdx_tag_value(_texts(_written(spark, sf_dir), line, "SPDXVersion: SPDX-2.3\nDocumentName: fleet\n\n")).components
+    return back.select("sbom_id", "id", "name", "version", "supplier", "licence")
+
+
+@query(f"{M}, {_WRITTEN} SELECT doc AS sbom_id, id, arg_max_null(name, part_no) AS name, arg_max_null(version, part_no) AS version, arg_max_null(description, part_no) AS description FROM written GROUP BY 1, 2")
+def src_cyclonedx_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components written as CycloneDX XML texts and read back."""
+    tag = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{c}>"), sinks.escape_html(F.col(c)), F.lit(f"</{c}>")))
+    line = F.concat(F.lit('<component type="library">'), F.concat_ws("", *[tag(c) for c in ("name", "version", "description", "purl")]), F.lit("</component>"))
+    texts = _texts(_written(spark, sf_dir), line, '<?xml version="1.0"?>\n<bom><components>\n', "\n</components></bom>")
+    return documents.cyclonedx_xml(texts).select("sbom_id", "id", "name", "version", "description")
+
+
+@query(f"{M}{PAIRS}{CHANGES} SELECT old_sbom, new_sbom, kind, id, name, coalesce(fields, '') AS fields, CAST(cost AS INTEGER) AS cost FROM changes")
+def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component changes written as CSV and read back."""
+    t = testdata.tables(spark, sf_dir)
+    pairs = differ.consecutive_pairs(t)
+    changes = differ.component_changes(t, pairs, differ.identity_matches(t, pairs))
+    out = f"{shared_dir(spark)}/bomloom/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(out, components=changes)
+    return spark.read.schema(changes.schema).option("header", True).csv(f"{out}/components").fillna("", ["fields"])
+
+
+@query(f"""{M}{PAIRS}{CHANGES} SELECT old_sbom, new_sbom, count(*) AS changes, CAST(sum(cost) AS BIGINT) AS cost FROM changes GROUP BY 1, 2""")
+def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON reports, read back."""
+    t = testdata.tables(spark, sf_dir)
+    pairs = differ.consecutive_pairs(t)
+    changes = differ.component_changes(t, pairs, differ.identity_matches(t, pairs))
+    reports = sinks.json_report(pairs.withColumn("title", F.lit("diff")), changes, ["old_sbom", "new_sbom"])
+    rows = F.from_json("report", "components array<struct<kind: string, id: string, cost: int>>")["components"]
+    return reports.select("old_sbom", "new_sbom", F.size(rows).cast("bigint").alias("changes"), F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, r: s + r["cost"]).alias("cost"))
+
+
+@query(r"""WITH t AS (SELECT raw_id, t.fullkey AS path, t.type AS kind FROM nested_docs, json_tree(CASE WHEN json_valid(body) THEN body::JSON END) t)
+SELECT raw_id, replace(path, '"', '') AS path, CASE kind WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM t""")
+def u_json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "nested_docs").select(F.col("raw_id").alias("doc_id"), "body")
+    return documents.flattened(docs).select(F.col("doc_id").alias("raw_id"), F.replace("path", F.lit('"'), F.lit("")).alias("path"), "kind")
+
+
 @query(f"{M} SELECT sbom_id, coalesce(lower(purl), name || coalesce('@' || version, '')) AS id, any_value(name) AS name, count(*) > 0 AS parsed FROM components GROUP BY 1, 2")
 def src_cyclonedx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components written as CycloneDX documents and read back."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bomloom import testdata
@@ -12,7 +12,7 @@ from bomloom.functions import text as tx
 from bomloom.functions import version as ve
 from bomloom.model import Tables
 from bomloom.operators import differ, enrichment, matching, rules
-from bomloom.queries.fleetwide import M
+from bomloom.queries.fleetwide import PAIRS, M
 from bomloom.runtime import materialize, table
 
 QUERIES: dict = {}
@@ -91,19 +91,11 @@ _DIV_SQL = """CASE WHEN a IS NULL AND b IS NULL THEN 0.5 WHEN a IS NULL OR b IS
 _BOOST_SQL = "CASE WHEN a = b THEN 0.10 WHEN pa[1] = pb[1] AND pa[2] = pb[2] THEN 0.07 WHEN pa[1] = pb[1] THEN 0.04 ELSE 0.0 END"
 
 
-@query(f"{M}, p AS (SELECT x.id, x.version AS a, y.version AS b, [CAST(z AS INT) FOR z IN string_split(x.version, '.')] AS pa, [CAST(z AS INT) FOR z IN string_split(y.version, '.')] AS pb FROM components x JOIN components y ON x.id = y.id AND x.sbom_id = 1997 AND y.sbom_id = 1998) SELECT id, round({_DIV_SQL}, 9) AS divergence, round(CAST({_BOOST_SQL} AS DOUBLE), 9) AS boost FROM p")
+@query(f"{M}{PAIRS}, p AS (SELECT old_sbom, new_sbom, x.id, x.version AS a, y.version AS b, [CAST(z AS INT) FOR z IN string_split(x.version, '.')] AS pa, [CAST(z AS INT) FOR z IN string_split(y.version, '.')] AS pb FROM pairs JOIN components x ON x.sbom_id = old_sbom JOIN components y ON y.sbom_id = new_sbom AND x.id = y.id) SELECT old_sbom, new_sbom, id, round(CAST({_DIV_SQL} AS DOUBLE), 9) AS divergence, round(CAST({_BOOST_SQL} AS DOUBLE), 9) AS boost FROM p")
 def fn_version_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = testdata.components(spark, sf_dir).select("sbom_id", "id", "version")
-    p = c.where("sbom_id = 1997").select("id", F.col("version").alias("a")).join(c.where("sbom_id = 1998").select("id", F.col("version").alias("b")), "id")
-    return p.select("id", F.round(ve.version_divergence(F.col("a"), F.col("b")), 9).alias("divergence"), F.round(ve.version_boost(F.col("a"), F.col("b")), 9).alias("boost"))
-
-
-@query()
-def fn_version_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fn_version_distance`` of all consecutive documents."""
-    old, new = _all_years(spark, sf_dir)
-    side = lambda d, x: d.select(*_DOCS, "id", F.col("version").alias(x))
-    p = side(old, "a").join(side(new, "b"), [*_DOCS, "id"])
+    pairs = differ.consecutive_pairs(Tables(c, c, c))
+    p = c.withColumnsRenamed({"sbom_id": "old_sbom", "version": "a"}).join(pairs, "old_sbom").join(c.withColumnsRenamed({"sbom_id": "new_sbom", "version": "b"}), ["new_sbom", "id"])
     return p.select(*_DOCS, "id", F.round(ve.version_divergence(F.col("a"), F.col("b")), 9).alias("divergence"), F.round(ve.version_boost(F.col("a"), F.col("b")), 9).alias("boost"))
 
 
@@ -113,115 +105,153 @@ def ui_inline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- licences -------------------------------------------------------------------
-def _info_sql(x: str, field: int) -> str:
-    cases = " ".join(f"WHEN contains(lower({x}), '{row[0]}') THEN {row[field] if field == 3 else chr(39) + str(row[field]) + chr(39)}" for row in lic.LADDER)
-    default = {1: "'unknown'", 2: "'medium'", 3: "0", 4: "'Unknown'"}[field]
-    return f"CASE {cases} ELSE {default} END"
+_SAMPLES = ["MIT", "LGPL-2.1-only", "LGPL-3.0", "AGPL-3.0", "GPL-2.0-only", "CC0-1.0", "proprietary", "BSD-4-Clause", "WTFPL", "Mozilla Public", "EPL-2.0", "CDDL-1.0", "Zlib", "Unlicense", "Apache-2.0 OR GPL-2.0", "private use"]
+
+
+def _info_sql(x: str) -> dict[str, str]:
+    """The classification written out as nested searches, apart from the operator's table."""
+    has = lambda *words: f"regexp_matches(lower({x}), '{'|'.join(words)}')"
+    free, gpl = f"NOT {has('mit', 'apache', 'bsd', 'isc', 'unlicense', 'cc0', 'wtfpl', 'zlib')}", has("gpl")
+    weak = has("mpl", "mozilla", "eclipse", "epl", "cddl")
+    closed = has("proprietary", "commercial", "private")
+    early = has("mit", "apache", "bsd")
+    category = f"CASE WHEN {x} IS NULL THEN 'unknown' WHEN {early} THEN 'permissive' WHEN {has('cc0', 'unlicense')} THEN 'public_domain' WHEN NOT ({free}) THEN 'permissive' WHEN {has('agpl')} THEN 'network_copyleft' WHEN {has('lgpl')} THEN 'weak_copyleft' WHEN {gpl} THEN 'strong_copyleft' WHEN {weak} THEN 'weak_copyleft' WHEN {closed} THEN 'proprietary' ELSE 'unknown' END"
+    risk = f"CASE WHEN {x} IS NULL THEN 'medium' WHEN {has('mit', 'apache')} THEN 'low' WHEN {has('bsd')} THEN CASE WHEN {has('4-clause', 'original')} THEN 'medium' ELSE 'low' END WHEN NOT ({free}) THEN 'low' WHEN {has('agpl')} THEN 'critical' WHEN {has('lgpl')} THEN 'medium' WHEN {gpl} THEN 'high' WHEN {weak} THEN 'medium' WHEN {closed} THEN 'critical' ELSE 'medium' END"
+    family = f"CASE WHEN {x} IS NULL THEN 'Unknown' WHEN {has('mit')} THEN 'MIT' WHEN {has('apache')} THEN 'Apache' WHEN {has('bsd')} THEN 'BSD' WHEN {has('cc0')} THEN 'Creative Commons' WHEN {has('zlib')} AND NOT {has('unlicense')} THEN 'Zlib' WHEN NOT ({free}) THEN 'Public Domain-like' WHEN {gpl} THEN 'GPL' WHEN {has('mpl', 'mozilla')} THEN 'MPL' WHEN {has('eclipse', 'epl')} THEN 'Eclipse' WHEN {has('cddl')} THEN 'CDDL' WHEN {closed} THEN 'Proprietary' ELSE 'Unknown' END"
+    strength = f"CASE WHEN {x} IS NULL OR NOT ({free}) THEN 0 WHEN {has('agpl')} THEN 4 WHEN {has('lgpl')} THEN 1 WHEN {gpl} THEN 3 WHEN {weak} THEN 1 ELSE 0 END"
+    patent = f"coalesce(CASE WHEN {has('mit')} THEN false WHEN {has('apache')} THEN true WHEN NOT ({free}) THEN false WHEN {gpl} THEN contains({x}, '3') ELSE {weak} END, false)"
+    return {"category": category, "risk": risk, "family": family, "strength": strength, "patent_grant": patent, "network": f"coalesce({free} AND {has('agpl')}, false)"}
+
 
+_LICENCES_SQL = f"l AS (SELECT DISTINCT license_declared AS x FROM spdx_packages UNION SELECT DISTINCT license_concluded FROM spdx_packages UNION SELECT unnest({_SAMPLES}))"
 
-@query(f"WITH l AS (SELECT DISTINCT license_declared AS x FROM spdx_packages UNION SELECT unnest(['MIT', 'LGPL-2.1-only', 'AGPL-3.0', 'GPL-2.0-only', 'CC0-1.0', 'proprietary', 'Apache-2.0 OR GPL-2.0'])) SELECT x, {_info_sql('x', 1)} AS category, {_info_sql('x', 2)} AS risk, {_info_sql('x', 4)} AS family FROM l")
+
+def _licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "spdx_packages")
+    extra = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in _SAMPLES])).alias("x"))
+    return p.select(F.col("license_declared").alias("x")).union(p.select("license_concluded")).union(extra).distinct()
+
+
+@query(f"WITH {_LICENCES_SQL} SELECT x, {', '.join(f'{v} AS {k}' for k, v in _info_sql('x').items() if k != 'strength')} FROM l")
 def l_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("MIT", "LGPL-2.1-only", "AGPL-3.0", "GPL-2.0-only", "CC0-1.0", "proprietary", "Apache-2.0 OR GPL-2.0")])).alias("x"))
-    x = table(spark, sf_dir, "spdx_packages").select(F.col("license_declared").alias("x")).union(extra).distinct()
-    return x.withColumn("i", lic.licence_info(F.col("x"))).select("x", "i.category", "i.risk", "i.family")
+    return _licences(spark, sf_dir).withColumn("i", lic.licence_info(F.col("x"))).select("x", "i.category", "i.risk", "i.family", "i.patent_grant", "i.network")
+
+
+@query(f"""WITH {_LICENCES_SQL} SELECT x, coalesce(list_contains({lic.COMMON}, trim(x)) OR regexp_matches(trim(x), ' (AND|OR|WITH) '), false) AS common, coalesce(list_contains({lic.DEPRECATED}, trim(x)), false) AS deprecated,
+  coalesce(regexp_matches(upper(trim(x)), '^(A?GPL|LGPL|EUPL|SSPL|OSL|CPAL|CC-BY-SA|CC-BY-NC)'), false) AS restrictive FROM l""")
+def l_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return _licences(spark, sf_dir).select("x", lic.is_common(x).alias("common"), lic.is_deprecated(x).alias("deprecated"), lic.is_restrictive(x).alias("restrictive"))
+
+
+@query()
+def l_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return _licences(spark, sf_dir).select("x", lic.licence_family(x).alias("family"), lic.expression_tree(x).alias("tree")).withColumn("valid", F.col("tree").isNotNull())
 
 
 _COMPAT_IDS = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "AGPL-3.0-only", "MPL-2.0", "proprietary", "CC0-1.0"]
 
 
-@query(
-    f"WITH l AS (SELECT unnest({_COMPAT_IDS}) AS x), i AS (SELECT x, lower(x) AS lx, {_info_sql('x', 1)} AS cat, {_info_sql('x', 3)} AS st, {_info_sql('x', 4)} AS fam FROM l), p AS (SELECT a.x AS a, b.x AS b, a.lx AS la, b.lx AS lb, a.cat AS ca, b.cat AS cb, a.st AS sa, b.st AS sb, a.fam AS fa, b.fam AS fb FROM i a JOIN i b ON a.x < b.x) "
-    "SELECT a, b, CAST(CASE WHEN ca <> cb AND (ca = 'proprietary' OR cb = 'proprietary') THEN 0 WHEN (contains(la, 'gpl-2.0-only') AND contains(lb, 'gpl-3')) OR (contains(lb, 'gpl-2.0-only') AND contains(la, 'gpl-3')) THEN 0 "
-    "ELSE greatest(100 - CASE WHEN (fa = 'Apache' AND contains(lb, 'gpl-2')) OR (fb = 'Apache' AND contains(la, 'gpl-2')) THEN 30 ELSE 0 END - CASE WHEN ca = 'network_copyleft' OR cb = 'network_copyleft' THEN 20 ELSE 0 END - CASE WHEN ca <> cb AND abs(sa - sb) > 1 THEN 10 * abs(sa - sb) ELSE 0 END, 0) END AS INTEGER) AS score FROM p"
+_I = _info_sql("x")
+_PAIR_SCORE = (
+    "CAST(CASE WHEN ca <> cb AND (ca = 'proprietary' OR cb = 'proprietary') THEN 0 WHEN (contains(la, 'gpl-2.0-only') AND contains(lb, 'gpl-3')) OR (contains(lb, 'gpl-2.0-only') AND contains(la, 'gpl-3')) THEN 0 "
+    "ELSE greatest(100 - CASE WHEN (fa = 'Apache' AND contains(lb, 'gpl-2')) OR (fb = 'Apache' AND contains(la, 'gpl-2')) THEN 30 ELSE 0 END - CASE WHEN ca = 'network_copyleft' OR cb = 'network_copyleft' THEN 20 ELSE 0 END - CASE WHEN ca <> cb AND abs(sa - sb) > 1 THEN 10 * abs(sa - sb) ELSE 0 END, 0) END AS INTEGER)"
 )
+_PAIRED = "p AS (SELECT a.x AS a, b.x AS b, a.lx AS la, b.lx AS lb, a.cat AS ca, b.cat AS cb, a.st AS sa, b.st AS sb, a.fam AS fa, b.fam AS fb FROM i a JOIN i b ON a.x < b.x)"
+_CLASSED = f"i AS (SELECT x, lower(x) AS lx, {_I['category']} AS cat, {_I['strength']} AS st, {_I['family']} AS fam FROM l)"
+
+
+@query(f"WITH l AS (SELECT unnest({_COMPAT_IDS}) AS x), {_CLASSED}, {_PAIRED} SELECT a, b, {_PAIR_SCORE} AS score FROM p")
 def l_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in _COMPAT_IDS])).alias("a"))
     return ids.join(ids.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", lic.compatibility(F.col("a"), F.col("b")).alias("score"))
 
 
-# --- matching -------------------------------------------------------------------
-def _two_years(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = testdata.components(spark, sf_dir).where("part_no % 10 = 0 or sbom_id = 1998")
-    return c.where("sbom_id = 1997"), c.where("sbom_id = 1998")
+@query(f"""{M}, l AS (SELECT DISTINCT licence AS x FROM components WHERE licence IS NOT NULL), {_CLASSED}, {_PAIRED}, s AS (SELECT a, b, {_PAIR_SCORE} AS score FROM p), own AS (SELECT DISTINCT sbom_id, licence FROM components WHERE licence IS NOT NULL),
+bad AS (SELECT x.sbom_id, count(*) FILTER (score = 0) AS errors, count(*) FILTER (score > 0 AND score < 70) AS warnings FROM own x JOIN own y ON x.sbom_id = y.sbom_id AND x.licence < y.licence JOIN s ON s.a = x.licence AND s.b = y.licence GROUP BY 1)
+SELECT sbom_id, licences, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CAST(CASE WHEN errors > 0 THEN 0 ELSE greatest(100 - 15 * coalesce(warnings, 0), 0) END AS INTEGER) AS score FROM (SELECT sbom_id, count(*) AS licences FROM own GROUP BY 1) LEFT JOIN bad USING (sbom_id)""")
+def l_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lic.compatibility_report(testdata.components(spark, sf_dir).select("sbom_id", "licence"))
 
 
+# --- matching -------------------------------------------------------------------
 _DOCS = ("old_sbom", "new_sbom")
 
 
-def _all_years(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The whole documents of all consecutive pairs, by ``old_sbom, new_sbom``."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What the identity matches of all consecutive pairs of documents leave, by ``old_sbom, new_sbom``."""
     c = materialize(testdata.components(spark, sf_dir), "components")
-    pairs = differ.consecutive_pairs(Tables(c, c, c))
-    return tuple(c.join(F.broadcast(pairs), F.col("sbom_id") == F.col(d)) for d in _DOCS)
+    t = Tables(c, c, c)
+    pairs = differ.consecutive_pairs(t)
+    return tuple(materialize(d, "unmatched") for d in differ.unmatched(t, pairs, differ.identity_matches(t, pairs)))
 
 
 _NORM_NAME = "CASE WHEN {0}.ecosystem = 'pypi' THEN regexp_replace(lower({0}.name), '[_.]+', '-', 'g') WHEN {0}.ecosystem = 'cargo' THEN replace(lower({0}.name), '-', '_') WHEN {0}.ecosystem = 'npm' THEN lower({0}.name) ELSE regexp_replace(replace(lower({0}.name), '_', '-'), '-+', '-', 'g') END"
 _NORM_PURL = "CASE {0}.ecosystem WHEN 'pypi' THEN regexp_replace(lower({0}.purl), '[_.]', '-', 'g') WHEN 'npm' THEN replace(lower({0}.purl), '%40', '@') WHEN 'cargo' THEN replace(lower({0}.purl), '-', '_') WHEN 'maven' THEN {0}.purl WHEN 'golang' THEN {0}.purl ELSE lower({0}.purl) END"
-_BLOCK_SQL = f"""{M}, old AS (SELECT * FROM components WHERE sbom_id = 1997 AND part_no % 10 = 0), new AS (SELECT * FROM components WHERE sbom_id = 1998),
+_KEYS_SQL = f"unnest(list_distinct(list_append([left(nn, 1) || g FOR g IN {_GRAMS.format('nn')}], 'p/' || ecosystem || '/' || left(nn, 3)))) AS k"
+_BLOCK_SQL = f"""{M}{PAIRS},
+old AS (SELECT p.old_sbom, p.new_sbom, c.* FROM pairs p JOIN components c ON c.sbom_id = p.old_sbom WHERE NOT EXISTS (SELECT 1 FROM components d WHERE d.sbom_id = p.new_sbom AND d.id = c.id)),
+new AS (SELECT p.old_sbom, p.new_sbom, c.* FROM pairs p JOIN components c ON c.sbom_id = p.new_sbom WHERE NOT EXISTS (SELECT 1 FROM components d WHERE d.sbom_id = p.old_sbom AND d.id = c.id)),
 oldn AS (SELECT *, {_NORM_NAME.format('old')} AS nn FROM old), newn AS (SELECT *, {_NORM_NAME.format('new')} AS nn FROM new),
-oldk AS (SELECT id, name, unnest(list_distinct(list_append([left(nn, 1) || g FOR g IN {_GRAMS.format('nn')}], 'p/' || ecosystem || '/' || left(nn, 3)))) AS k FROM oldn),
-newk AS (SELECT id, name, unnest(list_distinct(list_append([left(nn, 1) || g FOR g IN {_GRAMS.format('nn')}], 'p/' || ecosystem || '/' || left(nn, 3)))) AS k FROM newn),
-cand AS (SELECT DISTINCT a.id AS old_id, b.id AS new_id FROM oldk a JOIN newk b ON a.k = b.k WHERE abs(length(a.name) - length(b.name)) <= 10)"""
+oldk AS (SELECT old_sbom, id, name, {_KEYS_SQL} FROM oldn), newk AS (SELECT old_sbom, new_sbom, id, name, {_KEYS_SQL} FROM newn),
+cand AS (SELECT DISTINCT b.old_sbom, b.new_sbom, a.id AS old_id, b.id AS new_id FROM oldk a JOIN newk b ON a.old_sbom = b.old_sbom AND a.k = b.k WHERE abs(length(a.name) - length(b.name)) <= 10)"""
+_JOINED = "cand JOIN old o ON o.old_sbom = cand.old_sbom AND o.id = old_id JOIN new n ON n.old_sbom = cand.old_sbom AND n.id = new_id"
 
 
 @query(f"{_BLOCK_SQL} SELECT * FROM cand")
 def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.candidates(*_two_years(spark, sf_dir))
-
-
-@query()
-def er_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``er_candidates`` of whole documents and all consecutive pairs; its SQL covers a tenth of one."""
-    return matching.candidates(*_all_years(spark, sf_dir), by=_DOCS)
+    return matching.candidates(*_sides(spark, sf_dir), by=_DOCS)
 
 
 @query()
 def er_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.explained(matching.all_scores(*_all_years(spark, sf_dir), by=_DOCS))
+    return matching.explained(matching.all_scores(*_sides(spark, sf_dir), by=_DOCS))
 
 
-@query(f"{_BLOCK_SQL}, tiers AS (SELECT old_id, new_id, CASE WHEN {_NORM_PURL.format('o')} = {_NORM_PURL.format('n')} THEN 1.0 WHEN o.ecosystem = n.ecosystem AND {_NORM_NAME.format('o')} = {_NORM_NAME.format('n')} THEN 0.9 END AS score FROM cand JOIN old o ON o.id = old_id JOIN new n ON n.id = new_id) SELECT old_id, new_id, CAST(score AS DOUBLE) AS score FROM tiers WHERE score IS NOT NULL")
+@query(f"{_BLOCK_SQL}, tiers AS (SELECT cand.*, CASE WHEN {_NORM_PURL.format('o')} = {_NORM_PURL.format('n')} THEN 1.0 WHEN o.ecosystem = n.ecosystem AND {_NORM_NAME.format('o')} = {_NORM_NAME.format('n')} THEN 0.9 END AS score FROM {_JOINED}) SELECT old_sbom, new_sbom, old_id, new_id, CAST(score AS DOUBLE) AS score FROM tiers WHERE score IS NOT NULL")
 def er_cheap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _two_years(spark, sf_dir)
-    pairs = matching.candidates(old, new).join(old.alias("a"), F.col("old_id") == F.col("a.id")).join(new.alias("b"), F.col("new_id") == F.col("b.id"))
-    return pairs.select("old_id", "new_id", matching.cheap_tier("a", "b").cast("double").alias("score")).where("score is not null")
-
-
-@query()
-def er_cheap_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``er_cheap_tiers`` of whole documents and all consecutive pairs."""
-    return matching.all_scores(*_all_years(spark, sf_dir), by=_DOCS).where("tier in ('exact', 'ecosystem_rule')").drop("tier")
+    return matching.all_scores(*_sides(spark, sf_dir), by=_DOCS).where("tier in ('exact', 'ecosystem_rule')").drop("tier")
 
 
 @query()
 def er_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = tuple(matching.alike(d, _DOCS) for d in _all_years(spark, sf_dir))
+    sides = tuple(matching.alike(d, _DOCS) for d in _sides(spark, sf_dir))
     return matching.assign(matching.alike_scores(*sides, by=_DOCS), None, _DOCS, sides)
 
 
 @query()
 def er_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = tuple(matching.alike(d, _DOCS) for d in _all_years(spark, sf_dir))
+    sides = tuple(matching.alike(d, _DOCS) for d in _sides(spark, sf_dir))
     return matching.greedy_assign(matching.alike_scores(*sides, by=_DOCS), _DOCS, sides)
 
 
-_EVENT_SCORE = "least(value / 20, 1.0)"
+_MULTI_SQL = f"""{_BLOCK_SQL}, p AS (SELECT cand.*, o.version AS a, n.version AS b, [CAST(z AS INT) FOR z IN string_split(o.version, '.')] AS pa, [CAST(z AS INT) FOR z IN string_split(n.version, '.')] AS pb, o.ecosystem AS ea, n.ecosystem AS eb, o.licence AS la, n.licence AS lb, o.supplier AS sa, n.supplier AS sb, 1 - levenshtein(o.name, n.name) / greatest(strlen(o.name), strlen(n.name)) AS ns FROM {_JOINED}),
+multi AS (SELECT old_sbom, new_sbom, old_id, new_id, round(greatest(least(0.6 * ns + 0.1 * ({_DIV_SQL}) + CASE WHEN ea <> eb THEN -0.15 ELSE 0.15 END + 0.08 * CASE WHEN la IS NULL AND lb IS NULL THEN 0.5 WHEN la = lb THEN 1 ELSE 0 END + 0.04 * CASE WHEN sa IS NULL AND sb IS NULL THEN 0.5 WHEN sa = sb THEN 1 ELSE 0 END, 1), 0), 6) AS score FROM p)"""
+
+
+@query(f"{_MULTI_SQL} SELECT * FROM multi")
+def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _sides(spark, sf_dir)
+    fields = [F.struct("name", "version", "ecosystem", "licence", "supplier").alias(x) for x in "ab"]
+    pairs = matching.candidates(old, new, by=_DOCS)
+    pairs = pairs.join(old.select(*_DOCS, F.col("id").alias("old_id"), fields[0]), [*_DOCS, "old_id"]).join(new.select(*_DOCS, F.col("id").alias("new_id"), fields[1]), [*_DOCS, "new_id"])
+    name = tx.levenshtein_similarity(F.col("a.name"), F.col("b.name"))
+    return pairs.select(*_DOCS, "old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
 
 
-@query(f"SELECT count(*) AS n, min({_EVENT_SCORE}) AS min_score, max({_EVENT_SCORE}) AS max_score, round(avg({_EVENT_SCORE}), 9) AS mean_score, round(stddev_pop({_EVENT_SCORE}), 9) AS std_score, round(quantile_cont({_EVENT_SCORE}, 0.5), 9) AS median_score, count(*) FILTER ({_EVENT_SCORE} >= 0.9999) AS exact, count(*) FILTER ({_EVENT_SCORE} <= 0) AS zero FROM events")
+@query(f"{_MULTI_SQL} SELECT count(*) AS n, min(score) AS min_score, max(score) AS max_score, round(avg(score), 9) AS mean_score, round(stddev_pop(score), 9) AS std_score, round(quantile_cont(score, 0.5), 9) AS median_score, count(*) FILTER (score >= 0.9999) AS exact, count(*) FILTER (score <= 0) AS zero FROM multi")
 def er_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").select(F.least(F.col("value") / 20, F.lit(1.0)).alias("score"))
-    out = matching.score_statistics(s)
+    out = matching.score_statistics(er_multifield(spark, sf_dir))
     return out.select(*[F.round(c, 9).alias(c) if c in ("mean_score", "std_score", "median_score") else c for c in out.columns])
 
 
 @query(
-    f"WITH h AS (SELECT CAST(least(floor({_EVENT_SCORE} * 100), 99) AS INT) AS bin, count(*) AS n FROM events GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS below, sum(n * bin) OVER (ORDER BY bin) AS mass, sum(n) OVER () AS total, sum(n * bin) OVER () AS all_mass FROM h), "
+    f"{_MULTI_SQL}, h AS (SELECT CAST(least(floor(score * 100), 99) AS INT) AS bin, count(*) AS n FROM multi GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS below, sum(n * bin) OVER (ORDER BY bin) AS mass, sum(n) OVER () AS total, sum(n * bin) OVER () AS all_mass FROM h), "
     "s AS (SELECT bin, round(CAST(below AS DOUBLE) * (total - below) * pow(mass / below - (all_mass - mass) / (total - below), 2), 6) AS b FROM c WHERE below < total) SELECT round((min(bin) + max(bin)) / 2 / 100 + 0.005, 9) AS threshold FROM s WHERE b = (SELECT max(b) FROM s)"
 )
 def er_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").select(F.least(F.col("value") / 20, F.lit(1.0)).alias("score"))
-    return matching.otsu_threshold(s).select(F.round("threshold", 9).alias("threshold"))
+    return matching.otsu_threshold(er_multifield(spark, sf_dir)).select(F.round("threshold", 9).alias("threshold"))
 
 
 # --- enrichment ------------------------------------------------------------------
@@ -261,6 +291,22 @@ def e_eol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.with_lifecycle(testdata.components(spark, sf_dir), cycles, F.lit(AS_OF).cast("date"))
 
 
+_NUMBERS = "[CAST(z AS BIGINT) FOR z IN list_filter(string_split(regexp_extract({0}, '[0-9][0-9.]*'), '.'), lambda z: z <> '')]"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT bom_serial, bom_ref, snap_no, version, loaded_at, row_id FROM cdx_snapshots WHERE version IS NOT NULL), one AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY bom_serial, bom_ref, snap_no ORDER BY loaded_at DESC, row_id DESC) = 1),
+c AS (SELECT DISTINCT lag(version) OVER (PARTITION BY bom_serial, bom_ref ORDER BY snap_no) AS was, version AS now FROM one), n AS (SELECT *, {_NUMBERS.format('was')} AS a, {_NUMBERS.format('now')} AS b FROM c WHERE was <> now),
+k AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN CASE WHEN b > a THEN 'upgrade' WHEN b < a THEN 'downgrade' ELSE 'none' END WHEN now < was THEN 'downgrade' ELSE 'upgrade' END AS change FROM n)
+SELECT was, now, change, CASE WHEN change <> 'downgrade' OR len(a) = 0 OR len(b) = 0 THEN NULL WHEN b[1] < a[1] THEN 'major' WHEN regexp_matches(lower(was), 'security|patch|fix') AND NOT regexp_matches(lower(now), 'security|patch|fix') THEN 'suspicious' ELSE 'minor' END AS severity FROM k""")
+def fn_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a component's version between two snapshots that have it."""
+    rows = table(spark, sf_dir, "cdx_snapshots").where("version is not null")
+    key = ["bom_serial", "bom_ref"]
+    one = rows.groupBy(*key, "snap_no").agg(F.max_by("version", F.struct("loaded_at", "row_id")).alias("now"))
+    changed = one.select("now", F.lag("now").over(Window.partitionBy(*key).orderBy("snap_no")).alias("was")).where("was <> now").distinct()
+    return changed.select("was", "now", ve.direction(F.col("was"), F.col("now")).alias("change"), ve.downgrade_severity(F.col("was"), F.col("now")).alias("severity"))
+
+
 _VEX = """vex AS (SELECT event_id AS seq, 'CVE-2024-' || lpad(json_extract_string(props, '$.k'), 4, '0') AS vuln_id, ['affected', 'not_affected', 'fixed', 'under_investigation'][CAST(event_id % 4 AS INT) + 1] AS status,
   CASE WHEN event_id % 2 = 0 THEN (SELECT min(purl) FROM components c WHERE c.part_no = event_id % (SELECT count(*) FROM part)) END AS purl FROM events WHERE event_type = 'click' AND event_id % 5 = 0)"""
 
@@ -287,6 +333,22 @@ def e_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", enrichment.staleness(k % 17 == 0, k % 13 == 0, F.to_date("o_orderdate"), F.lit("2001-08-01").cast("date")).alias("level"))
 
 
+_ADVISORIES = """adv AS (SELECT DISTINCT 'OSV-' || part_no AS vuln_id, purl, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS ecosystem, CAST(NULL AS VARCHAR) AS version, CAST(part_no % 10 AS DOUBLE) AS cvss FROM components WHERE part_no % 4 = 1 AND purl IS NOT NULL
+  UNION ALL SELECT DISTINCT 'OSV-N' || part_no, NULL, upper(name), ecosystem, version, CAST(part_no % 10 AS DOUBLE) FROM components WHERE part_no % 4 = 2 AND version IS NOT NULL)"""
+
+
+@query(f"""{M}, {_ADVISORIES}, bp AS (SELECT lower(purl) AS p, vuln_id, max(cvss) AS cvss FROM adv WHERE purl IS NOT NULL GROUP BY 1, 2), bn AS (SELECT lower(name) AS n, lower(ecosystem) AS e, version AS v, vuln_id, max(cvss) AS cvss FROM adv WHERE purl IS NULL GROUP BY 1, 2, 3, 4)
+SELECT sbom_id, id, vuln_id, cvss FROM components JOIN bp ON lower(purl) = p UNION ALL SELECT sbom_id, id, vuln_id, cvss FROM components JOIN bn ON lower(name) = n AND lower(ecosystem) = e AND version = v WHERE purl IS NULL OR NOT EXISTS (SELECT 1 FROM bp WHERE p = lower(purl))""")
+def e_osv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invented advisories of every kind of key joined to all components."""
+    c = materialize(testdata.components(spark, sf_dir), "components")
+    none, k = F.lit(None).cast("string"), F.col("part_no")
+    score = (k % 10).cast("double").alias("cvss")
+    by_purl = c.where("part_no % 4 = 1 and purl is not null").select(F.concat(F.lit("OSV-"), k.cast("string")).alias("vuln_id"), "purl", none.alias("name"), none.alias("ecosystem"), none.alias("version"), score)
+    by_name = c.where("part_no % 4 = 2 and version is not null").select(F.concat(F.lit("OSV-N"), k.cast("string")).alias("vuln_id"), none.alias("purl"), F.upper("name").alias("name"), "ecosystem", "version", score)
+    return enrichment.with_advisories(c, by_purl.distinct().unionByName(by_name.distinct()))
+
+
 # --- rules ------------------------------------------------------------------------
 _RULES = [("npm-rings", "glob", "pkg:npm/*ring*"), ("one", "exact", "pkg:cargo/red-bolt@7.0.0"), ("sevens", "regex", "@7\\.")]
 
@@ -315,26 +377,11 @@ def j_cross_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.equivalents(testdata.components(spark, sf_dir), families).withColumn("score", F.round("score", 6))
 
 
-@query(
-    f"{_BLOCK_SQL}, p AS (SELECT old_id, new_id, o.version AS a, n.version AS b, [CAST(z AS INT) FOR z IN string_split(o.version, '.')] AS pa, [CAST(z AS INT) FOR z IN string_split(n.version, '.')] AS pb, o.ecosystem AS ea, n.ecosystem AS eb, o.licence AS la, n.licence AS lb, o.supplier AS sa, n.supplier AS sb, 1 - levenshtein(o.name, n.name) / greatest(strlen(o.name), strlen(n.name)) AS ns FROM cand JOIN old o ON o.id = old_id JOIN new n ON n.id = new_id) "
-    f"SELECT old_id, new_id, round(greatest(least(0.6 * ns + 0.1 * ({_DIV_SQL}) + CASE WHEN ea <> eb THEN -0.15 ELSE 0.15 END + 0.08 * CASE WHEN la IS NULL AND lb IS NULL THEN 0.5 WHEN la = lb THEN 1 ELSE 0 END + 0.04 * CASE WHEN sa IS NULL AND sb IS NULL THEN 0.5 WHEN sa = sb THEN 1 ELSE 0 END, 1), 0), 6) AS score FROM p"
-)
-def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _two_years(spark, sf_dir)
-    pairs = matching.candidates(old, new).join(old.alias("a"), F.col("old_id") == F.col("a.id")).join(new.alias("b"), F.col("new_id") == F.col("b.id"))
-    name = tx.levenshtein_similarity(F.col("a.name"), F.col("b.name"))
-    return pairs.select("old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
-
-
-@query()
-def er_multifield_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``er_multifield`` of whole documents and all consecutive pairs."""
-    old, new = _all_years(spark, sf_dir)
-    fields = [F.struct("name", "version", "ecosystem", "licence", "supplier").alias(x) for x in "ab"]
-    pairs = matching.candidates(old, new, by=_DOCS)
-    pairs = pairs.join(old.select(*_DOCS, F.col("id").alias("old_id"), fields[0]), [*_DOCS, "old_id"]).join(new.select(*_DOCS, F.col("id").alias("new_id"), fields[1]), [*_DOCS, "new_id"])
-    name = tx.levenshtein_similarity(F.col("a.name"), F.col("b.name"))
-    return pairs.select(*_DOCS, "old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
+@query(f"""WITH a AS (SELECT DISTINCT lower(name) AS n FROM inventory WHERE length(name) > 0), b AS (SELECT DISTINCT lower(name) AS n FROM spdx_packages WHERE length(name) > 0), x AS (SELECT n, {_GRAMS.format('n')} AS g FROM a), y AS (SELECT n, {_GRAMS.format('n')} AS g FROM b),
+p AS (SELECT x.n AS p, y.n AS q, {_jaccard_sql('x.g', 'y.g')} AS jaccard FROM x JOIN y ON least(len(x.g), len(y.g)) >= 0.6 * greatest(len(x.g), len(y.g)))
+SELECT i.rec_id AS left_id, s.rec_id AS right_id, round(jaccard, 9) AS jaccard FROM p JOIN inventory i ON lower(i.name) = p JOIN spdx_packages s ON lower(s.name) = q WHERE jaccard >= 0.6""")
+def j_similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return j_minhash(spark, sf_dir).select("left_id", "right_id", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query()

@@ -12,7 +12,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -66,5 +67,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``key`` (distinct values, no nulls), from 1, as ``name``.
+
+    Range-partitioned and ranked in every partition, moved by the sizes of the
+    partitions before it: no task sees more than a partition.
+    """
+    parted = materialize(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a partition
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return parted.withColumn("_inside", inside).join(before, "_part").withColumn(name, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

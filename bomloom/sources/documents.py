@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bomloom.functions.jsontext import parse
+from bomloom.functions.jsontext import leaf_text, parse, storable
 from bomloom.model import Tables, severity_of
 from bomloom.operators.shredding import unwrap
 
@@ -239,3 +239,37 @@ def with_sidecar(documents: DataFrame, sidecar: DataFrame) -> DataFrame:
     side = sidecar.select("sbom_id", *[F.col(c).alias(f"side_{c}") for c in shared])
     joined = documents.join(side, "sbom_id", "left")
     return joined.select(*[F.coalesce(c, f"side_{c}").alias(c) if c in shared else c for c in documents.columns])
+
+
+_TREE = "doc_id bigint, place int, depth int, path string, kind string, value string"
+
+
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = ((dict, "object"), (list, "array"), (str, "string"), (bool, "boolean"))
+    for pdf in frames:
+        out = []
+        for doc_id, text in zip(pdf["doc_id"], pdf["body"], strict=True):
+            doc = parse(text)
+            if doc is None and (text is None or text.strip() != "null"):
+                continue
+            stack: list[tuple] = [("$", 0, doc)]
+            place = 0
+            while stack:
+                path, depth, value = stack.pop()
+                kind = next((k for t, k in kinds if isinstance(value, t)), "null" if value is None else "number")
+                own = None if kind in ("object", "array", "null") else leaf_text(value)
+                out.append((doc_id, place, depth, storable(path), kind, own))
+                place += 1
+                if isinstance(value, dict):
+                    stack += [(f"{path}.{k}", depth + 1, v) for k, v in reversed(value.items())]
+                elif isinstance(value, list):
+                    stack += [(f"{path}[{i}]", depth + 1, v) for i, v in reversed(list(enumerate(value)))]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["doc_id", "place", "depth", "path", "kind", "value"])
+                out = []
+        yield pd.DataFrame(out, columns=["doc_id", "place", "depth", "path", "kind", "value"])
+
+
+def flattened(docs: DataFrame) -> DataFrame:
+    """Every value of JSON texts (``doc_id, body``), depth first: ``doc_id, place, depth, path, kind, value``; texts that are no JSON have no rows."""
+    return docs.select("doc_id", "body").mapInPandas(_walk, _TREE)

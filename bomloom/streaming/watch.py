@@ -22,10 +22,9 @@ def watch(spark: SparkSession, folder: str, state_dir: str, checkpoint: str, par
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
     def state() -> DataFrame:
-        try:
-            rows = spark.read.parquet(state_dir)
-        except Exception:  # nothing stored yet
+        if not _stored(spark, state_dir):
             return spark.createDataFrame([], "sbom_id string, id string, content bigint, batch bigint")
+        rows = spark.read.parquet(state_dir)
         w = Window.partitionBy("sbom_id").orderBy(F.desc("batch"))
         return rows.withColumn("age", F.dense_rank().over(w)).where("age = 1").drop("age")
 
@@ -43,6 +42,12 @@ def watch(spark: SparkSession, folder: str, state_dir: str, checkpoint: str, par
     return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _stored(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there; one that can't be read is an error, not an empty state."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def removed_files(spark: SparkSession, state_dir: str, listing: DataFrame) -> DataFrame:
     """Watched paths that the current listing (``sbom_id``) lacks: a file source can't see a deletion."""
     return spark.read.parquet(state_dir).select("sbom_id").distinct().join(listing, "sbom_id", "left_anti")

@@ -3,10 +3,22 @@
 import pytest
 
 from bomloom import queries, testdata
-from bomloom.operators import matching
+from bomloom.model import Tables
+from bomloom.operators import differ, matching
 from tests.conftest import DATA
 
 
+DOCS = ("old_sbom", "new_sbom")
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """The whole documents of all consecutive pairs."""
+    c = testdata.components(spark, DATA).cache()
+    pairs = differ.consecutive_pairs(Tables(c, c, c)).cache()
+    return tuple(c.join(pairs, c.sbom_id == pairs[d]).cache() for d in DOCS)
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     """Each year's components at this scale, and the scores of every old with every new one by ``score_pairs``."""
@@ -26,19 +38,19 @@ def documents(spark):
     return scored
 
 
-def test_scores(spark, documents):
+def test_scores(sides, documents):
     got = {}
-    for r in queries.queries()["er_scores"](spark, DATA).collect():
+    for r in matching.all_scores(*sides, by=DOCS).collect():
         assert got.setdefault((r.old_sbom, r.new_sbom), {}).setdefault((r.old_id, r.new_id), (round(r.score, 9), r.tier)) == (round(r.score, 9), r.tier)
     assert got == documents
 
 
-def test_candidates(spark, documents):
-    got = [tuple(r) for r in queries.queries()["er_candidates_all"](spark, DATA).collect()]
+def test_candidates(sides, documents):
+    got = [tuple(r) for r in matching.candidates(*sides, by=DOCS).collect()]
     assert sorted(got) == sorted((*d, *p) for d, pairs in documents.items() for p in pairs)
 
 
-def test_greedy(spark, documents):
+def test_greedy(sides, documents):
     want = set()
     for d, pairs in documents.items():
         olds, news = set(), set()
@@ -47,14 +59,25 @@ def test_greedy(spark, documents):
                 olds.add(o)
                 news.add(n)
                 want.add((*d, o, n))
-    got = [(r.old_sbom, r.new_sbom, r.old_id, r.new_id) for r in queries.queries()["er_greedy"](spark, DATA).collect()]
+    alike = tuple(matching.alike(d, DOCS) for d in sides)
+    got = [(r.old_sbom, r.new_sbom, r.old_id, r.new_id) for r in matching.greedy_assign(matching.alike_scores(*alike, by=DOCS), DOCS, alike).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["er_cheap_tiers", "er_multifield", "fn_version_distance"])
-def test_whole_and_cut_agree(spark, name):
-    """Where the cut query has rows, the whole one has the same."""
-    cut, whole = queries.queries()[name](spark, DATA), queries.queries()[f"{name}_all"](spark, DATA)
-    rows = lambda d: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in d.collect()}
-    found = rows(whole.where("old_sbom = 1997").select(*cut.columns))
-    assert rows(cut) <= found and whole.select("old_sbom").distinct().count() == 6
+def test_queries_score_what_identity_leaves(spark, sides, documents):
+    ids = [{(r.old_sbom, r.id) for r in d.collect()} for d in sides]
+    want = {(*d, o, n): s for d, pairs in documents.items() for (o, n), s in pairs.items() if (d[0], o) not in ids[1] and (d[0], n) not in ids[0]}
+    got = {(r.old_sbom, r.new_sbom, r.old_id, r.new_id): (round(r.score, 9), r.tier) for r in queries.queries()["er_scores"](spark, DATA).collect()}
+    assert got == want and got
+
+
+def test_full_matches_drive_the_diff(spark):
+    """A renamed component is one modification, not a removal and an addition."""
+    ddl = "sbom_id int, id string, name string, version string, ecosystem string, supplier string, licence string, purl string, hash string"
+    rows = [(1, "a", "left-pad", "1.0.0", "npm", None, "MIT", None, None), (2, "b", "left_pad", "1.0.1", "npm", None, "MIT", None, None), (1, "c", "zlib", "1.2", "generic", None, None, None, None), (2, "c", "zlib", "1.3", "generic", None, None, None, None), (2, "d", "unrelated", "9", "npm", None, None, None, None)]
+    c = spark.createDataFrame(rows, ddl)
+    t = Tables(c, c, c)
+    pairs = differ.consecutive_pairs(t)
+    kinds = lambda m: sorted((r.kind, r.id) for r in differ.component_changes(t, pairs, m).collect())
+    assert kinds(differ.identity_matches(t, pairs)) == [("added", "b"), ("added", "d"), ("modified", "c"), ("removed", "a")]
+    assert kinds(differ.full_matches(t, pairs)) == [("added", "d"), ("modified", "b"), ("modified", "c")]
