@@ -464,7 +464,7 @@ def _transitive(x: Column, y: Column, slack: float) -> Column:
     return F.log((1 + slack * x + slack * y + x * y) / (1 + x + y + slack * x * y))
 
 
-def one_to_one_beliefs(edges: DataFrame, max_rounds: int = 15, tolerance: float = 0.002, damping: float = 0.3, slack: float = 0.001) -> DataFrame:
+def one_to_one_beliefs(edges: DataFrame, max_rounds: int = 12, tolerance: float = 0.005, damping: float = 0.3, slack: float = 0.001) -> DataFrame:
     """``a, b, prior, confidence``: marginals of loopy belief propagation over candidate edges.
 
     ``edges``: ``a, b, src_a, src_b, prior`` (log-odds), one row a pair.  A node
@@ -472,7 +472,8 @@ def one_to_one_beliefs(edges: DataFrame, max_rounds: int = 15, tolerance: float
     transitivity factor.  An edge's belief is its prior plus all messages to it;
     it sends each factor its belief without that factor's own message.  Edges
     without rivals and triangles need no messages.  Damped messages are exchanged
-    until no marginal moves by more than ``tolerance``, or for ``max_rounds``.
+    until no marginal moves by more than ``tolerance``, or for ``max_rounds``; the
+    damping grows, so that contradictory loops come to rest too.
     """
     zero = F.lit(0.0)
     edges = edges.select("a", "b", "src_a", "src_b", "prior")
@@ -483,16 +484,17 @@ def one_to_one_beliefs(edges: DataFrame, max_rounds: int = 15, tolerance: float
     corners = materialize(closed.select("x", "y", "z", F.explode(sides).alias("e"), zero.alias("message")).select("x", "y", "z", "e.side", "e.a", "e.b", "message"), "triangles")
     state = materialize(edges.withColumns({"to_a": zero, "to_b": zero, "to_t": zero, "belief": F.col("prior")}), "beliefs-0")
     for n in range(1, max_rounds + 1):
+        keep = 1 - (1 - damping) * 0.85 ** (n - 1)
         # factors of triangles: every edge tells its belief without the factor's last message
         told = corners.join(state.select("a", "b", "belief"), ["a", "b"])
         odds = F.exp(F.greatest(F.least(F.col("belief") - F.col("message"), F.lit(_LIMIT)), F.lit(-_LIMIT)))
         held = told.groupBy("x", "y", "z").agg(*[F.max(F.when(F.col("side") == i, odds)).alias(f"o{i}") for i in range(3)], *[F.max(F.when(F.col("side") == i, F.col("message"))).alias(f"m{i}") for i in range(3)])
-        fresh = [damping * F.col(f"m{i}") + (1 - damping) * _transitive(F.col(f"o{j}"), F.col(f"o{k}"), slack) for i, j, k in ((0, 1, 2), (1, 0, 2), (2, 0, 1))]
+        fresh = [keep * F.col(f"m{i}") + (1 - keep) * _transitive(F.col(f"o{j}"), F.col(f"o{k}"), slack) for i, j, k in ((0, 1, 2), (1, 0, 2), (2, 0, 1))]
         out = F.array(*[F.struct(F.lit(i).alias("side"), F.col(p).alias("a"), F.col(q).alias("b"), fresh[i].alias("message")) for i, (p, q) in enumerate(("xy", "xz", "yz"))])
         corners = materialize(held.select("x", "y", "z", F.explode(out).alias("e")).select("x", "y", "z", "e.*"), f"triangles-{n}")
         sums = corners.groupBy("a", "b").agg(F.sum("message").alias("new_t"))
         new = state.withColumn("new_a", _one_to_one(state, "a", "b")).withColumn("new_b", _one_to_one(state, "b", "a")).join(sums, ["a", "b"], "left")
-        mixed = lambda s: damping * F.col(f"to_{s}") + (1 - damping) * F.col(f"new_{s}")
+        mixed = lambda s: keep * F.col(f"to_{s}") + (1 - keep) * F.col(f"new_{s}")
         new = new.withColumns({"next_a": mixed("a"), "next_b": mixed("b"), "next_t": F.coalesce("new_t", zero)})
         belief = F.col("prior") + F.col("next_a") + F.col("next_b") + F.col("next_t")
         moved = F.abs(_sigmoid(belief) - _sigmoid(F.col("belief")))
