@@ -35,38 +35,52 @@ TRAINING_TEXTS = 4500
 #: Features of a name that are a sign by themselves: cues before and behind, signatures, mailboxes, "by", labels.
 SIGNS = [0, 1, 3, 4, 18, 19]
 
-_WORD = pa.struct([("h", pa.int64()), ("seen", pa.int32()), ("plain", pa.int32())])
+_WORDS = [("h", pa.int64()), ("seen", pa.int32()), ("plain", pa.int32())]
 _SPANS = [("kinds", pa.int8()), ("starts", pa.int32()), ("ends", pa.int32()), ("groups", pa.int32()), ("refs", pa.int32()), ("feats", pa.float32())]
-_CANDIDATES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *((n, pa.list_(t)) for n, t in _SPANS), ("words", pa.list_(_WORD))])
+_CANDIDATES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *((n, pa.list_(t)) for n, t in [*_SPANS, *_WORDS])])
 _CANDIDATES_DDL = (
-    "doc_id bigint, mark bigint, kinds array<tinyint>, starts array<int>, ends array<int>, groups array<int>, refs array<int>, feats array<float>, words array<struct<h: bigint, seen: int, plain: int>>"
+    "doc_id bigint, mark bigint, kinds array<tinyint>, starts array<int>, ends array<int>, groups array<int>, refs array<int>, feats array<float>, h array<bigint>, seen array<int>, plain array<int>"
 )
 
 
-def encode(text: str) -> tuple[dict[str, list], list[dict]]:
-    """A text's spans as flat lists, and its words; a span's two references count the words from 0, -1 is none."""
+def encode(text: str) -> dict[str, list]:
+    """A text's spans and its words as flat lists; a span's two references count the words from 0, -1 is none."""
     found, words = spans(text)
     at = {w: i for i, w in enumerate(words)}
-    out: dict[str, list] = {n: [] for n, _ in _SPANS}
+    at[None] = -1
+    out: dict[str, list] = {n: [] for n, _ in [*_SPANS, *_WORDS]}
     for s in found:
         out["kinds"].append(s.kind)
         out["starts"].append(s.start)
         out["ends"].append(s.end)
         out["groups"].append(s.group)
-        out["refs"] += [at[w] if w is not None and w in at else -1 for w in s.words]
-        out["feats"] += map(float, s.features)
-    return out, [{"h": xxhash.xxh3_64_intdigest("\x1f".join(w)) - 2**63, "seen": n, "plain": k} for w, (n, k) in words.items()]
+        out["refs"] += [at.get(w, -1) for w in s.words]
+        out["feats"] += s.features
+    for w, (n, k) in words.items():
+        out["h"].append(xxhash.xxh3_64_intdigest("\x1f".join(w)) - 2**63)
+        out["seen"].append(n)
+        out["plain"].append(k)
+    return out
+
+
+def _flat(lists: list[list], kind: pa.DataType) -> pa.Array:
+    """Many lists as one Arrow column, through one flat numpy array."""
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    values = np.fromiter((v for x in lists for v in x), dtype=kind.to_pandas_dtype(), count=int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
+        ids, marks, rows = [], [], []
         for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found, words = encode(text)
+            found = encode(text)
             if found["kinds"]:
-                rows.append({"doc_id": doc_id, "mark": mark, **found, "words": words})
+                ids.append(doc_id)
+                marks.append(mark)
+                rows.append(found)
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATES)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), *(_flat([r[n] for r in rows], t) for n, t in [*_SPANS, *_WORDS])], schema=_CANDIDATES)
 
 
 def level(seen, plain):
@@ -111,24 +125,21 @@ class Spans:
             self.x.append(x)
 
 
-def _arrays(encoded: list[tuple[dict[str, list], list[float]]]) -> Spans:
-    lists = {n: np.array([v for e, _ in encoded for v in e[n]], dtype=t.to_pandas_dtype()) for n, t in _SPANS}
-    row = np.repeat(np.arange(len(encoded)), [len(e["kinds"]) for e, _ in encoded])
-    levels = np.array([v for _, w in encoded for v in w], dtype=float)
-    first = np.concatenate([[0], np.cumsum([len(w) for _, w in encoded])])[:-1].astype(int) if encoded else np.zeros(0, dtype=int)
-    return Spans(*(lists[n] for n, _ in _SPANS), row, levels, first)
-
-
 def prepared(texts: list[str]) -> Spans:
     """The spans of texts that are each other's corpus."""
     encoded = [encode(t) for t in texts]
     seen: Counter = Counter()
     plain: Counter = Counter()
-    for _, words in encoded:
-        for w in words:
-            seen[w["h"]] += w["seen"]
-            plain[w["h"]] += w["plain"]
-    return _arrays([(e, [float(level(np.array(seen[w["h"]] - w["seen"]), np.array(plain[w["h"]] - w["plain"]))) for w in words]) for e, words in encoded])
+    for e in encoded:
+        for h, n, k in zip(e["h"], e["seen"], e["plain"], strict=True):
+            seen[h] += n
+            plain[h] += k
+    words = [(seen[h] - n, plain[h] - k) for e in encoded for h, n, k in zip(e["h"], e["seen"], e["plain"], strict=True)]
+    levels = level(*np.array(words, dtype=float).reshape(-1, 2).T)
+    lists = {n: np.array([v for e in encoded for v in e[n]], dtype=t.to_pandas_dtype()) for n, t in _SPANS}
+    row = np.repeat(np.arange(len(encoded)), [len(e["kinds"]) for e in encoded])
+    first = np.concatenate([[0], np.cumsum([len(e["h"]) for e in encoded])])[:-1].astype(int)
+    return Spans(*(lists[n] for n, _ in _SPANS), row, levels, first)
 
 
 def fit(texts: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple[Boosted, float]]:
@@ -194,12 +205,12 @@ def _places(documents: DataFrame, texts: int) -> DataFrame:
     """``doc_id, mark, pii_kind, start_pos, end_pos``; ``mark`` is a hash of the text."""
     read = documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     made = materialize(read.mapInArrow(_propose, _CANDIDATES_DDL).withColumn("place", F.monotonically_increasing_id()), "spans")
-    words = made.select("place", F.posexplode("words").alias("i", "w")).select("place", "i", "w.*")
+    words = made.select("place", F.posexplode(F.arrays_zip("h", "seen", "plain")).alias("i", "w")).select("place", "i", "w.*")
     total = words.groupBy("h").agg(F.sum("seen").alias("all_seen"), F.sum("plain").alias("all_plain"))
     known = words.join(total, "h").select("place", F.struct("i", _level_column(F.col("all_seen") - F.col("seen"), F.col("all_plain") - F.col("plain")).alias("v")).alias("x"))
     # a text's own words only
     levels = known.groupBy("place").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("levels"))
-    full = made.drop("words").join(levels, "place", "left").withColumn("levels", F.coalesce("levels", F.expr("cast(array() as array<float>)")))
+    full = made.drop("h", "seen", "plain").join(levels, "place", "left").withColumn("levels", F.coalesce("levels", F.expr("cast(array() as array<float>)")))
     return full.drop("place").mapInArrow(partial(_select, models=fitted(texts)), _FOUND_DDL)
 
 

@@ -17,6 +17,7 @@ _UP, _LOW = "A-ZÀ-ÖØ-ÞŠŽČŁ", "a-zß-öø-ÿšžčłńśćęąőű"
 
 # ---------------------------------------------------------------- fixed values
 PARTICLES = ["van der", "van den", "van de", "van", "von der", "von", "de la", "de los", "del", "de", "della", "di", "du", "da", "dos", "ter", "ten", "zu", "af"]
+PARTICLE_ENDS = {p.split()[-1] for p in PARTICLES}
 ORG_WORDS = {
     "group", "alliance", "institute", "foundation", "project", "council", "authors", "systems", "software", "works", "networks", "society", "university", "college", "school",
     "labs", "laboratories", "gmbh", "inc", "ltd", "llc", "ag", "corp", "corporation", "company", "team", "committee", "consortium", "association", "license", "licence", "court",
@@ -149,8 +150,6 @@ _SIGNATURE = re.compile(r"--\s*\n[ \t>]*$")
 _LINE_START = re.compile(r"(?:^|\n)[ \t>]*$")
 _WORD_CHARS = re.compile(r"\w+")
 _NEXT_CAPITAL = re.compile(rf"{_B}?([{_UP}][\w-]*)")
-_CAPITAL_BEFORE = re.compile(rf"(?<!\w)([{_UP}][\w-]*){_B}$")
-_PARTICLE_BEFORE = re.compile(rf"(?i)(?<!\w){_PARTICLE}{_B}$")
 _NAME_ENDS = re.compile(r"\s*[\n<(,;.]")
 
 
@@ -218,10 +217,7 @@ def _last_word(family: str) -> str:
     return _GAPS.sub(" ", family).rpartition(" ")[2]
 
 
-_WORD_END = re.compile(r"([\w'’]+)\s*$")
 _LOWER_NEXT = re.compile(rf",?{_B}[{_LOW}]")
-_LABELLED = re.compile(r"\w[ \t]*[:=][\s\"'>]*$")
-_SENTENCE_START = re.compile(r"(?:^|[.!?:;][\s>]+|\n[ \t>]*)$")
 
 
 def person_spans(text: str, words: Words, boxes: list[tuple[int, int, int]]) -> list[Span]:
@@ -230,9 +226,11 @@ def person_spans(text: str, words: Words, boxes: list[tuple[int, int, int]]) ->
     parts: set[str] | None = None
     for start, end, given, mid, family, comma in _names(text):
         last = _last_word(family)
+        stop = _back_over_blank(text, start)
+        broken = stop == 0 or "\n" in text[stop:start]
         before, after = text[max(0, start - 44) : start], text[end : end + 30]
         cued, followed = _cued(before), bool(_AFTER_NAME.match(after))
-        signed = before.rstrip(" \t>").endswith("\n") and bool(_SIGNATURE.search(before))
+        signed = broken and stop > 1 and text[stop - 2 : stop] == "--" and bool(_SIGNATURE.search(text[max(0, stop - 2) : start]))
         if parts is None:
             parts = _local_words(text, boxes)
         own = {w.lower() for w in _WORD_CHARS.findall(text[start:end])}
@@ -244,16 +242,22 @@ def person_spans(text: str, words: Words, boxes: list[tuple[int, int, int]]) ->
                 n = words.setdefault(r, [0, 0])
                 n[0] += 1
                 n[1] += plain
-        nxt, prior, word = _NEXT_CAPITAL.match(after), _CAPITAL_BEFORE.search(before), _WORD_END.search(before)
-        word = word[1].lower() if word else ""
+        nxt = _NEXT_CAPITAL.match(after)
+        first = stop
+        while first > 0 and (text[first - 1].isalnum() or text[first - 1] in "'’_-"):
+            first -= 1
+        prior, edge = text[first:stop], stop
+        while edge > 0 and text[edge - 1] in "\"'> ":
+            edge -= 1
+        word = prior.lower()
         out.append(
             Span(
                 0, start, end,
                 [
                     cued, followed, comma, signed, shared, bool(own & ORG_WORDS), last.lower() in FUNCTION_WORDS or given.lower() in FUNCTION_WORDS, bool(nxt) and nxt[1].lower() in ORG_WORDS,
-                    len(given) == 2 and given[1] == ".", bool(mid), " " in _flat(family), text[start:end].isupper(), "\n" in text[start:end], bool(_LINE_START.search(before)),
-                    bool(prior) and prior[1].lower() not in FUNCTION_WORDS, bool(_PARTICLE_BEFORE.search(before)), bool(_NAME_ENDS.match(after) or not after), word in PREPOSITIONS, word in ("by", "von", "par", "por"),
-                    bool(_LABELLED.search(before)), bool(_SENTENCE_START.search(before)), bool(_LOWER_NEXT.match(after)), text[start].islower(),
+                    len(given) == 2 and given[1] == ".", bool(mid), " " in family or "\n" in family, text[start:end].isupper(), "\n" in text[start:end], broken,
+                    prior[:1].isupper() and word not in FUNCTION_WORDS, word in PARTICLE_ENDS, bool(_NAME_ENDS.match(after) or not after), word in PREPOSITIONS, word in ("by", "von", "par", "por"),
+                    text[edge - 1 : edge] in (":", "=") if edge else False, broken or text[stop - 1] in ".!?:;", bool(_LOWER_NEXT.match(after)), text[start].islower(),
                 ],
                 refs,
             )
