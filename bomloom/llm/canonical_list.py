@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomloom.llm.set_join import letter_tokens, similarity_join
+from bomloom.operators.set_join import letter_tokens, similarity_join
 from bomloom.runtime import materialize
 
 UNMATCHED = "UNMATCHED"

@@ -22,6 +22,8 @@ from bomloom.runtime import materialize
 
 #: Documents packed together: enough to leave nearly no room, few enough for one task's memory.
 DOCS_PER_SHARD = 10_000
+#: Tokens of a shard on average: texts beyond the capacity become many pieces.
+TOKENS_PER_SHARD = 50_000_000
 
 
 class Shelf:
@@ -163,7 +165,8 @@ def pack(documents: DataFrame, sizes: DataFrame, apart: dict[str, set[str]] | No
     repeated rows are copies; an empty table gives an empty result.
     """
     docs = materialize(sized(documents.where("doc_id is not null"), tokenizer), "pack-sizes")
-    shards = max(1, -(-docs.count() // docs_per_shard))
+    size = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    shards = max(1, -(-size.docs // docs_per_shard), -(-size.tokens // TOKENS_PER_SHARD))
     options = [(r.pack_id, r.capacity_tokens) for r in sizes.select("pack_id", "capacity_tokens").where("capacity_tokens > 0").collect()]
     if not options:
         return docs.sparkSession.createDataFrame([], _PACKED_DDL)

@@ -46,6 +46,14 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
 
+#: Sources that p7_apart keeps out of each other's containers.
+APART = {"advisory": {"licence_notice"}, "vex_statement": {"build_log", "mailing_list"}}
+
+
+def p7_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"), apart=APART)
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
@@ -68,6 +76,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p7_packed": p7_packed,
+    "p7_apart": p7_apart,
     "p7_fill": p7_fill,
     "p8_drawn": p8_drawn,
     "p8_shares": p8_shares,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bomloom.llm import canonical_list as cl
-from bomloom.llm.set_join import letter_tokens, similarity_join
+from bomloom.operators.set_join import letter_tokens, similarity_join
 
 LIST = [
     ("Harrow-PL-2.0-only", "Harrow Public License v2.0 only"), ("Harrow-PL-2.0-or-later", "Harrow Public License v2.0 or later"), ("Harrow-LPL-2.1-only", "Harrow Lesser Public License v2.1 only"),

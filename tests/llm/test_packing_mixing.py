@@ -115,3 +115,25 @@ def test_prefix_sums(spark):
         want[i] = sums[s]
         sums[s] += n
     assert got == want
+
+
+def test_heavier_documents_are_drawn_more_often(spark):
+    """Of documents of one size, those of higher quality come first: by weight, not by order."""
+    good, poor = "plain words of a text that reads well", "7;3#9 %4 1=2 {5} 8/6 &0 [2] 4|1 ?9 3~7"
+    rows = [(i, f"{good} {i:04d}" if i % 2 else f"{poor} {i:04d}", "a") for i in range(1200)]
+    one = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    texts = docs(spark, rows)
+    drawn = mixing.mix(texts, one, total_tokens=sum(r.n_tokens for r in mixing.sized(texts).collect()) // 3)[0].collect()
+    heavy = sum(r.doc_id % 2 for r in drawn) / len(drawn)
+    assert 0.55 < heavy < 1 and len(drawn) > 200
+
+
+def test_apart_in_a_registered_query(spark):
+    from bomloom.llm import queries
+    from tests.conftest import DATA
+
+    texts = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()}
+    boxes = {}
+    for r in queries.p7_apart(spark, DATA).collect():
+        boxes.setdefault((r.pack_id, r.container_id), set()).add(texts[r.doc_id])
+    assert boxes and not any(a in held and held & others for held in boxes.values() for a, others in queries.APART.items())
