@@ -135,7 +135,9 @@ def _fixes(borders: list) -> list[tuple[int, int]]:
 def _runs(records: DataFrame, row_id: str, key: Column, want: str) -> DataFrame:
     spark = records.sparkSession
     keyed = records.select(F.col(row_id).cast("bigint").alias("id"), key.alias("key")).where("id is not null")
-    ranged = keyed.select(F.xxhash64("key").alias("h"), "key", "id").repartitionByRange("h", "key", "id").sortWithinPartitions("h", "key", "id")
+    # written once: the range bounds are sampled in a pass of their own
+    keyed = materialize(keyed.select(F.xxhash64("key").alias("h"), "key", "id"), "format-keys")
+    ranged = keyed.repartitionByRange("h", "key", "id").sortWithinPartitions("h", "key", "id")
     scanned = materialize(ranged.select("key", "id").mapInArrow(partial(_scan, want=want), _SCAN_DDL), "format-runs")
     # one border row for each partition, whatever the number of records
     fixes = spark.createDataFrame(_fixes(scanned.where("kind = 'border'").select("part", "id", "keep", "first_key", "last_key", "single").collect()), "part int, true_keep bigint")
