@@ -47,6 +47,14 @@ def blocks(components: DataFrame) -> DataFrame:
     return components.select("sbom_id", "id", F.explode(_keys(F.col("name"), F.col("ecosystem"))).alias("key"))
 
 
+def _aliased(old: DataFrame, new: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Distinct ``na, ea, nb, eb`` of names that mean one canonical name by ``alias, canonical`` (letter case aside)."""
+    low = aliases.select(F.lower("alias").alias("n"), F.lower("canonical").alias("canon"))
+    known = low.unionByName(low.select(F.col("canon").alias("n"), "canon")).distinct()
+    side = lambda d, n, e: d.select(F.col("name").alias(n), F.col("ecosystem").alias(e)).distinct().join(known, F.lower(F.col(n)) == F.col("n")).select(n, e, "canon").distinct()
+    return side(old, "na", "ea").join(side(new, "nb", "eb"), "canon").drop("canon").distinct()
+
+
 def _near_names(old: DataFrame, new: DataFrame, max_length_gap: int) -> DataFrame:
     """Distinct ``na, ea, nb, eb``: names with their ecosystems that share a block and are close in length."""
     keyed = lambda d, n, e: d.select(F.col("name").alias(n), F.col("ecosystem").alias(e)).distinct().withColumn("key", F.explode(_keys(F.col(n), F.col(e))))
@@ -112,27 +120,31 @@ def alike(components: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return materialize(low.withColumn("rep", F.min("id").over(Window.partitionBy(*by, "name", "ecosystem", "version", "purl"))), "alike")
 
 
-def alike_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = (), preset: Preset = PRESETS["balanced"], max_length_gap: int = 10) -> DataFrame:
+def alike_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = (), preset: Preset = PRESETS["balanced"], max_length_gap: int = 10, aliases: DataFrame | None = None) -> DataFrame:
     """``by, old_id, new_id, score, tier`` as of ``score_pairs``, for the ``rep`` of both sides of ``alike`` that are candidates.
 
     Names are scored once for a pair of names, the rest once for a pair of ``rep``.
+    With ``aliases`` (alias, canonical) names of one canonical name are candidates
+    too and score 0.95 unless their purls agree.
     """
-    near = _near_names(old, new, max_length_gap)
+    near = _near_names(old, new, max_length_gap).withColumn("alias", F.lit(False))
+    if aliases is not None:
+        near = near.unionByName(_aliased(old, new, aliases).withColumn("alias", F.lit(True))).groupBy("na", "ea", "nb", "eb").agg(F.max("alias").alias("alias"))
     same = (F.col("ea") == F.col("eb")) & (name_normal(F.col("na"), F.col("ea")) == name_normal(F.col("nb"), F.col("eb")))
     near = name_scores(near.withColumnsRenamed({"na": "name_a", "nb": "name_b"}), preset).withColumnsRenamed({"name_a": "na", "name_b": "nb"}).withColumn("same_name", same)
     near = materialize(near, "near-names")
     side = lambda d, x, out: d.where("id = rep").select(*by, "name", "ecosystem", F.col("id").alias(out), F.col("version").alias(f"v{x}"), F.col("purl").alias(f"p{x}"), boost_parts(F.col("version")).alias(f"s{x}"))
     met = _meet(near, side(old, "a", "old_id"), side(new, "b", "new_id"), by)
     s = F.least(F.col("name_score") + version_boost(F.col("va"), F.col("vb"), (F.col("sa"), F.col("sb"))), F.lit(1.0))
-    exact, rule, fuzzy = F.col("pa") == F.col("pb"), F.col("same_name"), s >= preset.threshold
-    score = F.when(exact, 1.0).when(rule, 0.90).when(fuzzy, s).otherwise(0.0)
-    return met.select(*by, "old_id", "new_id", score.alias("score"), F.when(exact, "exact").when(rule, "ecosystem_rule").when(fuzzy, "fuzzy").otherwise("none").alias("tier"))
+    exact, alias, rule, fuzzy = F.col("pa") == F.col("pb"), F.col("alias"), F.col("same_name"), s >= preset.threshold
+    score = F.when(exact, 1.0).when(alias, 0.95).when(rule, 0.90).when(fuzzy, s).otherwise(0.0)
+    return met.select(*by, "old_id", "new_id", score.alias("score"), F.when(exact, "exact").when(alias, "alias").when(rule, "ecosystem_rule").when(fuzzy, "fuzzy").otherwise("none").alias("tier"))
 
 
-def all_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def all_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = (), aliases: DataFrame | None = None) -> DataFrame:
     """``by, old_id, new_id, score, tier`` of all candidates of two sides."""
     a, b = alike(old, by), alike(new, by)
-    scored = alike_scores(a, b, by).withColumnsRenamed({"old_id": "old_rep", "new_id": "new_rep"})
+    scored = alike_scores(a, b, by, aliases=aliases).withColumnsRenamed({"old_id": "old_rep", "new_id": "new_rep"})
     member = lambda d, r, out: d.select(*by, F.col("rep").alias(r), F.col("id").alias(out))
     full = scored.join(member(a, "old_rep", "old_id"), [*by, "old_rep"]).join(member(b, "new_rep", "new_id"), [*by, "new_rep"])
     return full.select(*by, "old_id", "new_id", "score", "tier")
@@ -169,6 +181,17 @@ def score_statistics(scored: DataFrame) -> DataFrame:
     )
 
 
+def ratio_threshold(scored: DataFrame, ratio: float) -> DataFrame:
+    """The threshold that at least ``ratio`` of the scores reach."""
+    return scored.agg(F.expr(f"percentile_disc({1 - ratio!r}) within group (order by score)").alias("threshold"))
+
+
+def block_statistics(components: DataFrame, by: tuple[str, ...] = ("sbom_id",)) -> DataFrame:
+    """Blocks of each document: how many, the largest and the mean number of components in one."""
+    sizes = blocks(components).groupBy(*by, "key").agg(F.count_distinct("id").alias("n"))
+    return sizes.groupBy(*by).agg(F.count("*").alias("blocks"), F.max("n").alias("largest"), F.avg("n").alias("mean"))
+
+
 def otsu_threshold(scored: DataFrame, bins: int = 100) -> DataFrame:
     """The threshold that parts the scores best (largest variance between classes), from a histogram."""
     hist = scored.select(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))

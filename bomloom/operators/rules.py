@@ -44,13 +44,6 @@ def canonical_ids(components: DataFrame, aliases: DataFrame) -> DataFrame:
     return components.join(one, F.lower("purl") == F.col("alias"), "left").withColumn("canonical", F.coalesce("canonical", "purl", "id")).drop("alias")
 
 
-def alias_pairs(old: DataFrame, new: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``old_id, new_id`` of components whose names are aliases of one canonical name."""
-    names = aliases.select(F.lower("alias").alias("n"), "canonical").unionByName(aliases.select(F.lower("canonical").alias("n"), "canonical")).distinct()
-    side = lambda d, s: d.select(F.col("id").alias(s), F.lower("name").alias("n")).join(names, "n").select(s, "canonical")
-    return side(old, "old_id").join(side(new, "new_id"), "canonical").select("old_id", "new_id").distinct()
-
-
 def lookalikes(components: DataFrame, well_known: DataFrame, most_edits: int = 1) -> DataFrame:
     """Names one slip away from a well-known name (``name``) of their ecosystem, and not it: possible typosquats.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomloom import testdata
 from bomloom.operators import differ, graph, search
-from bomloom.queries.fleetwide import PAIRS, M
+from bomloom.queries.fleetwide import PAIRS, RANK, M
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,7 +149,10 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(testdata.tables(spark, sf_dir), ["part:3", "part:21"])
 
 
-@query()
+@query(
+    f"{M}{_CLOSURE}, t AS (SELECT sbom_id, reached AS component_id, count(*) AS n FROM reach GROUP BY 1, 2), u AS (SELECT v.sbom_id, v.component_id, v.vuln_id, CAST(least({RANK} * 10 + floor(coalesce(cvss, 0) * 3) + CASE WHEN n > 50 THEN 20 WHEN n > 20 THEN 15 WHEN n > 10 THEN 10 WHEN n > 0 THEN 5 ELSE 0 END, 100) AS INTEGER) AS urgency FROM vulns v LEFT JOIN t USING (sbom_id, component_id)) "
+    "SELECT *, 1 AS rank_in_component FROM u QUALIFY row_number() OVER (PARTITION BY sbom_id, component_id ORDER BY urgency DESC, vuln_id) = 1"
+)
 def ui_urgency(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = testdata.tables(spark, sf_dir, cut=True)
     return search.urgency(t, graph.blast_radius(t)).where(F.col("rank_in_component") == 1)

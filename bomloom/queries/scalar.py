@@ -204,9 +204,38 @@ def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidates(*_sides(spark, sf_dir), by=_DOCS)
 
 
-@query()
+#: Names and their words with Soundex codes, and the pairs of names with their score.
+_SCORED_SQL = f"""{_BLOCK_SQL}, named AS (SELECT DISTINCT lower(name) AS nm FROM old UNION SELECT DISTINCT lower(name) FROM new), worded AS (SELECT nm, list_filter(regexp_split_to_array(nm, '[^a-z0-9]+'), lambda t: t <> '') AS ws FROM named),
+texts AS (SELECT nm AS n FROM named UNION SELECT unnest(ws) FROM worded), l AS (SELECT n, {_L} AS l FROM texts), c AS (SELECT n, l, {_C.format('l[1:1]')} AS f, list_filter(string_split({_C.format('l')}, ''), lambda x: x <> '0' AND x <> '') AS ds FROM l),
+q AS (SELECT n, l, f, array_to_string(list_filter(ds, lambda x, i: i = 1 OR ds[i - 1] <> x), '') AS s FROM c), codes AS (SELECT n, CASE WHEN l = '' THEN '' ELSE left(l[1:1] || rpad(CASE WHEN f = '0' THEN s ELSE s[2:] END, 3, '0'), 4) END AS code FROM q),
+sound AS (SELECT w.nm, (SELECT code FROM codes WHERE n = w.nm) AS code, list(codes.code) AS cs FROM (SELECT nm, unnest(ws) AS word FROM worded) w JOIN codes ON codes.n = word GROUP BY w.nm),
+np AS (SELECT DISTINCT lower(o.name) AS p, lower(n.name) AS q FROM {_JOINED}),
+ph AS (SELECT p, q, CASE WHEN a.code <> '' AND a.code = b.code THEN 1.0 ELSE greatest(len(list_filter(a.cs, lambda x: x <> '' AND list_contains(b.cs, x))), len(list_filter(b.cs, lambda x: x <> '' AND list_contains(a.cs, x)))) / greatest(len(a.cs), len(b.cs)) END AS phon, {_TOKENS.format('p')} AS tp, {_TOKENS.format('q')} AS tq FROM np JOIN sound a ON a.nm = p JOIN sound b ON b.nm = q),
+ns AS (SELECT p, q, greatest(0.6 * jaro_winkler_similarity(p, q) + 0.4 * (1 - levenshtein(p, q) / greatest(strlen(p), strlen(q))), {_jaccard_sql('tp', 'tq')}, 0.85 * phon) AS s FROM ph),
+full_pairs AS (SELECT cand.*, o.version AS a, n.version AS b, [CAST(z AS INT) FOR z IN string_split(o.version, '.')] AS pa, [CAST(z AS INT) FOR z IN string_split(n.version, '.')] AS pb, ns.s, {_NORM_PURL.format('o')} = {_NORM_PURL.format('n')} AS ex, o.ecosystem = n.ecosystem AND {_NORM_NAME.format('o')} = {_NORM_NAME.format('n')} AS ru FROM {_JOINED} JOIN ns ON p = lower(o.name) AND q = lower(n.name)),
+boosted AS (SELECT *, least(s + coalesce({_BOOST_SQL}, 0), 1) AS t FROM full_pairs),
+scored AS (SELECT old_sbom, new_sbom, old_id, new_id, CASE WHEN ex THEN 1.0 WHEN ru THEN 0.9 WHEN t >= 0.85 THEN t ELSE 0 END AS score, CASE WHEN ex THEN 'exact' WHEN ru THEN 'ecosystem_rule' WHEN t >= 0.85 THEN 'fuzzy' ELSE 'none' END AS tier FROM boosted)"""
+
+
+@query(f"{_SCORED_SQL}, w AS (SELECT *, CASE tier WHEN 'exact' THEN 0 WHEN 'ecosystem_rule' THEN 0.03 WHEN 'fuzzy' THEN 0.08 ELSE 0.1 END AS width FROM scored) SELECT old_sbom, new_sbom, old_id, new_id, round(CAST(score AS DOUBLE), 6) AS score, tier, round(CAST(greatest(score - width, 0) AS DOUBLE), 6) AS low, round(CAST(least(score + width, 1) AS DOUBLE), 6) AS high FROM w")
 def er_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.explained(matching.all_scores(*_sides(spark, sf_dir), by=_DOCS))
+    out = matching.explained(matching.all_scores(*_sides(spark, sf_dir), by=_DOCS))
+    return out.select(*[F.round(c, 6).alias(c) if c in ("score", "low", "high") else c for c in out.columns])
+
+
+@query(f"""{_BLOCK_SQL}, al0 AS (SELECT DISTINCT lower(p_name) AS alias, split_part(lower(p_name), ' ', 2) AS canonical FROM part), al AS (SELECT * FROM al0 UNION SELECT canonical, canonical FROM al0),
+acand AS (SELECT DISTINCT n.old_sbom, n.new_sbom, o.id AS old_id, n.id AS new_id FROM old o JOIN al x ON lower(o.name) = x.alias JOIN al y ON x.canonical = y.canonical JOIN new n ON n.old_sbom = o.old_sbom AND lower(n.name) = y.alias)
+SELECT a.old_sbom, a.new_sbom, a.old_id, a.new_id, CAST(CASE WHEN {_NORM_PURL.format('o')} = {_NORM_PURL.format('n')} THEN 1.0 ELSE 0.95 END AS DOUBLE) AS score FROM acand a JOIN old o ON o.old_sbom = a.old_sbom AND o.id = a.old_id JOIN new n ON n.old_sbom = a.old_sbom AND n.id = a.new_id""")
+def er_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose names are aliases of one name: the nouns of the part names."""
+    low = F.lower("p_name")
+    aliases = table(spark, sf_dir, "part").select(low.alias("alias"), F.split(low, " ")[1].alias("canonical")).distinct()
+    return matching.all_scores(*_sides(spark, sf_dir), by=_DOCS, aliases=aliases).where("score >= 0.95 and tier in ('exact', 'alias')").drop("tier")
+
+
+@query(f"{M}, n AS (SELECT *, {_NORM_NAME.format('components')} AS nn FROM components), k AS (SELECT sbom_id, id, {_KEYS_SQL} FROM n), z AS (SELECT sbom_id, k, count(DISTINCT id) AS n FROM k GROUP BY 1, 2) SELECT sbom_id, count(*) AS blocks, max(n) AS largest, round(avg(n), 6) AS mean FROM z GROUP BY 1")
+def er_block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.block_statistics(testdata.components(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"{_BLOCK_SQL}, tiers AS (SELECT cand.*, CASE WHEN {_NORM_PURL.format('o')} = {_NORM_PURL.format('n')} THEN 1.0 WHEN o.ecosystem = n.ecosystem AND {_NORM_NAME.format('o')} = {_NORM_NAME.format('n')} THEN 0.9 END AS score FROM {_JOINED}) SELECT old_sbom, new_sbom, old_id, new_id, CAST(score AS DOUBLE) AS score FROM tiers WHERE score IS NOT NULL")
@@ -230,6 +259,11 @@ _MULTI_SQL = f"""{_BLOCK_SQL}, p AS (SELECT cand.*, o.version AS a, n.version AS
 multi AS (SELECT old_sbom, new_sbom, old_id, new_id, round(greatest(least(0.6 * ns + 0.1 * ({_DIV_SQL}) + CASE WHEN ea <> eb THEN -0.15 ELSE 0.15 END + 0.08 * CASE WHEN la IS NULL AND lb IS NULL THEN 0.5 WHEN la = lb THEN 1 ELSE 0 END + 0.04 * CASE WHEN sa IS NULL AND sb IS NULL THEN 0.5 WHEN sa = sb THEN 1 ELSE 0 END, 1), 0), 6) AS score FROM p)"""
 
 
+@query(f"{_MULTI_SQL} SELECT round(quantile_disc(score, 0.9), 6) AS threshold FROM multi")
+def er_ratio_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.ratio_threshold(er_multifield(spark, sf_dir), 0.1).select(F.round("threshold", 6).alias("threshold"))
+
+
 @query(f"{_MULTI_SQL} SELECT * FROM multi")
 def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _sides(spark, sf_dir)

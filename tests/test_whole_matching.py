@@ -66,8 +66,8 @@ def test_greedy(sides, documents):
 
 def test_queries_score_what_identity_leaves(spark, sides, documents):
     ids = [{(r.old_sbom, r.id) for r in d.collect()} for d in sides]
-    want = {(*d, o, n): s for d, pairs in documents.items() for (o, n), s in pairs.items() if (d[0], o) not in ids[1] and (d[0], n) not in ids[0]}
-    got = {(r.old_sbom, r.new_sbom, r.old_id, r.new_id): (round(r.score, 9), r.tier) for r in queries.queries()["er_scores"](spark, DATA).collect()}
+    want = {(*d, o, n): (round(s[0], 6), s[1]) for d, pairs in documents.items() for (o, n), s in pairs.items() if (d[0], o) not in ids[1] and (d[0], n) not in ids[0]}
+    got = {(r.old_sbom, r.new_sbom, r.old_id, r.new_id): (r.score, r.tier) for r in queries.queries()["er_scores"](spark, DATA).collect()}
     assert got == want and got
 
 
