@@ -464,7 +464,7 @@ def _transitive(x: Column, y: Column, slack: float) -> Column:
     return F.log((1 + slack * x + slack * y + x * y) / (1 + x + y + slack * x * y))
 
 
-def one_to_one_beliefs(edges: DataFrame, max_rounds: int = 8, tolerance: float = 0.005, damping: float = 0.3, slack: float = 0.001) -> DataFrame:
+def one_to_one_beliefs(edges: DataFrame, max_rounds: int = 8, tolerance: float = 0.001, damping: float = 0.1, slack: float = 0.001) -> DataFrame:
     """``a, b, prior, confidence``: marginals of loopy belief propagation over candidate edges.
 
     ``edges``: ``a, b, src_a, src_b, prior`` (log-odds), one row a pair.  A node
