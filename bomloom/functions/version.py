@@ -38,9 +38,12 @@ def version_boost(a: Column, b: Column, parts: tuple[Column, Column] | None = No
     return F.coalesce(F.when(a == b, 0.10).when((ma == mb) & (na == nb), 0.07).when(ma == mb, 0.04), F.lit(0.0))
 
 
-def version_divergence(a: Column, b: Column, minor_penalty: float = 0.02, major_penalty: float = 0.10) -> Column:
-    """Graduated closeness of two versions: 1 equal, 0.5 both missing, 0 one missing."""
-    pa, pb = lenient_parts(a), lenient_parts(b)
+def version_divergence(a: Column, b: Column, minor_penalty: float = 0.02, major_penalty: float = 0.10, parts: tuple[Column, Column] | None = None, parsed: bool = False) -> Column:
+    """Graduated closeness of two versions: 1 equal, 0.5 both missing, 0 one missing.
+
+    ``parts`` (``lenient_parts``) if they are known; ``parsed`` if every version has them.
+    """
+    pa, pb = parts or (lenient_parts(a), lenient_parts(b))
     gap = lambda f: F.abs(pa[f] - pb[f])
     by_parts = (
         F.when((pa["major"] == pb["major"]) & (pa["minor"] == pb["minor"]), F.greatest(0.8 - 0.01 * gap("patch"), F.lit(0.5)))
@@ -49,7 +52,7 @@ def version_divergence(a: Column, b: Column, minor_penalty: float = 0.02, major_
     )
     same = F.size(F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))) - 1
     by_prefix = F.when(same > 0, F.least(same / F.greatest(F.octet_length(a), F.octet_length(b)) * 0.5, F.lit(0.4))).otherwise(0.1)
-    both = F.when(a == b, 1.0).when(pa.isNotNull() & pb.isNotNull(), by_parts).otherwise(by_prefix)
+    both = F.when(a == b, 1.0).otherwise(by_parts if parsed else F.when(pa.isNotNull() & pb.isNotNull(), by_parts).otherwise(by_prefix))
     return F.when(a.isNull() & b.isNull(), 0.5).when(a.isNull() | b.isNull(), 0.0).otherwise(both)
 
 

@@ -52,6 +52,14 @@ def unmatched(t: Tables, pairs: DataFrame, matches: DataFrame) -> tuple[DataFram
     return old, _side(t.components, pairs, "new_sbom").join(matches.select(*PAIR, F.col("new_id").alias("id")), [*PAIR, "id"], "left_anti")
 
 
+def without_twins(t: Tables, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``unmatched`` of ``identity_matches``, in one join a side: the components whose id the other document lacks."""
+    ids = lambda other: t.components.select(F.col("sbom_id").alias(other), "id")
+    old = _side(t.components, pairs, "old_sbom").join(ids("new_sbom"), ["new_sbom", "id"], "left_anti")
+    new = _side(t.components, pairs, "new_sbom").join(ids("old_sbom"), ["old_sbom", "id"], "left_anti")
+    return tuple(d.select(*PAIR, *[c for c in t.components.columns if c != "sbom_id"]) for d in (old, new))
+
+
 def full_matches(t: Tables, pairs: DataFrame, preset: Preset = PRESETS["balanced"]) -> DataFrame:
     """Identity matches, and the best assignment of what they leave by tiered scores: one to one in every pair."""
     same = identity_matches(t, pairs)

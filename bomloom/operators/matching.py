@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from bomloom.functions import text as tx
 from bomloom.functions.purl import name_normal, purl_normal
-from bomloom.functions.version import boost_parts, version_boost, version_divergence
-from bomloom.runtime import materialize
+from bomloom.functions.version import boost_parts, lenient_parts, version_boost, version_divergence
+from bomloom.runtime import materialize, partitions
 
 
 @dataclass(frozen=True)
@@ -150,15 +150,40 @@ def all_scores(old: DataFrame, new: DataFrame, by: tuple[str, ...] = (), aliases
     return full.select(*by, "old_id", "new_id", "score", "tier")
 
 
-def multi_field_score(weights: dict[str, float], name_score: Column, a: str, b: str) -> Column:
-    """Weighted name, version, ecosystem, licence and supplier; a field missing on both sides counts half."""
-    col = lambda s, c: F.col(f"{s}.{c}")
-    agree = lambda c: F.when(col(a, c).isNull() & col(b, c).isNull(), 0.5).when(F.lower(col(a, c)) == F.lower(col(b, c)), 1.0).otherwise(0.0)
-    penalty = F.when(col(a, "ecosystem") != col(b, "ecosystem"), weights["mismatch"]).otherwise(0.0)
-    total = name_score * weights["name"] + version_divergence(col(a, "version"), col(b, "version")) * weights["version"] + penalty
-    for c in ("ecosystem", "licence", "supplier"):
-        total = total + agree(c) * weights[c]
-    return F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0))
+def _field_scores(old: DataFrame, new: DataFrame, weights: dict[str, float], by: tuple[str, ...], max_length_gap: int, keep: tuple[str, str]) -> DataFrame:
+    """``by``, the columns ``keep`` (one of each side) and the multi-field ``score`` of all candidates.
+
+    Names and ecosystems are compared once for a pair of names, versions parsed
+    and texts lowered once for a row of a side: a pair only compares and adds.
+    The old side is spread first, as its few rows are many pairs.  Pairs with a
+    version that doesn't parse are scored apart: common prefixes are not compiled.
+    """
+    agree = lambda x, y: F.when(x.isNull() & y.isNull(), 0.5).when(x == y, 1.0).otherwise(0.0)
+    side = lambda d, x, c: d.select(*by, c, "name", "ecosystem", F.col("version").alias(f"v{x}"), lenient_parts(F.col("version")).alias(f"p{x}"), F.lower("licence").alias(f"l{x}"), F.lower("supplier").alias(f"s{x}"))
+    near = _near_names(old, new, max_length_gap).select(
+        "na", "ea", "nb", "eb", (tx.levenshtein_similarity(F.col("na"), F.col("nb")) * weights["name"]).alias("name"),
+        F.when(F.col("ea") != F.col("eb"), weights["mismatch"]).otherwise(0.0).alias("penalty"), (agree(F.lower("ea"), F.lower("eb")) * weights["ecosystem"]).alias("eco"),
+    )
+    a = side(old, "a", keep[0])
+    met = _meet(near, a.repartition(partitions(old.sparkSession), *a.columns[: len(by) + 1]), side(new, "b", keep[1]), by)
+
+    def scored(d: DataFrame, parsed: bool) -> DataFrame:
+        version = version_divergence(F.col("va"), F.col("vb"), parts=(F.col("pa"), F.col("pb")), parsed=parsed)
+        total = F.col("name") + version * weights["version"] + F.col("penalty") + F.col("eco")
+        total = total + agree(F.col("la"), F.col("lb")) * weights["licence"] + agree(F.col("sa"), F.col("sb")) * weights["supplier"]
+        return d.select(*by, *keep, (F.floor(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)) * 1e6 + 0.5) / 1e6).alias("score"))
+
+    fine_a, fine_b = (F.col(f"v{x}").isNull() | F.col(f"p{x}").isNotNull() for x in "ab")
+    return scored(met.where(fine_a & fine_b), True).unionByName(scored(met.where(~fine_a), False)).unionByName(scored(met.where(fine_a & ~fine_b), False))
+
+
+def multi_field_scores(old: DataFrame, new: DataFrame, weights: dict[str, float], by: tuple[str, ...] = (), max_length_gap: int = 10) -> DataFrame:
+    """``by, old_id, new_id, score`` of all candidates, to six places.
+
+    Weighted name (edit distance), version, ecosystem, licence and supplier; a
+    field missing on both sides counts half.
+    """
+    return _field_scores(old.withColumnRenamed("id", "old_id"), new.withColumnRenamed("id", "new_id"), weights, by, max_length_gap, ("old_id", "new_id"))
 
 
 def best_match(scored: DataFrame) -> DataFrame:

@@ -187,6 +187,14 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(materialize(d, "unmatched") for d in differ.unmatched(t, pairs, differ.identity_matches(t, pairs)))
 
 
+def _field_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``_sides`` with the columns of the multi-field score only."""
+    c = materialize(testdata.components(spark, sf_dir).select("sbom_id", "id", "name", "version", "ecosystem", "licence", "supplier"), "components")
+    t = Tables(c, c, c)
+    pairs = materialize(differ.consecutive_pairs(t), "pairs")  # written, its size is known: no side is shuffled by document
+    return tuple(materialize(d, "unmatched") for d in differ.without_twins(t, pairs))
+
+
 _NORM_NAME = "CASE WHEN {0}.ecosystem = 'pypi' THEN regexp_replace(lower({0}.name), '[_.]+', '-', 'g') WHEN {0}.ecosystem = 'cargo' THEN replace(lower({0}.name), '-', '_') WHEN {0}.ecosystem = 'npm' THEN lower({0}.name) ELSE regexp_replace(replace(lower({0}.name), '_', '-'), '-+', '-', 'g') END"
 _NORM_PURL = "CASE {0}.ecosystem WHEN 'pypi' THEN regexp_replace(lower({0}.purl), '[_.]', '-', 'g') WHEN 'npm' THEN replace(lower({0}.purl), '%40', '@') WHEN 'cargo' THEN replace(lower({0}.purl), '-', '_') WHEN 'maven' THEN {0}.purl WHEN 'golang' THEN {0}.purl ELSE lower({0}.purl) END"
 _KEYS_SQL = f"unnest(list_distinct(list_append([left(nn, 1) || g FOR g IN {_GRAMS.format('nn')}], 'p/' || ecosystem || '/' || left(nn, 3)))) AS k"
@@ -266,12 +274,7 @@ def er_ratio_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_MULTI_SQL} SELECT * FROM multi")
 def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _sides(spark, sf_dir)
-    fields = [F.struct("name", "version", "ecosystem", "licence", "supplier").alias(x) for x in "ab"]
-    pairs = matching.candidates(old, new, by=_DOCS)
-    pairs = pairs.join(old.select(*_DOCS, F.col("id").alias("old_id"), fields[0]), [*_DOCS, "old_id"]).join(new.select(*_DOCS, F.col("id").alias("new_id"), fields[1]), [*_DOCS, "new_id"])
-    name = tx.levenshtein_similarity(F.col("a.name"), F.col("b.name"))
-    return pairs.select(*_DOCS, "old_id", "new_id", F.round(matching.multi_field_score(matching.FIELD_WEIGHTS["balanced"], name, "a", "b"), 6).alias("score"))
+    return matching.multi_field_scores(*_field_sides(spark, sf_dir), matching.FIELD_WEIGHTS["balanced"], _DOCS)
 
 
 @query(f"{_MULTI_SQL} SELECT count(*) AS n, min(score) AS min_score, max(score) AS max_score, round(avg(score), 9) AS mean_score, round(stddev_pop(score), 9) AS std_score, round(quantile_cont(score, 0.5), 9) AS median_score, count(*) FILTER (score >= 0.9999) AS exact, count(*) FILTER (score <= 0) AS zero FROM multi")
