@@ -186,6 +186,16 @@ def multi_field_scores(old: DataFrame, new: DataFrame, weights: dict[str, float]
     return _field_scores(old.withColumnRenamed("id", "old_id"), new.withColumnRenamed("id", "new_id"), weights, by, max_length_gap, ("old_id", "new_id"))
 
 
+def multi_field_counts(old: DataFrame, new: DataFrame, weights: dict[str, float], by: tuple[str, ...] = (), max_length_gap: int = 10) -> DataFrame:
+    """``score, n``: how many candidates have each score of ``multi_field_scores``.
+
+    Components that score alike are counted before they meet; no pair is written or shuffled.
+    """
+    alike = lambda d, n: d.groupBy(*by, "name", "ecosystem", "version", "licence", "supplier").agg(F.count("*").alias(n))
+    scored = _field_scores(alike(old, "old_n"), alike(new, "new_n"), weights, by, max_length_gap, ("old_n", "new_n"))
+    return scored.groupBy("score").agg(F.sum(F.col("old_n") * F.col("new_n")).alias("n"))
+
+
 def best_match(scored: DataFrame) -> DataFrame:
     """The best new component of each old one over the threshold, ties by id."""
     w = Window.partitionBy("old_id").orderBy(F.desc("score"), "new_id")
@@ -206,9 +216,11 @@ def score_statistics(scored: DataFrame) -> DataFrame:
     )
 
 
-def ratio_threshold(scored: DataFrame, ratio: float) -> DataFrame:
-    """The threshold that at least ``ratio`` of the scores reach."""
-    return scored.agg(F.expr(f"percentile_disc({1 - ratio!r}) within group (order by score)").alias("threshold"))
+def ratio_threshold(counts: DataFrame, ratio: float) -> DataFrame:
+    """Of ``score, n``: the smallest score up to which there is a share of 1 - ``ratio`` of them."""
+    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)  # rounded scores: at most a million rows
+    c = counts.select("score", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return c.where(F.col("upto") / F.col("total") >= 1 - ratio).agg(F.min("score").alias("threshold"))
 
 
 def block_statistics(components: DataFrame, by: tuple[str, ...] = ("sbom_id",)) -> DataFrame:

@@ -267,9 +267,13 @@ _MULTI_SQL = f"""{_BLOCK_SQL}, p AS (SELECT cand.*, o.version AS a, n.version AS
 multi AS (SELECT old_sbom, new_sbom, old_id, new_id, round(greatest(least(0.6 * ns + 0.1 * ({_DIV_SQL}) + CASE WHEN ea <> eb THEN -0.15 ELSE 0.15 END + 0.08 * CASE WHEN la IS NULL AND lb IS NULL THEN 0.5 WHEN la = lb THEN 1 ELSE 0 END + 0.04 * CASE WHEN sa IS NULL AND sb IS NULL THEN 0.5 WHEN sa = sb THEN 1 ELSE 0 END, 1), 0), 6) AS score FROM p)"""
 
 
+def _score_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.multi_field_counts(*_field_sides(spark, sf_dir), matching.FIELD_WEIGHTS["balanced"], _DOCS)
+
+
 @query(f"{_MULTI_SQL} SELECT round(quantile_disc(score, 0.9), 6) AS threshold FROM multi")
 def er_ratio_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.ratio_threshold(er_multifield(spark, sf_dir), 0.1).select(F.round("threshold", 6).alias("threshold"))
+    return matching.ratio_threshold(_score_counts(spark, sf_dir), 0.1).select(F.round("threshold", 6).alias("threshold"))
 
 
 @query(f"{_MULTI_SQL} SELECT * FROM multi")

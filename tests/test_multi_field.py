@@ -5,7 +5,7 @@ from bomloom.functions import text as tx
 from bomloom.functions.version import version_divergence
 from bomloom.model import Tables
 from bomloom.operators import differ, matching
-from bomloom.queries import queries
+from bomloom.queries import oracle_sql, queries
 from bomloom.queries.scalar import _DOCS
 
 DATA = "/root/testdata/sf0.001"
@@ -55,3 +55,23 @@ def test_without_twins(spark):
     want = differ.unmatched(t, pairs, differ.identity_matches(t, pairs))
     for got, of in zip(differ.without_twins(t, pairs), want, strict=True):
         assert got.columns == of.columns and sorted(got.collect()) == sorted(of.collect())
+
+
+def no_pairs(df):
+    """Whether the plan never holds pairs of ids."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "old_id" not in plan and "new_id" not in plan
+
+
+def test_counts_and_ratio(spark, odd):
+    counts = matching.multi_field_counts(*odd, WEIGHTS, _DOCS)
+    rows = matching.multi_field_scores(*odd, WEIGHTS, _DOCS)
+    assert {r.score: r.n for r in counts.collect()} == {r.score: r["count"] for r in rows.groupBy("score").count().collect()}
+    for ratio in (0.1, 0.25, 0.5, 0.9):
+        want = rows.agg(F.expr(f"percentile_disc({1 - ratio!r}) within group (order by score)")).head()[0]
+        assert matching.ratio_threshold(counts, ratio).head()[0] == want
+
+
+def test_ratio_threshold_lists_no_pairs(spark, compare):
+    assert no_pairs(queries()["er_ratio_threshold"](spark, DATA))
+    compare(queries()["er_ratio_threshold"], oracle_sql()["er_ratio_threshold"])
