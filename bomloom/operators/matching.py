@@ -209,10 +209,15 @@ def explained(scored: DataFrame) -> DataFrame:
     return scored.select("*", F.greatest(F.col("score") - width, F.lit(0.0)).alias("low"), F.least(F.col("score") + width, F.lit(1.0)).alias("high"))
 
 
-def score_statistics(scored: DataFrame) -> DataFrame:
-    return scored.agg(
-        F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
-        F.percentile("score", F.lit(0.5)).alias("median_score"), F.count_if(F.col("score") >= 0.9999).alias("exact"), F.count_if(F.col("score") <= 0.0).alias("zero"),
+def score_statistics(counts: DataFrame) -> DataFrame:
+    """Of ``score, n`` (rounded scores: at most a million rows), each score counting ``n`` times."""
+    all_rows = Window.partitionBy()
+    c = counts.withColumn("mean", F.sum(F.col("score") * F.col("n")).over(all_rows) / F.sum("n").over(all_rows))
+    number = lambda keep: F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0)).cast("bigint")
+    gap = F.col("score") - F.col("mean")
+    return c.agg(
+        number(F.lit(True)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.first("mean").alias("mean_score"), F.sqrt(F.sum(gap * gap * F.col("n")) / F.sum("n")).alias("std_score"),
+        F.percentile("score", F.lit(0.5), F.col("n")).alias("median_score"), number(F.col("score") >= 0.9999).alias("exact"), number(F.col("score") <= 0.0).alias("zero"),
     )
 
 

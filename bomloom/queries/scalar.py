@@ -283,7 +283,7 @@ def er_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_MULTI_SQL} SELECT count(*) AS n, min(score) AS min_score, max(score) AS max_score, round(avg(score), 9) AS mean_score, round(stddev_pop(score), 9) AS std_score, round(quantile_cont(score, 0.5), 9) AS median_score, count(*) FILTER (score >= 0.9999) AS exact, count(*) FILTER (score <= 0) AS zero FROM multi")
 def er_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.score_statistics(er_multifield(spark, sf_dir))
+    out = matching.score_statistics(_score_counts(spark, sf_dir))
     return out.select(*[F.round(c, 9).alias(c) if c in ("mean_score", "std_score", "median_score") else c for c in out.columns])
 
 

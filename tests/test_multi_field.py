@@ -75,3 +75,16 @@ def test_counts_and_ratio(spark, odd):
 def test_ratio_threshold_lists_no_pairs(spark, compare):
     assert no_pairs(queries()["er_ratio_threshold"](spark, DATA))
     compare(queries()["er_ratio_threshold"], oracle_sql()["er_ratio_threshold"])
+
+
+def test_statistics_of_counts(spark, odd):
+    counts = matching.multi_field_counts(*odd, WEIGHTS, _DOCS)
+    s = F.col("score")
+    want = matching.multi_field_scores(*odd, WEIGHTS, _DOCS).agg(F.count("*"), F.min(s), F.max(s), F.avg(s), F.stddev_pop(s), F.percentile(s, F.lit(0.5)), F.count_if(s >= 0.9999), F.count_if(s <= 0.0)).head()
+    assert list(matching.score_statistics(counts).head()) == pytest.approx(list(want), abs=1e-12)
+    assert list(matching.score_statistics(counts.where("false")).head()) == [0, None, None, None, None, None, 0, 0]
+
+
+def test_statistics_list_no_pairs(spark, compare):
+    assert no_pairs(queries()["er_statistics"](spark, DATA))
+    compare(queries()["er_statistics"], oracle_sql()["er_statistics"])
